@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,13 +48,39 @@ from d left join covered using (doc_id) left join items using (doc_id)
 """
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.load(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), h as (
+  select page_id, octet_length(payload) as n, sha1(payload) as hex from p
+), g as (
+  select page_id, n, hex, list_transform(range(8), lambda i: cast('0x' || substr(hex, cast(i as int) * 5 + 1, 5) as int)) as v from h
+), f as (
+  select hex, min(page_id) as first_id from h group by hex
+)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr(a, 1 + (x >> 15), 1) || substr(a, 1 + ((x >> 10) & 31), 1) || substr(a, 1 + ((x >> 5) & 31), 1) || substr(a, 1 + (x & 31), 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from g join f using (hex), (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as a)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op9_warc": OP9_SQL,
     }

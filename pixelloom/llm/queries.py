@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, warc
+from . import decontaminate, substring, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,31 @@ from d left join covered using (doc_id) left join items using (doc_id)
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) as g
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)
+), rep as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as nth from win) where nth > 1
+), gone as (
+  select distinct doc_id, p from (select doc_id, unnest(range(i, i + 20)) as p from rep)
+), word as (
+  select doc_id, p, w[p] as t from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)
+), kept as (
+  select doc_id, string_agg(t, ' ' order by p) as text, count(*) as n from word anti join gone using (doc_id, p) group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(read(spark, sf_dir, "pages"), path)
@@ -75,6 +100,7 @@ from g join f using (hex), (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as a)
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_substring_dedup": op2_substring_dedup,
         "op9_warc": op9_warc,
     }
 
@@ -82,5 +108,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op2_substring_dedup": OP2_SQL,
         "op9_warc": OP9_SQL,
     }

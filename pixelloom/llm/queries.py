@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, substring, warc
+from . import decontaminate, packing, substring, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,16 @@ from d left join kept using (doc_id)
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(read(spark, sf_dir, "pages"), path)
@@ -101,6 +111,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_substring_dedup": op2_substring_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op9_warc": op9_warc,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, substring, warc
+from . import decontaminate, neardup, packing, substring, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,42 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP8_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, md5(array_to_string(w[i : i + 3], ' ')) as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), few as (
+  select g from s group by g having count(*) > 1
+), t as (
+  select doc_id, g from s join few using (g)
+), shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from t x join t y on x.g = y.g and x.doc_id < y.doc_id group by all
+), link as materialized (
+  select a, b from shared join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)
+), edge as materialized (
+  select a, b from link union all select b, a from link
+), reach as (
+  select doc_id as a, doc_id as b from d
+  union
+  select reach.a, edge.b from reach join edge on reach.b = edge.a
+), least_id as (
+  select a as doc_id, min(b) as component_id from reach group by a
+)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join n using (doc_id) join least_id using (doc_id)
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write(read(spark, sf_dir, "pages"), path)
@@ -112,6 +148,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op2_substring_dedup": op2_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
     }
 
@@ -120,5 +157,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
         "op2_substring_dedup": OP2_SQL,
+        "op8_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
     }

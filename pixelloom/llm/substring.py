@@ -108,14 +108,14 @@ class Hasher:
         return out[0], out[1], at
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first, after last, bytes, offsets)`` of runs of texts of about CHUNK_BYTES or one text."""
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first, after last, bytes, offsets)`` of runs of texts of at most ``size`` bytes, or of one text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

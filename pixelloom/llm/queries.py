@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, substring, toxicity, warc
+from . import decontaminate, fingerprint, neardup, packing, substring, toxicity, urlfilter, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,18 @@ from d left join kept using (doc_id)
 """
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compare_with_edits(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprint.printed(F.col("packed")).alias("fingerprint"), fingerprint.printed(F.col("packed_edited")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -161,6 +173,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_fingerprints": op3_fingerprints,
+        "op4_url_filter": op4_url_filter,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
@@ -172,6 +186,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
         "op2_substring_dedup": OP2_SQL,
+        "op4_url_filter": urlfilter.sql(),
         "op8_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
     }

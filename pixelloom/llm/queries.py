@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, neardup, packing, substring, toxicity, urlfilter, warc
+from . import decontaminate, fingerprint, neardup, packing, secretscan, substring, toxicity, urlfilter, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(read(spark, sf_dir, "documents"), secretscan.example_findings(spark))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -176,6 +181,7 @@ def queries() -> dict[str, Query]:
         "op3_fingerprints": op3_fingerprints,
         "op4_url_filter": op4_url_filter,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_secret_scan": op6_secret_scan,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, neardup, packing, secretscan, substring, toxicity, urlfilter, warc
+from . import decontaminate, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), mentions_col="mentions")
+    return found.select(
+        "doc_id", "text", F.size("mentions").cast("long").alias("n_entities"), F.transform("mentions", lambda m: m["kind"]).alias("kinds"), F.transform("mentions", lambda m: m["surrogate"]).alias("surrogates")
+    )
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -182,6 +189,7 @@ def queries() -> dict[str, Query]:
         "op4_url_filter": op4_url_filter,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_secret_scan": op6_secret_scan,
+        "op7_pii": op7_pii,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,

@@ -1,20 +1,53 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+Toxic documents go, one document of each group of near copies stays, contaminated documents go,
+personal data is replaced, and what is left is packed into sequences. All stages but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelloom.llm import decontaminate
+from pixelloom.llm import decontaminate, neardup, packing, pii, toxicity
 from pixelloom.llm.common import cut, read
+from pixelloom.llm.queries import held_out, tokenizer_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5; the model learns from labelled rows that are not held out."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return toxicity.scored(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group, at five words and a similarity of 0.8."""
+    return neardup.one_of_each(docs, k=5, percent=80)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which hit words are less than one in twenty."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontamination)]
+def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced and ``n_chars`` counted anew."""
+    found = pii.pseudonymise(docs)
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4096 tokens."""
+    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", without_toxic), ("near_dedup", without_near_copies), ("decontamination", without_benchmark),
+    ("pii", pseudonymous), ("packing", packed),
+]
 
-#: The stages train models and pack sequences, which SQL cannot express.
+#: The stages train models and pack sequences, which SQL cannot express; tests hold each against brute force.
 ORACLE_SQL = None
 
 

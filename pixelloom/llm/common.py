@@ -20,6 +20,9 @@ SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, once a session."""
+    # Texts are long: small batches keep the memory of Python workers and of Arrow buffers small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     context = spark.sparkContext
     if getattr(context, "_pixelloom_shipped", False):
         return
@@ -63,6 +66,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """``df`` cut, in as many partitions as its rows need: what follows has as many tasks and shuffle files."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows_per_partition)))
+
+
 def sized(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` cut, and hinted for broadcast only if it has at most ``max_rows`` rows.
 

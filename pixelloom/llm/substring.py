@@ -3,20 +3,21 @@
 Words are runs of anything but ASCII white space. A word goes if a window of ``n`` consecutive words
 that covers it also starts earlier, in a row of smaller id or earlier in the same row.
 
-1. Every task hashes its windows (128 bits) and counts them in a count-min sketch of two rows. A cell
+1. Of rows of equal texts only the first goes on; every word of the others is repeated, if there is a
+   window at all. Every task hashes its windows and counts them in a count-min sketch of two rows. A cell
    only needs to know 0, 1 or more, so it is two bits, kept as two bit planes; merging two sketches is
    ``many = a.many | b.many | (a.one & b.one)``, block by block. Merged cells never underestimate.
 2. A second pass hands on only windows whose cells say "more", which loses none that repeat. Inside
    one chunk of documents all but the first of equal windows are marked at once, so a passage that
    very many documents share reaches the shuffle once a chunk; the rest is ranked exactly by hash.
 
-The sketch has as many bits a row as there are words, rounded up to a power of two, and at most
+The sketch has two to four bits a row for each word, a power of two in all, and at most
 ``max_bits`` (2^30: 128 MB a plane, the bound of what is broadcast). Beyond that more unrepeated
 windows pass the prefilter and are shuffled; the result stays the same.
 
 Defined cases: null texts have no words; a null id sorts before all others; rows that repeat an id
 and its text are one document, judged alike; rows of one id and different texts are ordered by a hash
-of the text; extra columns are ignored. Windows count as equal if their 128-bit hashes are.
+of the text; extra columns are ignored. Windows count as equal if 96 bits of hash are.
 """
 
 from __future__ import annotations
@@ -30,9 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sized
+
 MAX_BITS = 1 << 30
 BLOCK_BITS = 1 << 19
-CHUNK_BYTES = 4 << 20
+ROWS = 2
+MAX_BROADCAST = 2_000_000
+WHOLE = (1 << 31) - 1
+CHUNK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -121,8 +127,9 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 def cells(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each window in each of the ROWS rows."""
     shift = U(64 - bits.bit_length() + 1)
-    return [(h1 >> shift).astype(np.int64), (h2 >> shift).astype(np.int64)]
+    return [(x >> shift).astype(np.int64) for x in (h1, h2)]
 
 
 def count_in(one: np.ndarray, many: np.ndarray, cell: np.ndarray) -> None:
@@ -141,12 +148,12 @@ def count_in(one: np.ndarray, many: np.ndarray, cell: np.ndarray) -> None:
 
 
 def sketch(docs: DataFrame, bits: int, n: int) -> list[np.ndarray]:
-    """The merged "more than one" planes of both rows. What reaches the driver is at most ``2 * bits`` bits."""
+    """The merged "more than one" planes of all rows. What reaches the driver is at most ``ROWS * bits`` bits."""
     block = min(BLOCK_BITS, bits) // 8
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        planes = [(np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)) for _ in range(2)]
+        planes = [(np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)) for _ in range(ROWS)]
         some = False
         for batch in batches:
             for _, _, data, begin in chunks(batch.column(0)):
@@ -171,9 +178,9 @@ def sketch(docs: DataFrame, bits: int, n: int) -> list[np.ndarray]:
         return pa.table({"block": table.column("block")[:1], "many": pa.array([zstandard.ZstdCompressor(level=1).compress(many.tobytes())], pa.binary())})
 
     # As many sketches as the cluster runs tasks at a time, however many partitions there are.
-    slots = max(8, docs.sparkSession.sparkContext.defaultParallelism * 2)
+    slots = max(4, docs.sparkSession.sparkContext.defaultParallelism)
     parts = docs.select("text").coalesce(slots).mapInArrow(counted, "block int, one binary, many binary")
-    planes = [np.zeros(bits // 8, np.uint8) for _ in range(2)]
+    planes = [np.zeros(bits // 8, np.uint8) for _ in range(ROWS)]
     z = zstandard.ZstdDecompressor()
     for x in parts.groupBy("block").applyInArrow(merged, "block int, many binary").toLocalIterator(prefetchPartitions=True):
         r, k = divmod(x.block, bits // 8 // block)
@@ -184,10 +191,15 @@ def sketch(docs: DataFrame, bits: int, n: int) -> list[np.ndarray]:
 def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame:
     """``(key, text_hash, spans)``: the merged word runs ``(first, words)`` of repeated windows.
 
-    ``docs`` has the columns ``key`` (long), ``text_hash`` and ``text``.
+    ``docs`` has the columns ``key`` (long), ``text_hash`` and ``text``. A copy of another row's whole
+    text has the run ``(0, WHOLE)``, which only counts if the text has a window.
     """
+    own = docs.select("key", "text_hash", F.xxhash64("text", F.lit(1)).alias("other_hash"))
+    first = own.groupBy("text_hash", "other_hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+    copies = sized(own.join(first, ["text_hash", "other_hash"]).filter("key > first").select("key", "text_hash").distinct(), MAX_BROADCAST)
+    docs = docs.join(copies, ["key", "text_hash"], "left_anti")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = 1 << min(max_bits.bit_length() - 1, max(16, (size // 6).bit_length()))
+    bits = 1 << min(max_bits.bit_length() - 1, max(16, (size // 6).bit_length() + 1))
     planes = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits, n))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,31 +218,33 @@ def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame
                     continue
                 first_word = np.searchsorted(text, np.arange(b - a))
                 key, hashed, pos = keys[a:b][text[at]], hashes[a:b][text[at]], at - first_word[text[at]]
-                order = np.lexsort((pos, hashed, key, h2, h1))
+                # Doc by doc, so that neighbouring rows of the shuffle are alike and compress.
+                order = np.lexsort((pos, hashed, key))
                 h1, h2, key, hashed, pos = (x[order] for x in (h1, h2, key, hashed, pos))
-                group = np.ones(len(h1), bool)
-                group[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                head = np.flatnonzero(group)[np.cumsum(group) - 1]
-                same = (key == key[head]) & (hashed == hashed[head]) & (pos == pos[head])  # the first, or a copy of its row
-                yield rows(h1[group].view(np.int64), h2[group].view(np.int64), key[group], hashed[group], pos[group], 0)
+                order = np.lexsort((h2, h1))  # stable: in each group the first of the documents comes first
+                new = np.ones(len(order), bool)
+                new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+                head = np.empty(len(order), np.int64)
+                head[order] = order[new][np.cumsum(new) - 1]
+                first = head == np.arange(len(head))
+                again = ~first & ((key != key[head]) | (hashed != hashed[head]) | (pos != pos[head]))  # not a copy of its row
+                yield rows(h1[first], h2[first], key[first], hashed[first], pos[first], 0)
                 # What has an earlier equal window here is repeated already; runs of them become one row.
-                key, hashed, pos = key[~same], hashed[~same], pos[~same]
-                order = np.lexsort((pos, hashed, key))
-                key, hashed, pos = key[order], hashed[order], pos[order]
+                key, hashed, pos = key[again], hashed[again], pos[again]
                 if len(pos):
                     new = np.ones(len(pos), bool)
                     new[1:] = (key[1:] != key[:-1]) | (hashed[1:] != hashed[:-1]) | (pos[1:] > pos[:-1] + 1)
                     start = np.flatnonzero(new)
                     end = np.append(start[1:], len(pos)) - 1
-                    run = (pos[end] - pos[start] + n).astype(np.int32)
-                    spread = Hasher.mix(hashed[start].astype(np.int64).view(U) + pos[start].astype(U), 7).view(np.int64)
-                    yield rows(spread, spread, key[start], hashed[start], pos[start], run)
+                    spread = Hasher.mix(hashed[start].astype(np.int64).view(U) + pos[start].astype(U), 7)
+                    yield rows(spread, spread, key[start], hashed[start], pos[start], pos[end] - pos[start] + n)
 
     def rows(h1, h2, key, hashed, pos, run) -> pa.RecordBatch:
         run = np.broadcast_to(np.asarray(run, np.int32), len(h1))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, key, hashed, pos.astype(np.int32), run)], ["h1", "h2", "key", "text_hash", "first", "run"])
+        cols = (h1.view(np.int64), (h2 >> U(32)).astype(np.uint32).view(np.int32), key, hashed, pos.astype(np.int32), run)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h1", "h2", "key", "text_hash", "first", "run"])
 
-    found = docs.select("key", "text_hash", "text").mapInArrow(candidates, "h1 long, h2 long, key long, text_hash long, first int, run int")
+    found = docs.select("key", "text_hash", "text").mapInArrow(candidates, "h1 long, h2 int, key long, text_hash long, first int, run int")
     # run = 0: the first of its chunk, ranked against other chunks; run > 0: known to repeat.
     ranked = found.selectExpr("*", "rank() over (partition by h1, h2, run > 0 order by key, text_hash, first) as nth")
     spans = ranked.filter("run > 0 or nth > 1").groupBy("key", "text_hash").agg(F.expr(f"array_sort(collect_set(struct(first, if(run > 0, run, {n}) as words)))").alias("at"))
@@ -240,7 +254,8 @@ def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame
         " named_struct('s', x.first, 'e', x.first + x.words, 'done', if(acc.s < 0, acc.done, concat(acc.done, array(named_struct('first', acc.s, 'words', acc.e - acc.s)))))),"
         " acc -> if(acc.s < 0, acc.done, concat(acc.done, array(named_struct('first', acc.s, 'words', acc.e - acc.s)))))"
     )
-    return spans.select("key", "text_hash", fold.alias("spans"))
+    whole = F.expr(f"array(named_struct('first', 0, 'words', {WHOLE}))")
+    return spans.select("key", "text_hash", fold.alias("spans")).unionByName(copies.select("key", "text_hash", whole.alias("spans")))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +273,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_co
             for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
                 w = (text.as_py() or "").encode().split()
                 counts.append(len(w))
-                for s in reversed(spans or []):
+                for s in reversed(spans or []) if counts[-1] >= n else ():
                     del w[s["first"] : s["first"] + s["words"]]
                 keys.append(None if key == NULL_ID else key)
                 removed.append(counts[-1] - len(w))

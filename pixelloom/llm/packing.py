@@ -31,7 +31,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +39,22 @@ from .common import cut
 #: Words a Python worker remembers with their ids; a bound on its memory, without effect on results.
 CACHED_WORDS = 400_000
 ROWS_PER_PARTITION = 200_000
+BLANK = bytes.maketrans(b"\t\n\r", b"   ")
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
     """Ids of whole texts from ids of their space-separated parts, which repeat a lot.
 
-    That is exact for tokenizers that drop white space and never join what it separates; each part is
-    encoded by the tokenizer itself.
+    That is exact for tokenizers that ignore the case of ASCII letters, drop white space, never join what
+    it separates, and split letters from punctuation: parts are looked up with A-Z lower-cased and
+    a tail of punctuation taken off, and each is encoded by the tokenizer itself. Letter-only parts are
+    encoded as one text, whose words the tokenizer numbers; if it does not see as many words as there
+    are parts, they are encoded one by one.
     """
 
+    TAIL = ".,;:!?#$%&*|)"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -63,27 +68,51 @@ class WordTokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
+    def one_by_one(self, parts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def letters(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one word each."""
+        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        word = np.asarray(found.word_ids, np.int64)
+        if not len(word) or word[-1] + 1 != len(parts):
+            return self.one_by_one(parts)
+        ids = np.asarray(found.ids, "<u4").tobytes()
+        edge = np.searchsorted(word, np.arange(len(parts) + 1)) * 4
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+    def add(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts not known yet."""
+        cores = {w: w.rstrip(self.TAIL) for w in new}
+        wanted = {c for c in cores.values() if c not in self.known} | {t for w, c in cores.items() if c and (t := w[len(c) :]) and t not in self.known}
+        fresh = {"": b""}
+        plain, other = [], []
+        for w in wanted:
+            if w:
+                (plain if w.isalpha() else other).append(w)
+        for a in range(0, len(plain), 5000):
+            fresh.update(zip(plain[a : a + 5000], self.letters(plain[a : a + 5000])))
+        # A tail is split off after a letter or digit only; elsewhere the whole part is encoded.
+        whole = [w for w, c in cores.items() if len(c) < len(w) and not (c and c[-1].lower()[-1].isalnum()) and w not in fresh]
+        other += whole
+        for a in range(0, len(other), 5000):
+            fresh.update(zip(other[a : a + 5000], self.one_by_one(other[a : a + 5000])))
+        both = lambda w: fresh[w] if w in fresh else self.known[w]
+        for w, c in cores.items():
+            if w not in fresh:
+                fresh[w] = both(c) + both(w[len(c) :])
+        return fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [t.encode().lower().translate(BLANK).decode().split(" ") for t in texts]
         known = self.known
         new = {w for words in split for w in words if w not in known}
-        fresh = {}
-        if new:
-            order = list(new)
-            for a in range(0, len(order), 20_000):
-                part = order[a : a + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    fresh[w] = np.asarray(e.ids, "<u4").tobytes()
-            if len(known) + len(fresh) <= CACHED_WORDS:
-                known.update(fresh)
-                fresh = {}
-        if not fresh:
+        fresh = self.add(new) if new else {}
+        if len(known) + len(fresh) <= CACHED_WORDS:
+            known.update(fresh)
             return [b"".join([known[w] for w in words]) for words in split]
-        both = known | fresh if len(fresh) * 4 > len(known) else None
-        if both is None:
-            return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
-        return [b"".join([both[w] for w in words]) for words in split]
+        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,12 +169,12 @@ SWEPT_ARROW = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("gap", pa.i
 
 
 def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match one sorted partition of ``(size, is_slot, id)``; a row of the result is a pair or what is left."""
+    """Match one sorted partition of ``(size, is_slot, id, part)``; a row of the result is a pair or what is left."""
     got = [x for x in batches if x.num_rows]
     if not got:
         return
-    part = TaskContext.get().partitionId()
     table = pa.Table.from_batches(got)
+    part = table.column(3)[0].as_py()
     size, opens, ids = (table.column(k).to_numpy() for k in range(3))
     docs, slots = matched(opens.astype(bool))
     rest = np.ones(len(size), bool)
@@ -183,6 +212,7 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_partition: int = ROWS
         docs, gaps = count["docs"], count["gaps"]
         if not docs:
             break
+        parts = max(1, -(-sum(n for _, n in docs + gaps) // rows_per_partition))
         large = [x for x in docs if x[0] > (gaps[0][0] if gaps else 0)]
         if large:
             least, n = opening(large, capacity)
@@ -194,7 +224,7 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_partition: int = ROWS
             else:
                 opens = F.col("size") >= least
             left = left.withColumn("gap", F.when(opens, F.col("doc"))).withColumn("slot", F.when(opens, F.lit(capacity).cast("long"))).select("doc", "size", "gap", "slot")
-            state = cut(left.unionByName(state.filter("doc is null")))
+            state = cut(left.unionByName(state.filter("doc is null")).coalesce(parts))
             placed.append(state.filter("doc is not null and gap is not null").select("doc", "gap"))
             opened = state.filter("doc is not null and gap is not null").select(F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("size"), "gap", (F.col("slot") - F.col("size")).alias("slot")).filter("slot > 0")
             state = opened.unionByName(state.filter("doc is null or gap is null"))
@@ -203,11 +233,11 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_partition: int = ROWS
             rest = docs
         if not rest:
             break
-        state = _round(state, rest, rows_per_partition)
+        state = _round(state, rest, parts)
         placed.append(state.filter("doc is not null and gap is not null").select("doc", "gap"))
         still = state.filter("doc is not null and gap is null")
         free = state.filter("gap is not null").groupBy("gap").agg(F.sum(F.col("slot") - F.coalesce("size", F.lit(0))).alias("slot")).filter("slot > 0")
-        state = cut(still.unionByName(free.select(F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("size"), "gap", "slot")))
+        state = cut(still.unionByName(free.select(F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("size"), "gap", "slot")).coalesce(parts))
     return reduce(DataFrame.unionByName, placed).select(F.col("doc").alias("uid"), F.col("gap").alias("sequence_id"))
 
 
@@ -222,7 +252,7 @@ def _below(docs: list[tuple[int, int]], least: int, n: int) -> list[tuple[int, i
     return [(s, m - n if s == least else m) for s, m in docs if s < least or s == least and m > n]
 
 
-def _round(state: DataFrame, docs: list[tuple[int, int]], rows_per_partition: int) -> DataFrame:
+def _round(state: DataFrame, docs: list[tuple[int, int]], parts: int) -> DataFrame:
     """One sort, sweep and match over ``state``; pairs have both a document and a gap."""
     most = docs[0][0]
     least = docs[-1][0]
@@ -233,10 +263,9 @@ def _round(state: DataFrame, docs: list[tuple[int, int]], rows_per_partition: in
     rows = slots.select(size.alias("size"), F.lit(1).alias("is_slot"), F.col("gap").alias("id")).unionByName(
         state.filter("doc is not null").select("size", F.lit(0).alias("is_slot"), F.col("doc").alias("id"))
     )
-    total = sum(m for _, m in docs)
-    parts = max(1, -(-2 * total // rows_per_partition))
     order = [F.col("size").desc(), F.col("is_slot").desc(), F.xxhash64("id"), F.col("id")]
-    swept = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    swept = cut(dealt.mapInArrow(sweep, SWEPT).coalesce(parts))
     counts = swept.filter("rank >= 0").groupBy("part").agg(F.count("doc").alias("docs"), F.count("gap").alias("slots")).collect()
     runs = across(sorted((r.part, r.docs, r.slots) for r in counts))
     spark = state.sparkSession
@@ -245,8 +274,11 @@ def _round(state: DataFrame, docs: list[tuple[int, int]], rows_per_partition: in
         F.broadcast(runs_df).alias("r"), (F.col("d.part") == F.col("r.part")) & (F.col("d.rank") >= F.col("r.a")) & (F.col("d.rank") < F.col("r.a") + F.col("r.n")), "left"
     ).select("d.doc", "d.size", F.col("r.slot_part").alias("sp"), (F.col("r.top") - 1 - (F.col("d.rank") - F.col("r.a"))).alias("sr"))
     free = swept.filter("rank >= 0 and gap is not null").select("gap", "slot", "part", "rank")
-    joined = left.join(free, (F.col("sp") == F.col("part")) & (F.col("sr") == F.col("rank")), "full").select("doc", "size", "gap", "slot")
-    return cut(swept.filter("rank < 0").select("doc", "size", "gap", "slot").unionByName(joined))
+    # Documents without a slot stay out of the join, where their null keys would meet in one task.
+    joined = left.filter("sp is not null").join(free, (F.col("sp") == F.col("part")) & (F.col("sr") == F.col("rank")), "right").select("doc", "size", "gap", "slot")
+    none = F.lit(None).cast("long")
+    unmatched = left.filter("sp is null").select("doc", "size", none.alias("gap"), none.alias("slot"))
+    return cut(swept.filter("rank < 0").select("doc", "size", "gap", "slot").unionByName(joined).unionByName(unmatched).coalesce(parts))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:

@@ -336,6 +336,22 @@ def j4(spark, d):
     return resample.resize(fixtures.rgba(spark, d), 37, 101, "NEAREST").select("x", "y", *RGBA)
 
 
+_LINEAR_PUT = "least(65535, greatest(0, (cast(sum({}) as bigint) + 2097152) >> 22))"
+
+
+@query(
+    "j3_resize_linear_light",
+    f"""with {GRAY}, {_axis_sql('ax', 64, 20, 'TRIANGLE')}, {_axis_sql('ay', 48, 15, 'TRIANGLE')}, fwd as (
+      select v, cast(floor(least(65535.0::double, greatest(0.0::double, (case when v / 255.0::double <= 0.04045::double then v / 255.0::double / 12.92::double else power((v / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) end) * 65535.0::double + 0.5::double))) as int) as l from (select unnest(range(256)) as v)
+    ), halves as (select v, l + lag(l) over (order by v) as half from fwd), lit as (select x, y, l from src join fwd using (v)
+    ), mid as (select y, ax.o as ox, {_LINEAR_PUT.format('l * weight')} as l from lit join ax on ax.s = x group by all
+    ), fin as (select ox as x, ay.o as y, {_LINEAR_PUT.format('l * weight')} as l from mid join ay on ay.s = y group by ox, ay.o)
+    select {ints('x', 'y')}, cast((select count(*) from halves where half <= 2 * l) as int) as v from fin""",
+)
+def j3l(spark, d):
+    return resample.resize_linear(fixtures.gray(spark, d), 20, 15, "TRIANGLE", ["v"]).select("x", "y", "v")
+
+
 @query("a7_box_quarter", f"with {GRAY}, q as (select x // 4 as x, y // 4 as y, y as yy, (cast(sum(v * 1048576) as bigint) + 2097152) >> 22 as v from src group by x // 4, y, y // 4) select {ints('x', 'y')}, cast((cast(sum(v * 1048576) as bigint) + 2097152) >> 22 as int) as v from q group by x, y")
 def a7(spark, d):
     return resample.resize(fixtures.gray(spark, d), 16, 12, "BOX", ["v"]).select("x", "y", "v")

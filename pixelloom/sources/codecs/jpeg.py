@@ -1,4 +1,4 @@
-"""JPEG: baseline and progressive Huffman decoding, baseline encoding."""
+"""JPEG: baseline, progressive and lossless Huffman decoding, baseline and lossless encoding."""
 
 from __future__ import annotations
 
@@ -24,6 +24,12 @@ CHROMA = np.array([
 ])
 
 
+#: Table H.1: a sample from those left, above, and above left.
+PREDICT = {
+    1: lambda a, b, c: a, 2: lambda a, b, c: b, 3: lambda a, b, c: c, 4: lambda a, b, c: a + b - c, 5: lambda a, b, c: a + ((b - c) >> 1), 6: lambda a, b, c: b + ((a - c) >> 1), 7: lambda a, b, c: (a + b) >> 1,
+}
+
+
 def matches(content: bytes) -> bool:
     return content[:3] == b"\xff\xd8\xff"
 
@@ -102,6 +108,7 @@ class Component:
         self.ident, self.h, self.v, self.table = ident, h, v, table
         self.coefficients = np.zeros((0, 0, 64), np.int32)
         self.before = 0
+        self.lossless: np.ndarray | None = None
 
 
 def scan(frame: dict, parts: list[Component], tables: dict, span: tuple[int, int, int, int], segments: list[bytes], restart: int) -> None:
@@ -200,6 +207,34 @@ def scan(frame: dict, parts: list[Component], tables: dict, span: tuple[int, int
                 skip -= 1
 
 
+def lossless_scan(frame: dict, parts: list[tuple], tables: dict, predictor: int, shift: int, data: bytes) -> None:
+    """Samples of components that are predicted from their neighbours (all of one sampling)."""
+    if not 1 <= predictor <= 7 or any((c.h, c.v) != (1, 1) for c, _, _ in parts):
+        raise ImageError("UNSUPPORTED", "predictor or sampling")
+    bits = Bits(data)
+    width, height, precision = frame["width"], frame["height"], frame["bits"]
+    rows = {id(c): np.zeros((height, width), np.int64) for c, _, _ in parts}
+    above: dict[int, list[int]] = {}
+    for y in range(height):
+        lines: dict[int, list[int]] = {id(c): [] for c, _, _ in parts}
+        for x in range(width):
+            for c, t, _ in parts:
+                line, up = lines[id(c)], above.get(id(c))
+                if up is None:
+                    p = line[x - 1] if x else 1 << (precision - shift - 1)
+                elif x == 0:
+                    p = up[0]
+                else:
+                    p = PREDICT[predictor](line[x - 1], up[x], up[x - 1])
+                n = bits.symbol(tables.get((0, t)))
+                line.append((p + (32768 if n == 16 else bits.signed(n))) & 0xFFFF)
+        for c, _, _ in parts:
+            above[id(c)] = lines[id(c)]
+            rows[id(c)][y] = lines[id(c)]
+    for c, _, _ in parts:
+        c.lossless = rows[id(c)] << shift
+
+
 def fancy(s: np.ndarray) -> np.ndarray:
     """Twice as wide by the triangle filter."""
     v = s.astype(np.int32)
@@ -246,20 +281,20 @@ def load(content: bytes, limits: Limits) -> Document:
                 n = sum(body[1:17])
                 tables[body[0] >> 4, body[0] & 15] = Huffman(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
-        elif marker in (0xC0, 0xC1, 0xC2):
+        elif marker in (0xC0, 0xC1, 0xC2, 0xC3):
             bits, height, width, n = struct.unpack_from(">BHHB", body)
-            if bits != 8:
+            if bits != 8 and not (marker == 0xC3 and 2 <= bits <= 16):
                 raise ImageError("UNSUPPORTED", f"{bits} bits a sample")
             guard(width, height, limits)
             parts = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
             if not parts or any(not 1 <= v <= 4 for c in parts for v in (c.h, c.v)):
                 raise ImageError("CORRUPT", "bad sampling")
             hmax, vmax = max(c.h for c in parts), max(c.v for c in parts)
-            frame = {"width": width, "height": height, "parts": parts, "hmax": hmax, "vmax": vmax, "progressive": marker == 0xC2}
+            frame = {"width": width, "height": height, "parts": parts, "hmax": hmax, "vmax": vmax, "progressive": marker == 0xC2, "lossless": marker == 0xC3, "bits": bits}
             frame["mcu_across"], frame["mcu_down"] = -(-width // (8 * hmax)), -(-height // (8 * vmax))
             for c in parts:
-                c.coefficients = np.zeros((frame["mcu_down"] * c.v, frame["mcu_across"] * c.h, 64), np.int32)
-        elif 0xC3 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                c.coefficients = np.zeros((0, 0, 64), np.int32) if frame["lossless"] else np.zeros((frame["mcu_down"] * c.v, frame["mcu_across"] * c.h, 64), np.int32)
+        elif 0xC5 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ImageError("UNSUPPORTED", f"coding process {marker:#x}")
         elif marker == 0xDD:
             (restart,) = struct.unpack(">H", body)
@@ -297,10 +332,29 @@ def load(content: bytes, limits: Limits) -> Document:
                 else:
                     break
             segments.append(content[begin:at])
+            if frame["lossless"]:
+                if restart:
+                    raise ImageError("UNSUPPORTED", "restarts in lossless scans")
+                lossless_scan(frame, chosen, tables, start, approx & 15, segments[0])
+                continue
             span = (start, end, approx >> 4, approx & 15) if frame["progressive"] else (0, 63, 0, 0)
             scan(frame, chosen, tables, span, segments, restart)
     if not frame:
         raise ImageError("CORRUPT", "no frame")
+    if frame["lossless"]:
+        if any(c.lossless is None for c in frame["parts"]):
+            raise ImageError("CORRUPT", "a component is missing")
+        s = np.stack([c.lossless for c in frame["parts"]], 2)
+        top = (1 << frame["bits"]) - 1
+        s = s.astype(np.uint8) if frame["bits"] == 8 else (np.minimum(s, top) * 65535 // top).astype(np.uint16)
+        if s.shape[2] == 1:
+            doc.items.append(Item(Raster(s, "GRAY")))
+        elif s.shape[2] == 3:
+            s = to_rgb(s) if adobe == 1 and frame["bits"] == 8 else s
+            doc.items.append(Item(Raster(np.concatenate((s, np.full(s.shape[:2] + (1,), np.iinfo(s.dtype).max, s.dtype)), 2))))
+        else:
+            raise ImageError("UNSUPPORTED", f"{s.shape[2]} components")
+        return doc
     planes = []
     for c in frame["parts"]:
         if c.table not in quant:
@@ -397,8 +451,47 @@ def entropy(blocks: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def save(doc: Document, quality: int = 85, subsampling: str = "420") -> bytes:
-    """Baseline with optimal tables: gray, or YCbCr in 4:4:4, 4:2:2 or 4:2:0. Alpha is dropped."""
+def segment(marker: int, body: bytes) -> bytes:
+    return bytes((0xFF, marker)) + struct.pack(">H", len(body) + 2) + body
+
+
+def save_lossless(raster: Raster, predictor: int) -> bytes:
+    """Gray or RGB in 8 or 16 bits, one scan, one optimal table."""
+    s = raster.samples[..., : 1 if raster.model == "GRAY" else 3].astype(np.int64)
+    height, width, n = s.shape
+    left = np.concatenate((s[:, :1], s[:, :-1]), 1)
+    up = np.concatenate((s[:1], s[:-1]), 0)
+    corner = np.concatenate((up[:, :1], up[:, :-1]), 1)
+    p = PREDICT[predictor](left, up, corner)
+    p[:, 0], p[0] = up[:, 0], left[0]
+    p[0, 0] = 1 << (raster.bits - 1)
+    d = (s - p + 32768) % 65536 - 32768
+    d[d == -32768] = 32768
+    flat = d.reshape(-1).tolist()
+    sizes = [abs(v).bit_length() for v in flat]
+    counts: dict[int, int] = {}
+    for v in sizes:
+        counts[v] = counts.get(v, 0) + 1
+    spec = code_lengths(counts)
+    words = codes(*spec)
+    out = b"\xff\xd8" + segment(0xC3, struct.pack(">BHHB", raster.bits, height, width, n) + b"".join(bytes((k + 1, 0x11, 0)) for k in range(n)))
+    out += segment(0xC4, b"\0" + spec[0] + spec[1]) + segment(0xDA, bytes([n]) + b"".join(bytes((k + 1, 0)) for k in range(n)) + bytes((predictor, 0, 0)))
+    text = []
+    for v, size in zip(flat, sizes):
+        code, length = words[size]
+        text.append(f"{code:0{length}b}")
+        if 0 < size < 16:
+            text.append(f"{v if v > 0 else v + (1 << size) - 1:0{size}b}")
+    bits = "".join(text)
+    bits += "1" * (-len(bits) % 8)
+    body = int(bits or "0", 2).to_bytes(len(bits) // 8, "big")
+    return out + body.replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+
+
+def save(doc: Document, quality: int = 85, subsampling: str = "420", lossless_predictor: int = 0) -> bytes:
+    """Baseline with optimal tables: gray, or YCbCr in 4:4:4, 4:2:2 or 4:2:0; or lossless. Alpha is dropped."""
+    if lossless_predictor:
+        return save_lossless(doc.items[0].raster, lossless_predictor)
     raster = doc.items[0].raster
     scale = 5000 // quality if quality < 50 else 200 - 2 * quality
     tables = [np.clip((t * scale + 50) // 100, 1, 255) for t in (LUMA, CHROMA)]
@@ -430,7 +523,6 @@ def save(doc: Document, quality: int = 85, subsampling: str = "420") -> bytes:
                 d[symbol] = d.get(symbol, 0) + 1
     specs = {key: code_lengths(d) for key, d in counts.items()}
     words = {key: codes(*spec) for key, spec in specs.items()}
-    segment = lambda marker, body: bytes((0xFF, marker)) + struct.pack(">H", len(body) + 2) + body
     dpi = doc.dpi if doc.dpi != (0, 0) else (1, 1)
     out = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1" + struct.pack(">BHHBB", int(doc.dpi != (0, 0)), *dpi, 0, 0))
     if doc.icc:

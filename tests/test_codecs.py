@@ -77,6 +77,16 @@ def test_jpeg_is_close(subsampling):
     assert gray.model == "GRAY" and np.abs(gray.samples.astype(int) - s[..., :1]).mean() < 2
 
 
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_lossless_jpeg(predictor):
+    for model, n in (("GRAY", 1), ("RGBA", 4)):
+        for dtype in (np.uint8, np.uint16):
+            s = noise(9, 7, n, dtype)
+            if n == 4:
+                s[..., 3] = np.iinfo(dtype).max
+            assert same(trip("jpeg", [C.Raster(s, model)], lossless_predictor=predictor), [C.Raster(s)])
+
+
 def test_orientation_is_undone():
     r = C.Raster(noise(3, 5))
     for o, turned in ((6, np.rot90(r.samples, -1)), (3, np.rot90(r.samples, 2)), (8, np.rot90(r.samples)), (2, r.samples[:, ::-1])):

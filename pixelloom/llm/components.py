@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import compact
+
+
+def nearest(edges: DataFrame, k: int = 0) -> DataFrame:
+    """``(node, to)``: the node of the smallest hash (of round ``k``) within two steps of each node of ``edges``."""
+
+    def least(c: str) -> Column:
+        return F.min_by(c, F.xxhash64(F.col(c), F.lit(k))).alias("to")
+
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
+    both = edges.select(ends.alias("x")).select("x.a", "x.b")
+    one = both.groupBy("a").agg(least("b")).select(F.col("a").alias("b"), F.col("to").alias("near"))
+    return both.join(one, "b").groupBy("a").agg(least("near")).select(F.col("a").alias("node"), "to")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)``; a component is named by one of its nodes.
 
-    Each round sends every node to the neighbour (or itself) of the smallest hash, which differs from
-    round to round, and contracts the links to those; so long chains shrink as fast as stars do.
-    Nothing is collected; minima are aggregated before the shuffle, so hubs are harmless.
+    Each round sends every node to the node of the smallest hash within two steps, and contracts the
+    links to those. Two steps fold any star in one round, and hashes that differ from round to round
+    fold chains as fast. Nothing is collected; minima are aggregated before the shuffle, so hubs are
+    harmless.
     """
     steps: list[DataFrame] = []
-    edges = cut(links.select("a", "b").filter("a <> b").distinct())
-    k = 0
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("x"))
-        to = both.groupBy("a").agg(F.min(F.least(rank("a"), rank("b"))).alias("m")).select(F.col("a").alias("node"), F.col("m.x").alias("to"))
-        to = cut(to)
+    edges = links.select("a", "b").filter("a <> b")
+    while True:
+        to = compact(nearest(edges, len(steps)))
         steps.append(to)
-        edges = cut(
-            edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
-            .join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-            .filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        )
-        k += 1
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        ends = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        edges = compact(ends.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        if edges.isEmpty():
+            break
     found = steps[-1].withColumnRenamed("to", "component")
     for to in reversed(steps[:-1]):
-        later = found.select(F.col("node").alias("to"), F.col("component").alias("later"))
-        found = to.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("component"))
-    return cut(found)
+        found = to.join(found.select(F.col("node").alias("to"), F.col("component").alias("later")), "to", "left").select("node", F.coalesce("later", "to").alias("component"))
+    return found if len(steps) == 1 else compact(found)

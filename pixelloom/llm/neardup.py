@@ -12,9 +12,11 @@ documents with a probability close to their similarity J.
    estimated jointly by maximum likelihood from how many registers are larger, smaller and equal, and
    from the known set sizes; those within six standard errors of the threshold are verified on the
    full sets. Verified links give components.
-4. What a bucket still holds of different components is paired across components, sizes permitting.
-   A bucket of more than ``hot`` such nodes is first split by every other band (ten registers agree in
-   one of 40 tries with the same certainty), so no bucket is capped and none is all pairs.
+4. What a bucket still holds of different components is tried once more against the best linked node of
+   its largest component. Then those outside that component are paired with all others, if sizes and
+   parity signatures permit: the bits in which two sets differ bound the elements in which they do, so
+   the many texts that share a passage or are rewritten from one, but are not alike enough, are ruled
+   out inside the join. Nothing is capped.
 5. Components of all links; each is named by its smallest id.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; a text of
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, sized
+from .common import LOWER, UPPER, compact, cut, sized
 from .components import components
 from .substring import Hasher, U, chunks
 
 BANDS, ROWS = 41, 5
 #: Base and rate of the registers; 16 bits hold all set sizes up to 2^60 with these.
 BASE, RATE = 1.001, 20.0
+#: Bits of a set's parity signature.
+PARITY = 2048
 MAX_BROADCAST = 2_000_000
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[[ord(c) for c in UPPER]] = [ord(c) for c in LOWER]
@@ -79,8 +83,18 @@ def registers(s: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, 65535).astype(np.uint16)
 
 
+def parities(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``(sets, PARITY // 64)`` longs; bit ``b`` is the parity of the number of elements that hash to ``b``.
+
+    Sets that differ in so many bits differ in at least as many elements.
+    """
+    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
+    count = np.bincount(owner * PARITY + (Hasher.mix(s, 77) >> U(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=len(first) * PARITY)
+    return np.packbits((count & 1).astype(np.uint8).reshape(len(first), PARITY), axis=1).view(np.int64)
+
+
 def sketches(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, text_hash, n, s1, s2, registers`` of every row; ``s1, s2`` are hashes of the whole set."""
+    """``id, text_hash, n, s1, s2, registers, parity`` of every row; ``s1, s2`` are hashes of the whole set."""
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +107,21 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_c
                 first = np.searchsorted(owner, full)
                 sums = np.zeros((2, b - a), np.int64)
                 regs: list[bytes | None] = [None] * (b - a)
+                bits: list[np.ndarray | None] = [None] * (b - a)
                 if len(full):
                     for j in range(2):
                         sums[j, full] = np.add.reduceat(Hasher.mix(s, 101 + j), first).view(np.int64)
                     for i, r in zip(full, registers(s, first, m)):
                         regs[i] = r.astype("<u2").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(regs, pa.binary())], ["id", "text_hash", "n", "s1", "s2", "registers"])
+                    for k0 in range(0, len(full), 100):
+                        part = full[k0 : k0 + 100]
+                        end = first[k0 + 100] if k0 + 100 < len(full) else len(s)
+                        for i, r in zip(part, parities(s[first[k0] : end], first[k0 : k0 + 100] - first[k0])):
+                            bits[i] = r
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(regs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "text_hash", "n", "s1", "s2", "registers", "parity"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col)).mapInArrow(
-        run, "id long, text_hash long, n long, s1 long, s2 long, registers binary"
+        run, "id long, text_hash long, n long, s1 long, s2 long, registers binary, parity array<long>"
     )
 
 
@@ -134,6 +154,14 @@ def likelihood(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a:
     return j[np.arange(len(j)), score.argmax(1)]
 
 
+def texts_of(nodes: DataFrame, used: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``uid, text`` of the nodes ``used``; rows that repeat an id and its text may repeat a node."""
+    used = sized(used, MAX_BROADCAST)
+    where = sized(nodes.join(used, "uid", "left_semi").select("uid", F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), MAX_BROADCAST)
+    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
+    return text.join(where, text["__id"].eqNullSafe(where["__id"]) & (text["__hash"] == where["__hash"])).select("uid", "text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, m: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets have ``100 * intersection >= percent * union``."""
     margin = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / m)
@@ -148,11 +176,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
     side = lambda c: nodes.select(F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     close = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    close = cut(close.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely, "a long, b long"))
-    used = sized(close.select(F.col("a").alias("uid")).union(close.select("b")).distinct(), MAX_BROADCAST)
-    where = sized(nodes.join(used, "uid", "left_semi").select("uid", F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), MAX_BROADCAST)
-    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
-    text = text.join(where, text["__id"].eqNullSafe(where["__id"]) & (text["__hash"] == where["__hash"])).select("uid", "text").dropDuplicates(["uid"])
+    close = compact(close.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely, "a long, b long"))
+    text = texts_of(nodes, close.select(F.col("a").alias("uid")).union(close.select("b")).distinct(), docs, id_col, text_col)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -185,43 +210,63 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components whose sizes permit the similarity."""
-    a, b = (rows.select("key", F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    return a.join(b, "key").filter(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    """Pairs of one bucket and different components that may reach the similarity.
+
+    ``rows`` has ``key, uid, n, component, main, bits``: the largest component of the bucket, and the parity
+    signature as longs. Members of that component are only paired with others; so a bucket costs
+    the others times its size. Two sets that are alike enough differ in at most a known part of their
+    elements, and so in at most as many bits.
+    """
+    a, b = (rows.select("key", "main", F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("bits").alias(f"p{x}")) for x in "ab")
+    apart = "aggregate(zip_with(pa, pb, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    # |A - B| + |B - A| <= (1 - J) * |A or B|, and |A or B| is half of |A| + |B| + that difference.
+    can = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * {apart} <= {100 - percent} * (na + nb)"
+    pairs = a.filter("ca <> main").join(b.drop("main"), "key").filter(f"ca <> cb and (cb = main or a < b) and {can}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """Buckets with more than one component: ``key, members``."""
-    return rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
+    """Buckets with more than one component: ``key, main, members``."""
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    return each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("members"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.component").alias("main"), "members")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, hot: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, text_hash, n_shingles, component_id``."""
     m = bands * rows
     own = cut(sketches(docs, k, bands, rows, id_col, text_col))
     last = F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")
-    nodes = own.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(last).alias("of"), F.first("registers").alias("registers"))
-    nodes = cut(nodes.select("s1", "s2", "n", "registers", F.col("of.id").alias("id"), F.col("of.text_hash").alias("text_hash")).withColumn("uid", F.monotonically_increasing_id()))
+    nodes = own.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(last).alias("of"), F.first("registers").alias("registers"), F.first("parity").alias("parity"))
+    nodes = cut(nodes.select("s1", "s2", "n", "registers", "parity", F.col("of.id").alias("id"), F.col("of.text_hash").alias("text_hash")).withColumn("uid", F.monotonically_increasing_id()))
 
     in_bands = cut(banded(nodes, bands, rows))
     buckets = in_bands.select(F.explode("bands").alias("key"), "uid", "n")
-    heads = buckets.groupBy("key").agg(F.min("uid").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
-    stars = cut(buckets.join(heads, "key").filter("a <> uid").select("a", F.col("uid").alias("b")).distinct())
-    links = cut(verified(stars, nodes, docs, k, percent, m, id_col, text_col))
+    heads = buckets.groupBy("key").agg(F.min("uid").alias("head"), F.count("*").alias("c")).filter("c > 1").select("key", "head")
+    shared = compact(buckets.join(heads, "key").select("key", "uid", "n", "head"))
+    stars = compact(shared.filter("head <> uid").select(F.col("head").alias("a"), F.col("uid").alias("b")).distinct())
+    links = compact(verified(stars, nodes, docs, k, percent, m, id_col, text_col))
+
+    def with_components(held: DataFrame) -> DataFrame:
+        named = compact(shared.join(held, shared["uid"] == held["node"], "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("component")))
+        return compact(named.join(mixed(named), "key"))
 
+    # Once more against the node of each bucket's largest component that has the most links.
     held = components(links)
-    named = in_bands.join(held, in_bands["uid"] == held["node"], "left").select("uid", "n", "bands", F.coalesce("component", "uid").alias("component"))
-    by_key = named.select(F.explode("bands").alias("key"), "uid", "n", "component")
-    several = cut(mixed(by_key))
-    rest = by_key.join(several.filter(f"members <= {hot}").select("key"), "key")
-    large = several.filter(f"members > {hot}").select("key")
-    if not large.isEmpty():
-        deeper = named.select("uid", "n", "component", "bands", F.explode("bands").alias("key")).join(large, "key")
-        deeper = deeper.select("uid", "n", "component", "key", F.explode("bands").alias("other")).filter("other <> key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "uid", "n", "component").distinct()
-        rest = rest.unionByName(deeper.join(mixed(deeper).select("key"), "key"))
-    more = cut(across(rest, percent).join(stars, ["a", "b"], "left_anti"))
+    rest = with_components(held)
+    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("links"))
+    best = rest.filter("component = main").join(degree, "uid").groupBy("key").agg(F.max(F.struct("links", "uid")).alias("m")).select("key", F.col("m.uid").alias("head"))
+    second = rest.filter("component <> main").join(best, "key").select(F.least("head", "uid").alias("a"), F.greatest("head", "uid").alias("b")).distinct()
+    second = compact(second.join(stars, ["a", "b"], "left_anti"))
+    stars = stars.unionByName(second)
+    found = compact(verified(second, nodes, docs, k, percent, m, id_col, text_col))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        held = components(links)
+        rest = with_components(held)
+    rest = rest.join(nodes.select("uid", F.col("parity").alias("bits")), "uid")
+    more = compact(across(rest, percent).join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = cut(verified(more, nodes, docs, k, percent, m, id_col, text_col))
+        found = compact(verified(more, nodes, docs, k, percent, m, id_col, text_col))
         if not found.isEmpty():
             held = components(links.unionByName(found))
 

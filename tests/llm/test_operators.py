@@ -1,0 +1,478 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pixelloom.llm import components, decontaminate, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, warc
+from pixelloom.llm.queries import tokenizer_path
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+CLASH = {"id": 1, "key": "k", "text_hash": 2, "n": 3, "w": 4, "a": 5, "uid": 6, "toxicity": "old", "host": "h", "trust": 0, "mentions": "m"}
+
+
+def prose(rng, n, words=WORDS):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    texts = [prose(rng, rng.randint(5, 120), vocabulary) for _ in range(n)]
+    texts[3] = texts[2]
+    texts[5] = texts[4] + " " + prose(rng, 3, vocabulary)
+    texts[7] = " ".join(texts[6].split()[:40] + prose(rng, 30, vocabulary).split())
+    texts[9] = prose(rng, 30, vocabulary) + "\t\n" + texts[8]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    rows += [(1000, None), (1001, ""), (1002, "  \n "), (1003, "one"), (1004, "é ß 中文 😀 ÀÉ"), (None, texts[10]), (1005, "x" * 5000), (1006, "echo " * 3000)]
+    return rows
+
+
+def frame(spark, rows, **extra):
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in extra.items()})
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+# 1 decontamination
+
+
+def brute_hits(text, items, n=13):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    hit, found = set(), set()
+    for item, t in items:
+        b = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        k = min(n, len(b))
+        for j in range(len(b) - k + 1 if b else 0):
+            for i in range(len(w) - k + 1):
+                if w[i : i + k] == b[j : j + k]:
+                    hit.update(range(i, i + k))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination(spark, rows):
+    rng = random.Random(4)
+    items = [(1, rows[0][1][:200]), (2, "Alphabeta, BETAGAMMA!"), (3, None), (4, ""), (5, prose(rng, 20)), (6, "one"), (10, rows[12][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("b_hash", F.lit(1))
+    rows = [*rows, (2000, "zz " * 5 + items[4][1] + " qq" * 9), (2000, "zz " * 5 + items[4][1] + " qq" * 9), (2001, "alphabeta betagamma")]
+    docs = frame(spark, rows, **CLASH)
+    for bound in (2_000_000, 0):  # with and without broadcasting
+        got = Counter((r.id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.hits(docs, bench, max_broadcast=bound).collect())
+        want = Counter()
+        for i, t in rows:
+            n, h, f = brute_hits(t, items)
+            want[i, n, h, tuple(f)] += 1
+        assert got == want
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    bad = {i for i, t in rows if (x := brute_hits(t, items))[1] and 20 * x[1] >= x[0]}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows if i not in bad)
+    cut = {r.doc_id: r.text for r in decontaminate.clean(docs, bench, remove="spans").collect()}
+    assert re.findall("[a-z]+", cut[2000]) == ["zz"] * 5 + ["qq"] * 9 and cut[1000] is None
+
+
+# 2 substrings
+
+
+def brute_repeats(rows, n=20):
+    seen, out = {}, []
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    gone = [set() for _ in rows]
+    for d in order:
+        for i in range(len(words[d]) - n + 1):
+            g = tuple(words[d][i : i + n])
+            if g in seen and seen[g] != (rows[d][0], rows[d][1], i):
+                gone[d].update(range(i, i + n))
+            else:
+                seen.setdefault(g, (rows[d][0], rows[d][1], i))
+    for d, w in enumerate(words):
+        out.append((rows[d][0], len(w), len(gone[d]), " ".join(x for i, x in enumerate(w) if i not in gone[d])))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("bits", [1 << 30, 1 << 16])
+def test_substrings(spark, rows, bits, monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 700)
+    twice = [*rows, rows[0], rows[8], (5000, "w " * 50), (5001, "w " * 50)]
+    got = Counter(tuple(r) for r in substring.remove_repeats(frame(spark, twice, **CLASH).repartition(5), max_bits=bits).collect())
+    assert got == brute_repeats(twice)
+
+
+def test_substrings_of_nothing(spark):
+    assert substring.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    texts = ["a b", "ab a", "", "b\x0ba", "c" * 100 + " " + "c" * 99 + "d"]
+    h = substring.Hasher()
+    ((_, _, data, begin),) = substring.chunks(pa.array(texts))
+    words, _, owner = h.words(data, begin)
+    assert owner.tolist() == [0, 0, 1, 1, 3, 3, 4, 4]
+    assert words[0] == words[3] == words[5] and words[1] == words[4] and len(set(words.tolist())) == 5
+
+
+# 3 fingerprints
+
+
+def brute_winnow(text, k=5, w=8):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else [words] if words else []
+    hashes = []
+    for g in grams:
+        seed = 42
+        for x in g:
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        hashes.append(seed >> 32)
+    picked = []
+    for a in range(max(1, len(hashes) - w + 1) if hashes else 0):
+        window = hashes[a : a + w]
+        p = a + max(i for i, v in enumerate(window) if v == min(window))
+        if p not in picked:
+            picked.append(p)
+    return [(hashes[p], p) for p in picked]
+
+
+def test_fingerprints(spark, rows):
+    rows = [r for r in rows if r[0] is not None]
+    docs = frame(spark, rows, **CLASH).repartition(4)
+    got = {r.id: r for r in fingerprint.compare_with_edits(docs).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows)
+    show = lambda f: " ".join(f"{h:X}:{p}" for h, p in f)
+    alike = lambda f, g: 1.0 if not f and not g else len({h for h, _ in f} & {h for h, _ in g}) / len({h for h, _ in f} | {h for h, _ in g})
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        f, g, h = brute_winnow(t), brute_winnow(edited), brute_winnow(after)
+        r = got[i]
+        assert (r.n_chars, r.edited, r.p, r.q) == (len(t), edited, show(f), show(g))
+        assert r.near_edited == pytest.approx(alike(f, g)) and r.near_next == pytest.approx(alike(f, h))
+
+
+def test_fingerprints_of_repeated_rows_and_nothing(spark):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z"), (None, "q")]
+    got = Counter((r.id, r.edited) for r in fingerprint.compare_with_edits(frame(spark, rows)).collect())
+    assert got == Counter({(1, "a b c d e f z"): 2, (2, "z"): 1, (None, "q"): 1})
+    assert fingerprint.compare_with_edits(frame(spark, [])).count() == 0
+
+
+# 4 urls
+
+
+def test_url_rules_and_propagation(spark):
+    pages = [
+        (1, "http://Good.ORG/x", '<a href="http://friend.net/">'), (2, "http://friend.net/a", '<a href="//pal.net/">'), (3, "http://spam.com/de/1", ""), (4, "http://linker.net/", '<A HREF=\'http://spam.com/de/1\'>'),
+        (5, "http://a.example.org/en/12?x#y", None), (6, "http://example.org/es/", ""), (7, None, "x"), (8, "no scheme", None), (9, "http://org", ""), (10, "http://x.com/fr/", ""), (10, "http://x.com/fr/", ""), (None, "http://pal.net", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judged(df).collect()}
+    assert got[1] == ("good.org", "/x", "org/", "allow") and got[3] == ("spam.com", "/de/1", "com/de/", "block")
+    assert got[4] == ("linker.net", "/", None, "block") and got[2][3] == "allow"
+    assert got[5] == ("a.example.org", "/en/12", "example.org/en/1", "block") and got[6][2] == "example.org/es/"
+    assert got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow") and got[9] == ("org", "", None, "allow")
+    assert urlfilter.judged(df).count() == len(pages) and urlfilter.judged(df.limit(0)).count() == 0
+
+
+# 5 packing
+
+
+def test_tokens_are_the_tokenizer_s():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    rng = random.Random(2)
+    letters = "abcABC'.,!#  \n\t\ré́İΣσ 12½Ⅰ_-|$\x1c\x85 中😀<|endoftext|>s"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["it's we'll don't. x'.s I'M"]
+    got = packing.WordTokenizer(tokenizer_path()).encode(texts)
+    for t, g, e in zip(texts, got, plain.encode_batch(texts, add_special_tokens=False)):
+        assert g == np.asarray(e.ids, "<u4").tobytes(), t
+
+
+@pytest.mark.parametrize("per_partition", [200_000, 15])
+def test_packing(spark, rows, per_partition):
+    rows = [*rows, rows[0], (7000, "long " * 9000)] + [(8000 + i, "same text of equal length") for i in range(40)]
+    docs = frame(spark, rows, **CLASH).repartition(3)
+    got = packing.pack(docs, tokenizer_path(), capacity=128, with_ids=True, rows_per_partition=per_partition).collect()
+    by_sequence, by_doc = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+        by_doc[r.id].append(r)
+        assert r.length * 4 == len(r.ids) and r.ids_crc32 == zlib.crc32(r.ids)
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 128
+    encoder = packing.WordTokenizer(tokenizer_path())
+    for i, t in rows:
+        ids = encoder.encode([t or ""])[0] + np.asarray([1], "<u4").tobytes()
+        copies = sum(1 for r in rows if r[0] == i)
+        assert Counter((r.piece, r.start, bytes(r.ids)) for r in by_doc[i]) == Counter({(k, k * 128, ids[k * 512 : k * 512 + 512]): copies for k in range(-(-len(ids) // 512))})
+    total = sum(r.length for r in got)
+    assert len(by_sequence) <= -(-total // 128) * 1.1 + 1
+    assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_brackets():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        opens = rng.random(rng.integers(1, 40)) < 0.5
+        closers, openers = packing.matched(opens)
+        stack, want = [], {}
+        for i, o in enumerate(opens):
+            if o:
+                stack.append(i)
+            elif stack:
+                want[i] = stack.pop()
+        assert dict(zip(closers.tolist(), openers.tolist())) == want
+
+
+# 6 secrets
+
+
+def test_secrets(spark):
+    key = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'so token = "{key}" and 4111111111111111 then'), (2, None), (3, ""), (4, "nothing here 12"), (5, f"api_key: {key.upper()}"), (5, f"api_key: {key.upper()}"), (6, "see http://www.example.com/static/image/20240101120000 please"), (7, "a" * 20000 + f' secret="{key}"')]
+    docs = frame(spark, rows, **CLASH)
+    findings = secretscan.example_findings(spark, 2000)
+    got = Counter((r.id, r.n_candidates, tuple(r.secrets)) for r in secretscan.scan(docs, findings).collect())
+    assert got == Counter({(1, 2, (key,)): 1, (2, 0, ()): 1, (3, 0, ()): 1, (4, 0, ()): 1, (5, 1, (key.upper(),)): 2, (6, 1, ()): 1, (7, 1, (key,)): 1})
+    clean = {r.doc_id: r.text for r in secretscan.redact(docs, findings).collect()}
+    assert clean[1] == 'so token = "[secret]" and 4111111111111111 then' and clean[2] is None
+    assert secretscan.scan(docs, findings.limit(0)).filter("id = 1").first().n_secrets == 2
+    assert secretscan.scan(docs.limit(0), findings).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    findings = secretscan.example_findings(spark, 3000).withColumn("late", F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0)
+    docs = findings.filter("late").select(F.monotonically_increasing_id().alias("doc_id"), F.concat("before", "candidate", "after").alias("text"), F.col("is_secret").cast("int").alias("y")).cache()
+    got = secretscan.scan(docs, findings.filter("not late")).join(docs.select(F.col("doc_id").alias("id"), "y"), "id").filter("n_candidates = 1")
+    right = got.filter("(n_secrets > 0) = (y = 1)").count()
+    assert right >= 0.95 * got.count() > 300
+
+
+# 7 personal data
+
+
+def test_personal_data(spark):
+    rows = [
+        (1, "Dear Mrs. Anna Schmidt, call +1 (974) 555-3436; JO.DOE7@MAIL4.EXAMPLE.COM jo.doe7@mail4.example.com x@mail4.example.com"), (2, None), (3, ""), (4, "Herr Müller 4111 1111 1111 1111 and 4111111111111111, 4111-1111-1111-1112; 10.0.0.1 123-45-6789"),
+        (5, "nothing 12.34.56 2024-01-01"), (5, "nothing 12.34.56 2024-01-01"), (None, "mail jo.doe7@mail4.example.com"), (6, "Г-жа Анна Иванова"), (7, "10.0.0.1 " * 500),
+    ]
+    docs = frame(spark, rows, **CLASH)
+    out = pii.pseudonymise(docs, key="k", mentions_col="found")
+    assert out.columns == [*docs.columns, "found"]
+    got = out.collect()
+    text = {r.doc_id: r.text for r in got}
+    assert len(got) == len(rows) and text[2] is None and text[3] == "" and text[5] == rows[4][1]
+    for real in ("Anna", "Schmidt", "974", "JO.DOE7", "jo.doe7", "4111111111111111", "4111 1111", "10.0.0.1", "123-45-6789", "Müller", "Анна", "Иванова"):
+        assert not any(real in (t or "") for t in text.values()), real
+    m = re.fullmatch(r"Dear Mrs\. ([A-Z][a-z]+) [A-Z][a-z]+, call \+1 \(\d{3}\) \d{3}-\d{4}; (\S+) (\S+) [a-z]@(\S+)", text[1])
+    assert m and m[1] in pii.GIVEN["f", "latin"].split() and m[2].lower() == m[3] and m[3].split("@")[1] == m[4] and m[3].endswith(".com")
+    assert text[None] == f"mail {m[3]}"
+    a, b, c = re.findall(r"4\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", text[4])
+    luhn = lambda s: sum(int(d) if i % 2 == 0 else sum(divmod(int(d) * 2, 10)) for i, d in enumerate(reversed(re.sub(r"\D", "", s)))) % 10 == 0
+    assert a.replace(" ", "") == b and luhn(b) and not luhn(c) and re.fullmatch(r"4\d{3}-\d{4}-\d{4}-\d{4}", c)
+    assert re.fullmatch(r"Г-жа [А-Я][а-я]+ [А-Я][а-я]+", text[6]) and len(set(text[7].split())) == 1
+    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    again = {r.doc_id: r.text for r in pii.pseudonymise(docs, key="other").collect()}
+    assert again[1] != text[1]
+
+
+def test_surrogates_stay_distinct(spark):
+    forms = spark.range(300).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("form"))  # 1000 numbers for 300 of them
+    done = pii.assign(forms, "k").collect()
+    assert len(done) == 300 and len({r.surrogate for r in done}) == 300
+    assert not {r.surrogate for r in done} & {r.form for r in done}
+
+
+# 8 near-duplicates
+
+
+def brute_groups(rows, k=4, percent=80):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)].append(d)
+    return Counter((d, len(s), min(least[find(i)], default=None)) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+
+
+def test_near_duplicates(spark, rows):
+    rng = random.Random(9)
+    base = prose(rng, 150, [f"{a}-{b}" for a in WORDS for b in WORDS]).split()
+    for i in range(40):  # a chain and a cloud around one text
+        w = list(base)
+        for _ in range(i % 7):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows = [*rows, (3000 + i, " ".join(w))]
+    rows = [*rows, (0, "another text of a taken id altogether")]
+    docs = frame(spark, rows, **CLASH).repartition(3)
+    got = Counter((r.id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
+    assert got == brute_groups(rows)
+
+
+def test_one_of_each(spark, rows):
+    docs = frame(spark, [*rows, rows[0]], **CLASH)
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 6 in ids and 9 not in ids and ids.count(0) == 1 and {1000, 1001, 1002} <= set(ids)
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_likelihood_estimates_similarity():
+    rng = np.random.default_rng(3)
+    m = neardup.BANDS * neardup.ROWS
+    for share in (0.3, 0.8, 1.0):
+        n = 2000
+        both = rng.integers(0, 1 << 63, int(n * share), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, n - len(both), dtype=np.uint64)))) for _ in range(2))
+        ra, rb = (neardup.registers(x, np.array([0]), m)[0].astype(int) for x in (a, b))
+        truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        j = neardup.likelihood(*(np.array([x.sum()]) for x in (ra > rb, ra < rb, ra == rb)), np.array([len(a)]), np.array([len(b)]))[0]
+        assert abs(j - truth) < 0.12
+
+
+def test_registers_merge():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(2))
+    one = lambda x: neardup.registers(np.unique(x), np.array([0]), 60)[0]
+    assert np.array_equal(np.maximum(one(a), one(b)), one(np.concatenate((a, b))))
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(100)] + [(1000, 2000 + i) for i in range(50)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len(got) == 152 and len(set(got.values())) == 2 and got[0] == got[100] and got[1000] == got[2049] != got[0]
+
+
+# 9 archives
+
+
+def test_bundles():
+    records = [(f"<r{i}>", bytes([i]) * (i * 700)) for i in range(40)]
+    data = warc.pack_bundle(records, frame_bytes=4000)
+    assert len(warc.seek_table(data)) > 5
+    assert all(warc.fetch(data, name) == body for name, body in records) and warc.fetch(data, "<none>") is None
+    import io
+
+    import zstandard
+
+    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == b"".join(b for _, b in records)
+
+
+def test_archives(spark):
+    pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "http://c/", None), (5, "http://d/", ""), (4, "http://e/", "é" * 100_000), (4, "http://e/", "é" * 100_000), (None, "u", "same"), (9, "u", "\r\n\r\n")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).withColumn("sha1", F.lit(1))
+    path = warc.archive_path(spark)
+    warc.write(df, path, bundle_bytes=3000)
+    got = warc.load(spark, path).collect()
+    kinds = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
+    assert kinds == Counter({(3, "revisit", 1, 4): 1, (1, "response", None, 4): 1, (2, "response", None, 0): 1, (5, "revisit", 2, 0): 1, (4, "response", None, 200_000): 2, (None, "revisit", 1, 4): 1, (9, "response", None, 4): 1})
+    assert {r.page_id: bytes(r.payload) for r in got if r.payload is not None}[9] == b"\r\n\r\n"
+    empty = warc.archive_path(spark)
+    warc.write(df.limit(0), empty)
+    assert warc.load(spark, empty).count() == 0
+
+
+# 10 toxicity
+
+
+def brute_kernel(s, t, p=toxicity.P, decay=toxicity.LAMBDA):
+    from itertools import combinations
+
+    total = 0.0
+    for i in combinations(range(len(s)), p):
+        for j in combinations(range(len(t)), p):
+            if all(s[a] == t[b] for a, b in zip(i, j)):
+                total += decay ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def test_kernel_is_the_sum_over_subsequences():
+    rng = random.Random(5)
+    for _ in range(30):
+        s, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(2))
+        got = toxicity.kernel(toxicity.letters([s, s + "a"]), toxicity.letters([t]))
+        assert got[0] == pytest.approx(brute_kernel(s, t), rel=1e-4) and got[1] == pytest.approx(brute_kernel(s + "a", t), rel=1e-4)
+
+
+def test_toxicity_learns_and_tolerates_insertions():
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    bad = "worthless pathetic disgusting".split()
+    texts, toxic = [], []
+    for i in range(400):
+        w = prose(rng, 40, words).split()
+        if i % 4 == 0:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        texts.append(" ".join(w))
+        toxic.append(i % 4 == 0)
+    model = toxicity.fit(texts, np.array(toxic))
+    plain = prose(rng, 40, words)
+    hidden = [f"{plain} worthxless pathxetic disguxsting", f"{plain} w.o.r.t.h.l.e.s.s p-a-thetic dis_gusting", f"{plain} WORTHLESS, pathetic!"]
+    assert (model.score(hidden) > 0.5).all() and model.score([plain])[0] < 0.5
+    assert model.score(["", "é", "w" * 500]).shape == (3,)
+
+
+def test_toxicity_cases(spark):
+    rows = [(i, "you worthless fool" if i % 3 == 0 else "a fine day") for i in range(60)] + [(100, None), (101, ""), (None, "fine"), (0, "you worthless fool")]
+    docs = frame(spark, rows, **CLASH)
+    labels = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i in range(60)] + [(7, None), (None, 1), (999, 1), (0, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    got = toxicity.scored(docs, model)
+    assert got.count() == len(rows) and dict(got.dtypes)["toxicity"] == "double"
+    by_id = {r.doc_id: r.toxicity for r in got.collect()}
+    assert by_id[3] > 0.5 > by_id[1] and by_id[100] == by_id[101] and all(0 <= v <= 1 for v in by_id.values())
+    assert toxicity.train(docs, labels.limit(0), F.lit(True)) is None
+    assert toxicity.scored(docs, None).filter("toxicity <> 0").count() == 0
+
+
+def test_held_out_accuracy(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    d = "/root/testdata/sf0.01"
+    rows = c.execute(f"select d.doc_id, coalesce(text, ''), toxic from '{d}/documents.parquet' d join '{d}/labels.parquet' using (doc_id) order by 1").fetchall()
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows])
+    y = np.array([t == 1 for _, _, t in rows])
+    texts = [t for _, t, _ in rows]
+    model = toxicity.fit([t for t, h in zip(texts, held) if not h], y[~held])
+    s = model.score([t for t, h in zip(texts, held) if h])
+    rank = np.argsort(np.argsort(s))
+    y = y[held]
+    assert (rank[y].mean() - (y.sum() - 1) / 2) / (~y).sum() > 0.85

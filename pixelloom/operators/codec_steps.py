@@ -100,6 +100,33 @@ def upsample_h2v1(df: DataFrame, v: str = "v") -> DataFrame:
     return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def _doubled_rows(df: DataFrame, v: str, values: str) -> DataFrame:
+    """Two rows out of each: ``values`` is SQL of a sample and its ``other`` row, above for the first and below for the second."""
+    w = _column()
+    n = df.withColumn("above", F.coalesce(F.lag(v).over(w), F.col(v))).withColumn("below", F.coalesce(F.lead(v).over(w), F.col(v)))
+    row = lambda d, other: F.struct(F.lit(d).alias("d"), F.expr(values.format(v=v, other=other, bias=d + 1)).alias("v"))
+    both = n.withColumn("o", F.explode(F.array(row(0, "above"), row(1, "below"))))
+    new = {"y": F.expr("cast(y * 2 + o.d as int)"), v: F.col("o.v").cast("int"), "h": F.expr("cast(h * 2 as int)")}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+
+
+def upsample_h1v2(df: DataFrame, v: str = "v") -> DataFrame:
+    """Twice as high by the triangle filter."""
+    return _doubled_rows(df, v, "shiftright(3 * {v} + {other} + {bias}, 2)")
+
+
+def upsample_h2v2(df: DataFrame, v: str = "v") -> DataFrame:
+    """Twice as wide and high: sums of two rows, then the triangle filter along the row."""
+    sums = _doubled_rows(df, v, "3 * {v} + {other}")
+    w = _row()
+    n = sums.withColumn("prev", F.lag(v).over(w)).withColumn("next", F.lead(v).over(w))
+    left = F.expr(f"if(prev is null, shiftright(4 * {v} + 8, 4), shiftright(3 * {v} + prev + 8, 4))")
+    right = F.expr(f"if(next is null, shiftright(4 * {v} + 7, 4), shiftright(3 * {v} + next + 7, 4))")
+    both = n.withColumn("o", F.explode(F.array(F.struct(F.lit(0).alias("d"), left.alias("v")), F.struct(F.lit(1).alias("d"), right.alias("v")))))
+    new = {"x": F.expr("cast(x * 2 + o.d as int)"), v: F.col("o.v").cast("int"), "w": F.expr("cast(w * 2 as int)")}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+
+
 def read_be(content: str, offset: int, size: int) -> Column:
     """An unsigned big-endian number of ``size`` bytes at a 0-based offset; null past the end."""
     return F.expr(f"if(length({content}) >= {offset + size}, cast(conv(hex(substring({content}, {offset + 1}, {size})), 16, 10) as bigint), null)")

@@ -568,6 +568,24 @@ def w9(spark, d):
     return codec_steps.upsample_h2v1(fixtures.frames(spark, d)).select("doc_id", "item_index", "x", "y", "v")
 
 
+_TALL = "tall as (select doc_id, item_index, x, y * 2 as y, v, coalesce(lag(v) over c, v) as o, 1 as bias from src window c as (partition by doc_id, item_index, x order by y) union all select doc_id, item_index, x, y * 2 + 1, v, coalesce(lead(v) over c, v), 2 from src window c as (partition by doc_id, item_index, x order by y))"
+
+
+@query("w9_upsample_h1v2", f"with {FRAMES}, {_TALL} select doc_id, item_index, {ints('x', 'y', '(3 * v + o + bias) >> 2 as v')} from tall")
+def w9b(spark, d):
+    return codec_steps.upsample_h1v2(fixtures.frames(spark, d)).select("doc_id", "item_index", "x", "y", "v")
+
+
+@query(
+    "w9_upsample_h2v2",
+    f"""with {FRAMES}, {_TALL}, s as (select doc_id, item_index, x, y, 3 * v + o as s from tall), n as (select *, lag(s) over r as p, lead(s) over r as q from s window r as (partition by doc_id, item_index, y order by x))
+    select doc_id, item_index, {ints('x * 2 as x', 'y', 'case when p is null then (4 * s + 8) >> 4 else (3 * s + p + 8) >> 4 end as v')} from n
+    union all select doc_id, item_index, {ints('x * 2 + 1 as x', 'y', 'case when q is null then (4 * s + 7) >> 4 else (3 * s + q + 7) >> 4 end as v')} from n""",
+)
+def w9c(spark, d):
+    return codec_steps.upsample_h2v2(fixtures.frames(spark, d)).select("doc_id", "item_index", "x", "y", "v")
+
+
 @query("w10_dither")
 def w10(spark, d):
     return palette.dither(fixtures.rgba(spark, d), fixtures.palette16(spark, d)).select("x", "y", "idx", *RGBA)

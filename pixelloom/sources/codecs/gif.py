@@ -102,38 +102,61 @@ def load(content: bytes, limits: Limits) -> Document:
     return doc
 
 
+def plan(canvases: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """``(left, top, width, height, disposal)`` of each frame: what has to be drawn on what is there before.
+
+    A frame that makes visible pixels clear needs an empty canvas, so the one before it is drawn whole and
+    cleared after (2); every other is the box of what changed, and stays (1). No change is one pixel.
+    """
+    h, w, _ = canvases[0].shape
+    seen = [c[..., 3] > 0 for c in canvases]
+    erases = [False] + [bool((a & ~b).any()) for a, b in zip(seen, seen[1:])] + [False]
+    out = []
+    base = np.zeros_like(canvases[0])
+    for k, c in enumerate(canvases):
+        if erases[k + 1]:
+            out.append((0, 0, w, h, 2))
+            base = np.zeros_like(c)
+            continue
+        y, x = np.nonzero((c != base).any(2))
+        box = (int(x.min()), int(y.min()), int(x.max() - x.min()) + 1, int(y.max() - y.min()) + 1) if len(x) else (0, 0, 1, 1)
+        out.append((*box, 1 if len(canvases) > 1 else 0))
+        base = c
+    return out
+
+
 def save(doc: Document, interlace: bool = False, alpha_threshold: int = 128, loop_count: int | None = None) -> bytes:
-    """Every item as a frame of the whole canvas with its own table; more than 256 colours are refused."""
-    rasters = [i.raster.rgba8() for i in doc.items]
-    h, w, _ = rasters[0].shape
+    """Frames cut to what changes, each with its own table; more than 256 colours in one are refused."""
+    canvases = []
+    for item in doc.items:
+        rgba = item.raster.rgba8().copy()
+        if canvases and rgba.shape != canvases[0].shape:
+            raise ImageError("UNSUPPORTED", "frames of different sizes")
+        seen = rgba[..., 3] >= alpha_threshold
+        rgba[~seen] = 0
+        rgba[seen, 3] = 255
+        canvases.append(rgba)
+    h, w, _ = canvases[0].shape
     out = b"GIF89a" + struct.pack("<HHBBB", w, h, 0, 0, 0)
     loops = doc.loop_count if loop_count is None else loop_count
-    if len(rasters) > 1 and loops is not None:
+    if len(canvases) > 1 and loops is not None:
         out += b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loops) + b"\0"
     if doc.description:
         text = doc.description.encode("latin-1", "replace")
         out += b"\x21\xfe" + b"".join(bytes([len(text[a : a + 255])]) + text[a : a + 255] for a in range(0, len(text), 255)) + b"\0"
-    for k, (item, rgba) in enumerate(zip(doc.items, rasters)):
-        if rgba.shape[:2] != (h, w):
-            raise ImageError("UNSUPPORTED", "frames of different sizes")
-        rgba = rgba.copy()
-        seen = rgba[..., 3] >= alpha_threshold
-        rgba[~seen] = 0
-        rgba[seen, 3] = 255
-        table = indexed(rgba)
+    boxes = plan(canvases) if len(canvases) > 1 else [(0, 0, w, h, 0)]
+    for item, canvas, (left, top, bw, bh, disposal) in zip(doc.items, canvases, boxes):
+        table = indexed(canvas[top : top + bh, left : left + bw])
         if table is None:
             raise ImageError("UNSUPPORTED", "more than 256 colours; quantize first")
         colours, index = table
         bits = max(1, (len(colours) - 1).bit_length())
         clear = np.flatnonzero(colours[:, 3] == 0)
-        # Each frame is whole: what it leaves clear must not show the one before, so that is cleared.
-        disposal = 2 if len(rasters) > 1 else 0
-        flags = disposal << 2 | (1 if len(clear) else 0)
         num, den = item.delay
-        out += b"\x21\xf9\x04" + struct.pack("<BHB", flags, min(65535, num * 100 // (den or 100)), int(clear[0]) if len(clear) else 0) + b"\0"
-        out += b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0x80 | (0x40 if interlace else 0) | (bits - 1))
+        out += b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (1 if len(clear) else 0), min(65535, num * 100 // (den or 100)), int(clear[0]) if len(clear) else 0) + b"\0"
+        out += b"\x2c" + struct.pack("<HHHHB", left, top, bw, bh, 0x80 | (0x40 if interlace else 0) | (bits - 1))
         out += np.pad(colours[:, :3], ((0, (1 << bits) - len(colours)), (0, 0))).tobytes()
-        rows = index[order(h)] if interlace else index
+        rows = index[order(bh)] if interlace else index
         start = max(2, bits)
         data = lzw_pack(rows.astype(np.uint8).tobytes(), start, False, 0)
         out += bytes([start]) + b"".join(bytes([len(data[a : a + 255])]) + data[a : a + 255] for a in range(0, len(data), 255)) + b"\0"

@@ -67,6 +67,24 @@ def test_animations_and_pages():
     assert same(trip("tiff", [a, b]), [a, b])
 
 
+def test_gif_frames_are_cut_to_what_changes():
+    base = noise(30, 40, few=True)
+    frames = []
+    for k in range(6):
+        f = base.copy()
+        f[3 + k : 6 + k, 5 + k : 9 + k, :3] = 17
+        if k == 3:
+            f[10:15, 10:15] = 0
+        frames.append(f)
+    frames.insert(2, frames[1].copy())
+    rasters = [C.Raster(f) for f in frames]
+    assert same(trip("gif", rasters), rasters)
+    boxes = C.gif.plan(frames)
+    assert boxes[2][2:4] == (1, 1) and boxes[1][2] < 10 and boxes[3][4] == 2 and boxes[4][2:4] == (40, 30)
+    small = C.save(C.Document([C.Item(r) for r in rasters]), "gif")
+    assert len(small) < 7 * len(C.save(C.Document([C.Item(rasters[0])]), "gif")) * 0.8
+
+
 @pytest.mark.parametrize("subsampling", ["444", "422", "420"])
 def test_jpeg_is_close(subsampling):
     y, x = np.mgrid[:37, :45]

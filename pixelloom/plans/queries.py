@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import CMYK, RGBA
 from ..operators import animation, codec_steps, document, join, palette, pixel, resample
-from ..sources import probe
+from ..sources import files, probe
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -632,6 +632,33 @@ def k2(spark, d):
     return codec_steps.png_header(_files(spark, d).filter(probe.format_of(F.col("content")) == "png")).drop("content")
 
 
+# Round trips: what is written and read again has the pixels of the table it was made from.
+
+
+def _again(spark, d, format: str, animated: bool = False, **options) -> DataFrame:
+    px = pixel.gray_to_rgba(fixtures.frames(spark, d).filter("item_index < 6"))
+    made = files.encode(files.from_pixels(px, animated), format, **options)
+    back = files.items(made)
+    found = files.pixels(back).join(back.select(F.xxhash64("path").alias("doc_id"), "path").distinct(), "doc_id")
+    names = F.split("path", "/")
+    item = F.col("item_index") if animated else F.element_at(names, -1).cast("int")
+    return found.select(F.element_at(names, 1).cast("int").alias("doc_id"), item.alias("item_index"), "x", "y", *RGBA)
+
+
+for _format, _name, _options in [
+    ("png", "png", {}), ("png", "png_interlaced_rgba", {"interlaced": True, "palette": "NEVER"}), ("bmp", "bmp", {}), ("bmp", "bmp_rle", {"rle": True}), ("gif", "gif_interlaced", {"interlace": True}), ("tiff", "tiff_lzw", {"compression": "LZW"}),
+    ("tiff", "tiff_packbits_big", {"compression": "PACKBITS", "big_endian": True, "bigtiff": True}), ("ico", "ico_dib", {"payload": "DIB"}), ("webp", "webp_lossless", {}),
+]:
+    query(f"s5_round_trip_{_name}", f"with {FRAMES} select doc_id, item_index, x, y, v as r, v as g, v as b, 255 as a from src where item_index < 6")(lambda spark, d, f=_format, o=_options: _again(spark, d, f, **o))
+for _format in ("png", "gif", "webp"):
+    query(f"s5_animation_{_format}", f"with {FRAMES} select doc_id, item_index, x, y, v as r, v as g, v as b, 255 as a from src where item_index < 6")(lambda spark, d, f=_format: _again(spark, d, f, True))
+
+
+@query("s5_round_trip_jpeg_lossless", f"with {FRAMES} select doc_id, item_index, x, y, v as r, v as g, v as b, 255 as a from src where item_index < 6")
+def s5j(spark, d):
+    return _again(spark, d, "jpeg", lossless_predictor=4)
+
+
 # Set operations and streams of events
 
 

@@ -101,6 +101,28 @@ def pixels(items: DataFrame) -> DataFrame:
     return good.mapInArrow(run, "doc_id bigint, item_index int, w int, h int, x int, y int, r int, g int, b int, a int")
 
 
+def from_pixels(px: DataFrame, animated: bool = False) -> DataFrame:
+    """Rasters of a pixel relation of 8-bit RGBA as items, a file each, or a file a document with its frames.
+
+    The rows of one raster meet in one task, which is what a blob needs.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(_schema(px.sparkSession, ITEMS))
+
+    def run(table: pa.Table) -> pa.Table:
+        doc_id, item, w, h = (table.column(c)[0].as_py() for c in ("doc_id", "item_index", "w", "h"))
+        s = np.zeros((h, w, 4), np.uint8)
+        s[table.column("y").to_numpy(), table.column("x").to_numpy()] = np.stack([table.column(c).to_numpy() for c in "rgba"], 1)
+        row = {
+            "path": f"{doc_id}" if animated else f"{doc_id}/{item}", "error_code": "OK", "item_index": item if animated else 0, "role": "FRAME" if animated else "IMAGE", "role_subject": item if animated else 0,
+            "delay_num": 1, "delay_den": 10, "dispose": 0, "blend": 0, "hotspot_x": 0, "hotspot_y": 0, "model": "RGBA", "bits": 8, "w": w, "h": h, "orientation": 1, "x_dpi": 0, "y_dpi": 0, "samples": s.tobytes(),
+        }
+        return pa.Table.from_pylist([row], schema)
+
+    return px.select("doc_id", "item_index", "w", "h", "x", "y", "r", "g", "b", "a").groupBy("doc_id", "item_index").applyInArrow(run, ITEMS)
+
+
 def _raster(r: dict) -> Raster:
     n = 1 if r["model"] == "GRAY" else 4
     return Raster(np.frombuffer(r["samples"], f"<u{r['bits'] // 8}").reshape(r["h"], r["w"], n).astype(f"u{r['bits'] // 8}"), r["model"])

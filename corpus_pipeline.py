@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import decontaminate, neardup, packing, pii, toxicity
-from pixelloom.llm.common import cut, read
+from pixelloom.llm.common import cut, prepare, read
 from pixelloom.llm.queries import held_out, tokenizer_path
 
 
@@ -23,6 +23,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group, at five words and a similarity of 0.8."""
+    prepare(spark)
     return neardup.one_of_each(docs, k=5, percent=80)
 
 
@@ -33,12 +34,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced and ``n_chars`` counted anew."""
+    prepare(spark)
     found = pii.pseudonymise(docs)
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 4096 tokens."""
+    prepare(spark)
     return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 

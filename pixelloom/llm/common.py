@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Java pattern: runs of ASCII letters and digits and of anything beyond ASCII.
@@ -18,27 +17,15 @@ ALNUM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once a session."""
-    # Texts are long: small batches keep the memory of Python workers and of Arrow buffers small.
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep Arrow batches small, since texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    context = spark.sparkContext
-    if getattr(context, "_pixelloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    folder = Path(tempfile.mkdtemp(prefix="pixelloom-ship-"))  # on the driver, which serves the file itself
-    (folder / "pixelloom.zip").write_bytes(packed.getvalue())
-    context.addPyFile(str(folder / "pixelloom.zip"))
-    context._pixelloom_shipped = True
+    ship(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

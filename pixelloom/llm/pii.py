@@ -59,7 +59,9 @@ def normal(kind: Column, entity: Column) -> Column:
     """The form in which mentions of one entity agree."""
     bare = F.upper(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
     name = F.lower(entity)
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), bare).otherwise(name)
+    # A national number is the same with and without its country code.
+    national = F.when((F.length(bare) > 10) & (kind == "phone"), F.right(bare, F.lit(10))).otherwise(bare)
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), national).otherwise(name)
 
 
 def seed(key: str, *parts: Column) -> Column:
@@ -123,6 +125,8 @@ def printed(kind: Column, entity: Column, form: Column) -> Column:
     """The surrogate ``form`` in the format of the mention ``entity``."""
     # Letters and digits of the form, one after the other, in the places of the mention's.
     chars = F.filter(F.split(entity, ""), lambda c: c != "")
+    bare = F.regexp_replace(entity, r"[^\p{L}\p{N}]", "")
+    form = F.when(kind == "phone", F.concat(F.left(bare, F.length(bare) - F.length(form)), form)).otherwise(form)
     places = F.aggregate(
         chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("out")),
         lambda acc, c: F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.struct((acc["k"] + 1).alias("k"), F.concat(acc["out"], F.substring(form, acc["k"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(acc["k"].alias("k"), F.concat(acc["out"], c).alias("out"))),

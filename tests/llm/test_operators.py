@@ -274,7 +274,7 @@ def test_forest_on_findings_it_has_not_seen(spark):
 def test_personal_data(spark):
     rows = [
         (1, "Dear Mrs. Anna Schmidt, call +1 (974) 555-3436; JO.DOE7@MAIL4.EXAMPLE.COM jo.doe7@mail4.example.com x@mail4.example.com"), (2, None), (3, ""), (4, "Herr Müller 4111 1111 1111 1111 and 4111111111111111, 4111-1111-1111-1112; 10.0.0.1 123-45-6789"),
-        (5, "nothing 12.34.56 2024-01-01"), (5, "nothing 12.34.56 2024-01-01"), (None, "mail jo.doe7@mail4.example.com"), (6, "Г-жа Анна Иванова"), (7, "10.0.0.1 " * 500),
+        (5, "nothing 12.34.56 2024-01-01"), (5, "nothing 12.34.56 2024-01-01"), (None, "mail jo.doe7@mail4.example.com"), (6, "Г-жа Анна Иванова"), (7, "10.0.0.1 " * 500), (8, "(974) 555-3436 or +1 974.555.3436"),
     ]
     docs = frame(spark, rows, **CLASH)
     out = pii.pseudonymise(docs, key="k", mentions_col="found")
@@ -291,6 +291,8 @@ def test_personal_data(spark):
     luhn = lambda s: sum(int(d) if i % 2 == 0 else sum(divmod(int(d) * 2, 10)) for i, d in enumerate(reversed(re.sub(r"\D", "", s)))) % 10 == 0
     assert a.replace(" ", "") == b and luhn(b) and not luhn(c) and re.fullmatch(r"4\d{3}-\d{4}-\d{4}-\d{4}", c)
     assert re.fullmatch(r"Г-жа [А-Я][а-я]+ [А-Я][а-я]+", text[6]) and len(set(text[7].split())) == 1
+    digits = re.sub(r"\D", "", re.search(r"\+1 \(.*?;", text[1])[0])[1:]
+    assert [re.sub(r"\D", "", x) for x in text[8].split(" or ")] == [digits, "1" + digits] and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4} or \+1 \d{3}\.\d{3}\.\d{4}", text[8])
     assert pii.pseudonymise(docs.limit(0)).count() == 0
     again = {r.doc_id: r.text for r in pii.pseudonymise(docs, key="other").collect()}
     assert again[1] != text[1]

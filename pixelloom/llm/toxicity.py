@@ -103,9 +103,11 @@ class Model:
         self.marks = [letters([w]) for w in self.landmarks]
         self.norm = np.array([own(x)[0] for x in self.marks], np.float32)
         self.need = [(np.unique(x, return_counts=True), int(np.ceil(SHARE * x.shape[1]))) for x in self.marks]
+        self.alphabet = sorted({int(c) for x in self.marks for c in x[0]})
+        self.rows: list = [None]
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "rows": [None]}
 
     def similar(self, words: list[str]) -> np.ndarray:
         """``(words, landmarks)`` stretched kernel values of cleaned words."""
@@ -117,10 +119,11 @@ class Model:
                 continue
             x = letters([words[i] for i in part])
             selves = None
+            held = {c: (x == c).sum(1, dtype=np.int8) for c in self.alphabet}  # words have LONGEST letters at most
             for k, (mark, ((chars, counts), need)) in enumerate(zip(self.marks, self.need)):
-                shared = np.zeros(len(x), np.int64)
+                shared = np.zeros(len(x), np.int8)
                 for c, n in zip(chars, counts):
-                    shared += np.minimum((x == c).sum(1), n)
+                    shared += np.minimum(held[c], np.int8(n))
                 some = np.flatnonzero(shared >= need)
                 if not len(some):
                     continue
@@ -144,31 +147,31 @@ class Model:
             values = self.similar(pieces)
             for i in np.flatnonzero(values.any(1)):
                 w = raw[owner[i]]
-                found[w] = values[i] if found[w] is None else np.maximum(found[w], values[i])
+                found[w] = values[i].copy() if found[w] is None else np.maximum(found[w], values[i])
         return found
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         split = [tokens(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        table = self.known
-        if new:
-            fresh = self.vectors(new)
-            if len(self.known) + len(fresh) <= CACHED_WORDS:
-                self.known.update(fresh)
-            else:
-                table = fresh
-        known = self.known
+        # Words to the place of their vector in rows, 0 for words without one.
+        known, rows = self.known, self.rows
+        before = len(rows)
+        new = list(set().union(*split).difference(known))
+        for w, v in self.vectors(new).items():
+            known[w] = 0 if v is None else len(rows)
+            if v is not None:
+                rows.append(v)
         m = len(self.landmarks)
         out = np.zeros((len(texts), 2 * m), np.float32)
         for i, words in enumerate(split):
-            if table is known:
-                hit = [v for w in words if (v := known[w]) is not None]
-            else:
-                hit = [v for w in words if (v := known[w] if w in known else table[w]) is not None]
+            hit = list(filter(None, map(known.__getitem__, words)))
             if hit:
-                x = np.array(hit)
+                x = np.array([rows[k] for k in hit])
                 out[i, :m] = np.log1p(x.sum(0))
                 out[i, m:] = x.max(0)
+        if len(known) > CACHED_WORDS:
+            for w in new:
+                del known[w]
+            del rows[before:]
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
@@ -185,7 +188,8 @@ class Model:
 
 def pick(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
     """Landmark words, each typical of toxic texts that have none of those before."""
-    bags = [{w for t in tokens(x) if len(w := ODD.sub("", t)) >= P and len(w) <= LONGEST} for x in texts]
+    known: dict[str, str] = {}
+    bags = [{known.setdefault(w, w) for t in set(tokens(x)) if len(w := ODD.sub("", t)) >= P and len(w) <= LONGEST} for x in texts]
     clean = Counter(w for b, y in zip(bags, toxic) if not y for w in b)
     share = 1 / max(1, (~toxic).sum())
     of: dict[str, list[int]] = {}
@@ -261,11 +265,11 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     model.slope, model.shift = calibrated(held, toxic.astype(float), weight)
     w = newton(x, y, weight)
     model.weights, model.bias = w[:-1], float(w[-1])
-    model.known = {}
+    model.known, model.rows = {}, [None]
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = 2000, max_clean: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = 1200, max_clean: int = 1800, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on at most ``max_toxic`` and ``max_clean`` rows of ``labels`` for which ``usable`` holds (a condition on its id)."""
     rows = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__label_id")).agg((F.max(label_col) > 0).alias("__toxic"))
     count = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}

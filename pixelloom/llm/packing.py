@@ -107,12 +107,14 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode().lower().translate(BLANK).decode().split(" ") for t in texts]
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         fresh = self.add(new) if new else {}
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update(fresh)
-            return [b"".join([known[w] for w in words]) for words in split]
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > CACHED_WORDS:
+            for w in fresh:
+                del known[w]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

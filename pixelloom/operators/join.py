@@ -84,3 +84,18 @@ def metadata_loss(held: DataFrame, carried: DataFrame, removed: DataFrame) -> Da
     left = held.join(F.broadcast(carried), ["format", "kind"], "left_anti").join(F.broadcast(removed), ["policy", "kind"], "left_anti")
     return left.select("doc_id", "format", "policy", "kind", F.lit("WARNING").alias("severity"))
 
+
+def and_mask(df: DataFrame, mask: DataFrame) -> DataFrame:
+    """Icon pixels with a 1-bit mask ``(doc_id, item_index, x, y, m)``: masked pixels are clear, others opaque.
+
+    Only for rasters without alpha of their own, that is with alpha 0 throughout.
+    """
+    own = df.groupBy(*KEYS).agg((F.max("a") > 0).alias("__own"))
+    joined = df.join(mask, [*KEYS, *PLACE], "left").join(own, KEYS)
+    alpha = F.when(F.col("__own"), F.col("a")).when(F.coalesce("m", F.lit(0)) == 1, 0).otherwise(255)
+    return joined.select(*[alpha.alias(c) if c == "a" else F.col(c) for c in df.columns])
+
+
+def with_profile(documents: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Documents whose profile is only named, with the bytes a caller has for that name; unknown names stay null."""
+    return documents.join(profiles.select(F.col("path").alias("icc_linked_path"), F.col("bytes").alias("icc")), "icc_linked_path", "left")

@@ -152,6 +152,26 @@ def smallest_depth(df: DataFrame, by: list[str] = KEYS) -> DataFrame:
     return n.withColumn("depth", F.expr("case when colors <= 2 then 1 when colors <= 4 then 2 when colors <= 16 then 4 when colors <= 256 then 8 end"))
 
 
+def writer_facts(df: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """What writers ask of 8-bit RGBA: ``opaque``, ``gray``, the fewest bits that hold its grays, and the one clear colour, if any.
+
+    A gray fits 1, 2 or 4 bits if its value is one that such samples expand to. ``key`` is the colour of the clear
+    pixels if all of them have the same and no visible pixel does, and alpha is only 0 or 255; else null.
+    """
+    colour = F.struct("r", "g", "b")
+    clear, seen = F.col("a") == 0, F.col("a") > 0
+    fits = {b: F.min((F.col("r") % (255 // ((1 << b) - 1)) == 0).cast("int")) for b in (1, 2, 4)}
+    facts = df.groupBy(*by).agg(
+        (F.min("a") == 255).alias("opaque"), (F.min(((F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))).cast("int")) == 1).alias("gray"), *[f.alias(f"f{b}") for b, f in fits.items()],
+        F.min(F.when(clear, colour)).alias("k0"), F.max(F.when(clear, colour)).alias("k1"), (F.min(F.col("a").isin(0, 255).cast("int")) == 1).alias("hard"),
+    )
+    depth = F.when(~F.col("gray"), None).when(F.col("f1") == 1, 1).when(F.col("f2") == 1, 2).when(F.col("f4") == 1, 4).otherwise(8)
+    keyed = facts.select(*by, "opaque", "gray", depth.alias("gray_bits"), F.when((F.col("k0") == F.col("k1")) & F.col("hard"), F.col("k0")).alias("key"))
+    shown = df.filter(seen).select(*by, colour.alias("key")).distinct().withColumn("__shown", F.lit(True))
+    joined = keyed.join(shown, [*by, "key"], "left")
+    return joined.select(*by, "opaque", "gray", "gray_bits", F.when(F.col("__shown").isNull(), F.col("key")).alias("key"))
+
+
 def fits_palette(df: DataFrame, palette: DataFrame, by: list[str] = KEYS) -> DataFrame:
     """Whether each raster has only colours of ``palette``."""
     have = palette.select(*RGBA).distinct().withColumn("__in", F.lit(True))
@@ -159,4 +179,4 @@ def fits_palette(df: DataFrame, palette: DataFrame, by: list[str] = KEYS) -> Dat
     return h.groupBy(*by).agg((F.count(F.when(F.col("__in").isNull(), 1)) == 0).alias("fits"))
 
 
-__all__ = ["build_palette", "count_colors", "cut_boxes", "diffuse", "dither", "exact_palette", "fits_palette", "histogram", "palette_apply", "quantize", "smallest_depth"]
+__all__ = ["build_palette", "count_colors", "cut_boxes", "diffuse", "dither", "exact_palette", "fits_palette", "histogram", "palette_apply", "quantize", "smallest_depth", "writer_facts"]

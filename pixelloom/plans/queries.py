@@ -162,6 +162,45 @@ def p18(spark, d):
     return pixel.over_pixel_cap(fixtures.documents(spark, d), 4000).select("doc_id", "error_code")
 
 
+@query("p17_format_helpers", "select * from (values " + ", ".join(f"('{m}{b if b < 32 else 'F32'}', {n}, {b}, {n * (1 if b == 8 else 4 if b == 32 else 2)})" for m, n, depths in (("RGBA", 4, (8, 12, 16, 32)), ("GRAY", 1, (8, 12, 16, 32)), ("CMYK", 4, (8, 12, 16))) for b in depths) + ") t(format, channels, bits, bytes_per_pixel)")
+def p17(spark, d):
+    from ..model import FORMATS
+
+    rows = ", ".join(f"('{f.name}', {f.channels}, {f.bits}, {f.bytes_per_pixel})" for f in FORMATS.values())
+    return spark.sql(f"select * from values {rows} as t(format, channels, bits, bytes_per_pixel)")
+
+
+@query(
+    "p19_writer_facts",
+    f"""with {FRAMES}, p as (select doc_id, item_index, v // 85 * 85 as r, v // 85 * 85 as g, case when doc_id % 2 = 0 then v // 85 * 85 else 0 end as b, case when doc_id % 3 = 0 and v < 85 then 0 else 255 end as a from src),
+    f as (select doc_id, item_index, min(a) = 255 as opaque, bool_and(r = g and g = b) as gray, bool_and(r % 255 = 0) as f1, count(distinct case when a = 0 then r * 65536 + g * 256 + b end) as keys, min(case when a = 0 then r * 65536 + g * 256 + b end) as k from p group by all),
+    s as (select distinct doc_id, item_index, r * 65536 + g * 256 + b as k from p where a > 0)
+    select f.doc_id, f.item_index, opaque, gray, cast(case when gray then case when f1 then 1 else 2 end end as int) as gray_bits, cast(case when keys = 1 and s.k is null then f.k end as int) as key from f left join s on s.doc_id = f.doc_id and s.item_index = f.item_index and s.k = f.k""",
+)
+def p19(spark, d):
+    df = fixtures.frames(spark, d).selectExpr("doc_id", "item_index", "w", "h", "x", "y", "cast(v div 85 * 85 as int) as r", "cast(v div 85 * 85 as int) as g", "cast(if(doc_id % 2 = 0, v div 85 * 85, 0) as int) as b", "if(doc_id % 3 = 0 and v < 85, 0, 255) as a")
+    return palette.writer_facts(df).withColumn("key", F.expr("cast(key.r * 65536 + key.g * 256 + key.b as int)"))
+
+
+@query("k33_and_mask", f"with {FRAMES} select doc_id, item_index, x, y, v as r, v as g, v as b, case when (x + y + doc_id) % 3 = 0 then 0 else 255 end as a from src")
+def k33(spark, d):
+    px = pixel.gray_to_rgba(fixtures.frames(spark, d)).withColumn("a", F.lit(0))
+    mask = px.select("doc_id", "item_index", "x", "y", F.expr("if((x + y + doc_id) % 3 = 0, 1, 0) as m"))
+    return join.and_mask(px, mask).select("doc_id", "item_index", "x", "y", *RGBA)
+
+
+@query("s10_icc_resolver", f"with {DOCS} select doc_id, 'icc/' || (doc_id % 7) as icc_linked_path, case when doc_id % 7 < 5 then 'profile ' || (doc_id % 7) end as icc from docs")
+def s10(spark, d):
+    docs = fixtures.documents(spark, d).selectExpr("doc_id", "concat('icc/', doc_id % 7) as icc_linked_path")
+    profiles = spark.range(5).selectExpr("concat('icc/', id) as path", "concat('profile ', id) as bytes")
+    return join.with_profile(docs, profiles).select("doc_id", "icc_linked_path", "icc")
+
+
+@query("u2_colours_over_frames", f"with {FRAMES} select doc_id, v as r, v as g, v as b, 255 as a, count(*) as pixels from src group by doc_id, v")
+def u2(spark, d):
+    return palette.histogram(pixel.gray_to_rgba(fixtures.frames(spark, d)), ["doc_id"]).select("doc_id", *RGBA, "pixels")
+
+
 @query("k35_resolution", f"with {DOCS}, p as (select doc_id, x_dpi, (cast(x_dpi as bigint) * 5000 + 63) // 127 as ppm from docs) select doc_id, x_dpi, ppm, (ppm * 127 + 2500) // 5000 as dpi from p")
 def k35(spark, d):
     df = fixtures.documents(spark, d).selectExpr("doc_id", "x_dpi", f"{pixel.dpi_to_ppm('x_dpi')} as ppm")

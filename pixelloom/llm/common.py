@@ -29,6 +29,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_cache: dict = {}
+
+
+def worker_cache(key: tuple) -> dict:
+    """What a Python worker remembers for ``key``. A worker is used by one operator after the other, so it keeps one cache."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = {}
+    return _cache[key]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker_cache
 
 #: Words a Python worker remembers with their ids; a bound on its memory, without effect on results.
 CACHED_WORDS = 400_000
@@ -60,7 +60,11 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.path = path
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        return worker_cache(("tokens", self.path))
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -83,8 +87,9 @@ class WordTokenizer:
 
     def add(self, new: set[str]) -> dict[str, bytes]:
         """Ids of parts not known yet."""
+        known = self.known
         cores = {w: w.rstrip(self.TAIL) for w in new}
-        wanted = {c for c in cores.values() if c not in self.known} | {t for w, c in cores.items() if c and (t := w[len(c) :]) and t not in self.known}
+        wanted = {c for c in cores.values() if c not in known} | {t for w, c in cores.items() if c and (t := w[len(c) :]) and t not in known}
         fresh = {"": b""}
         plain, other = [], []
         for w in wanted:
@@ -97,7 +102,7 @@ class WordTokenizer:
         other += whole
         for a in range(0, len(other), 5000):
             fresh.update(zip(other[a : a + 5000], self.one_by_one(other[a : a + 5000])))
-        both = lambda w: fresh[w] if w in fresh else self.known[w]
+        both = lambda w: fresh[w] if w in fresh else known[w]
         for w, c in cores.items():
             if w not in fresh:
                 fresh[w] = both(c) + both(w[len(c) :])

@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_cache
+
 P, LAMBDA = 3, 0.75
 LANDMARKS = 64
 #: Kernel values up to this count as none; the rest is stretched to 0..1.
@@ -40,7 +42,7 @@ FLOOR = 0.4
 SHARE = 0.6
 LONGEST = 40
 #: Words a Python worker remembers; a bound on its memory, without effect on results.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 ODD = re.compile(r"[\W_]+")
 
 
@@ -97,17 +99,13 @@ class Model:
     bias: float
     slope: float
     shift: float
-    known: dict = field(default_factory=dict, repr=False)
+    key: str = ""
 
     def __post_init__(self) -> None:
         self.marks = [letters([w]) for w in self.landmarks]
         self.norm = np.array([own(x)[0] for x in self.marks], np.float32)
         self.need = [(np.unique(x, return_counts=True), int(np.ceil(SHARE * x.shape[1]))) for x in self.marks]
         self.alphabet = sorted({int(c) for x in self.marks for c in x[0]})
-        self.rows: list = [None]
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "rows": [None]}
 
     def similar(self, words: list[str]) -> np.ndarray:
         """``(words, landmarks)`` stretched kernel values of cleaned words."""
@@ -153,7 +151,8 @@ class Model:
     def pooled(self, texts: list[str]) -> np.ndarray:
         split = [tokens(t) for t in texts]
         # Words to the place of their vector in rows, 0 for words without one.
-        known, rows = self.known, self.rows
+        cache = worker_cache(("toxicity", self.key))
+        known, rows = cache.setdefault("known", {}), cache.setdefault("rows", [None])
         before = len(rows)
         new = list(set().union(*split).difference(known))
         for w, v in self.vectors(new).items():
@@ -251,7 +250,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     landmarks = pick(texts, toxic, count)
     if not landmarks:
         return None
-    model = Model(landmarks, np.eye(len(landmarks), dtype=np.float32), np.zeros(2 * len(landmarks)), 0.0, 1.0, 0.0)
+    model = Model(landmarks, np.eye(len(landmarks), dtype=np.float32), np.zeros(2 * len(landmarks)), 0.0, 1.0, 0.0, " ".join(landmarks))
     base = model.similar(landmarks)
     values, vectors = np.linalg.eigh((base + base.T) / 2)
     model.white = (vectors / np.sqrt(np.maximum(values, 0.05))) .astype(np.float32) @ vectors.T.astype(np.float32)
@@ -265,7 +264,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     model.slope, model.shift = calibrated(held, toxic.astype(float), weight)
     w = newton(x, y, weight)
     model.weights, model.bias = w[:-1], float(w[-1])
-    model.known, model.rows = {}, [None]
+    worker_cache(("none",))  # the driver forgets the words
     return model
 
 

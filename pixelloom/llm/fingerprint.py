@@ -5,6 +5,13 @@ kept, of equal ones the rightmost, with its position. Two texts that share ``w +
 words share a fingerprint, and no match shorter than ``k`` words makes one. Words are runs of anything but
 ASCII white space; a text of fewer words than ``k`` is hashed as one run.
 
+Grams are of words, or of characters (``by_chars``): every run of ``k`` code points, at whatever place and of
+whatever length the words are. So short texts and texts without white space also have several
+fingerprints, and an edit changes only those near it. Windows of ``w`` grams are shortened in texts of fewer
+than ``FEW`` of them, down to 1. A shorter window keeps all that a longer one keeps (and more), so two texts that
+share ``w + k - 1`` consecutive characters share a fingerprint here too. Only texts of fewer than ``k``
+characters are hashed as one run.
+
 A hash and its position are one long, ``hash * 2^31 + (2^31 - 1 - position)``, whose minimum is the
 smallest hash at the rightmost place.
 
@@ -22,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import SPACED_WORDS, cut, words
 
 K, W = 5, 8
+#: The same by characters, and how many windows a text has at least before they are shortened.
+CHARS, CHAR_W, FEW = 8, 32, 4
 NULL_ID = -(1 << 63)
 HALF = (1 << 31) - 1
 
@@ -31,10 +40,28 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
     return _picked(_grams(words(text, SPACED_WORDS), k), w)
 
 
+def _one(i: Column, run: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(run), 32) * (1 << 31) + (F.lit(HALF).cast("long") - i)
+
+
 def _grams(own: Column, k: int) -> Column:
-    one = lambda i, run: F.shiftrightunsigned(F.xxhash64(run), 32) * (1 << 31) + (F.lit(HALF).cast("long") - i)
-    several = F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: one(i, F.slice(own, i + 1, k)))
-    return F.when(F.size(own) >= k, several).when(F.size(own) > 0, F.array(one(F.lit(0).cast("long"), own))).otherwise(F.array().cast("array<bigint>"))
+    several = F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: _one(i, F.slice(own, i + 1, k)))
+    return F.when(F.size(own) >= k, several).when(F.size(own) > 0, F.array(_one(F.lit(0).cast("long"), own))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _char_grams(text: Column, k: int) -> Column:
+    """Packed grams of a text by characters; none of a wordless one."""
+    several = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)), lambda run, i: _one(i, run))
+    return F.when(~text.rlike(r"[^\x20\x09-\x0D]"), F.array().cast("array<bigint>")).when(F.length(text) >= k, several).otherwise(F.array(_one(F.lit(0).cast("long"), text)))
+
+
+def _char_window(grams: Column, w: int) -> Column:
+    return F.greatest(F.least(F.floor(F.size(grams) / FEW).cast("int"), F.lit(w)), F.lit(1))
+
+
+def _char_picked(grams: Column, window: Column) -> Column:
+    one_row = F.transform(F.array(window), lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - n + 1), lambda j: F.array_min(F.slice(grams, j, n)))))
+    return F.when(F.size(grams) > 0, F.element_at(one_row, 1)).otherwise(grams)
 
 
 def _picked(grams: Column, w: int) -> Column:
@@ -51,6 +78,29 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, w: int
     return df.withColumn(out, F.element_at(picked, 1))
 
 
+def with_char_fingerprint(df: DataFrame, text_col: str, out: str, k: int = CHARS, w: int = CHAR_W) -> DataFrame:
+    """The same by characters."""
+    grams = F.transform(F.array(F.coalesce(text_col, F.lit(""))), lambda t: _char_grams(t, k))
+    return df.withColumn(out, F.element_at(F.transform(grams, lambda g: _char_picked(g, _char_window(g, w))), 1))
+
+
+def _with_edited_char_fingerprint(df: DataFrame, kept: Column, k: int, w: int) -> DataFrame:
+    """``packed_edited`` of ``edited``, which begins with the same ``kept`` characters as ``text`` with its ``packed``.
+
+    Where both texts have whole windows, only what follows the start of the last window of kept characters is hashed
+    again: places of minima never go back, so before the first one from there the two have the same.
+    """
+    whole = FEW * w + k - 1
+    again = F.when((F.length("text") >= whole) & (F.length("edited") >= whole), kept - (k - 1) - w).otherwise(0).cast("int")
+    df = df.withColumn("again", F.greatest(again, F.lit(0)))
+    grams = F.transform(F.array(F.expr("substring(edited, again + 1)")), lambda t: _char_grams(t, k))
+    late = F.transform(grams, lambda g: _char_picked(g, F.when(F.col("again") > 0, F.lit(w)).otherwise(_char_window(g, w))))
+    df = df.withColumn("late", F.transform(F.element_at(late, 1), lambda p: p - F.col("again")))
+    place = lambda p: F.lit(HALF) - p.bitwiseAND(F.lit(HALF).cast("long"))
+    early = F.filter("packed", lambda p: place(p) < place(F.element_at(F.col("late"), 1)))
+    return df.withColumn("packed_edited", F.when(F.col("again") > 0, F.concat(early, F.col("late"))).otherwise(F.col("late"))).drop("again", "late")
+
+
 def hashes(packed: Column) -> Column:
     """The distinct hashes of a fingerprint as integers."""
     return F.array_distinct(F.transform(packed, lambda p: (F.shiftright(p, 31) - (1 << 31)).cast("int")))
@@ -86,15 +136,17 @@ def followers(docs: DataFrame) -> tuple[DataFrame, bool]:
     return linked.drop("copies"), not linked.filter("copies > 1").isEmpty()
 
 
-def compare_with_edits(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edits(docs: DataFrame, k: int | None = None, w: int | None = None, id_col: str = "doc_id", text_col: str = "text", by_chars: bool = False) -> DataFrame:
     """``id, n_chars, edited, packed, packed_edited, near_edited, near_next`` of every row.
 
     ``edited`` is the text with its last quarter of code points replaced by as many first ones (or
     all) of the next document.
     """
+    k, w = k or (CHARS if by_chars else K), w or (CHAR_W if by_chars else W)
+    add = with_char_fingerprint if by_chars else with_fingerprint
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     linked, repeated = followers(own)
-    prints = with_fingerprint(own, "text", "packed", k, w)
+    prints = add(own, "text", "packed", k, w)
     link = linked.select(F.col("key").alias("of_key"), F.col("text_hash").alias("of_hash"), "quarter", F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"))
     after = prints.join(link, ["key", "text_hash"]).select(
         F.col("of_key").alias("key"), F.col("of_hash").alias("text_hash"), "quarter", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("start"), hashes(F.col("packed")).alias("next_hashes")
@@ -103,7 +155,7 @@ def compare_with_edits(docs: DataFrame, k: int = K, w: int = W, id_col: str = "d
         after = after.dropDuplicates(["key", "text_hash"])
     both = prints.join(after, ["key", "text_hash"]).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int")), F.col("start")))
-    both = with_fingerprint(both, "edited", "packed_edited", k, w)
+    both = _with_edited_char_fingerprint(both, F.col("n_chars") - F.col("quarter"), k, w) if by_chars else with_fingerprint(both, "edited", "packed_edited", k, w)
     return both.select(
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("id"), "n_chars", "edited", "packed", "packed_edited",
         likeness(hashes(F.col("packed")), hashes(F.col("packed_edited"))).alias("near_edited"), likeness(hashes(F.col("packed")), F.col("next_hashes")).alias("near_next"),

@@ -74,7 +74,7 @@ from d left join kept using (doc_id)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint.compare_with_edits(read(spark, sf_dir, "documents"))
+    found = fingerprint.compare_with_edits(read(spark, sf_dir, "documents"), by_chars=True)
     return found.select(
         F.col("id").alias("doc_id"), "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         fingerprint.printed(F.col("packed")).alias("fingerprint"), fingerprint.printed(F.col("packed_edited")).alias("edited_fingerprint"), "near_edited", "near_next",

@@ -171,6 +171,37 @@ def test_fingerprints_of_repeated_rows_and_nothing(spark):
     assert fingerprint.compare_with_edits(frame(spark, [])).count() == 0
 
 
+def brute_char_winnow(text, k=8, w=32, few=4):
+    text = text or ""
+    grams = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text]
+    if not re.search(r"[^\x20\x09-\x0D]", text):
+        return []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) >> 32 for g in grams]
+    w = max(1, min(w, len(hashes) // few))
+    return sorted({(hashes[p], p) for a in range(len(hashes) - w + 1) for p in [a + max(i for i, v in enumerate(hashes[a : a + w]) if v == min(hashes[a : a + w]))]}, key=lambda x: x[1])
+
+
+def test_fingerprints_by_characters(spark, rows):
+    rng = random.Random(8)
+    short = [(4000 + i, prose(rng, n)) for i, n in enumerate([2, 3, 4, 5, 8, 10, 12, 13, 18, 20, 24, 28, 30] * 3)]
+    rows = [*[r for r in rows if r[0] is not None], *short, (6000, "".join(rng.choice("abcdefg") for _ in range(3000))), (6001, "中文😀é" * 30 + "好" * 20), (6002, "ab")]
+    docs = frame(spark, rows, **CLASH).repartition(4)
+    got = {r.id: r for r in fingerprint.compare_with_edits(docs, by_chars=True).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows)
+    show = lambda f: " ".join(f"{h:X}:{p}" for h, p in f)
+    alike = lambda f, g: 1.0 if not f and not g else len({h for h, _ in f} & {h for h, _ in g}) / len({h for h, _ in f} | {h for h, _ in g})
+    for n, (i, t) in enumerate(order):
+        t, after = t or "", order[(n + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        f, g, h = brute_char_winnow(t), brute_char_winnow(edited), brute_char_winnow(after)
+        r = got[i]
+        assert (r.edited, r.p, r.q) == (edited, show(f), show(g)), i
+        assert r.near_edited == pytest.approx(alike(f, g)) and r.near_next == pytest.approx(alike(f, h))
+    # Three quarters of a short text, or of a long run without white space, are seen to be the same.
+    assert all(got[i].near_edited > 0 for i, t in rows if t and len(t) > 11 and t.strip()) and 0.3 < got[6000].near_edited < 1
+
+
 # 4 urls
 
 

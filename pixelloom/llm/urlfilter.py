@@ -4,8 +4,8 @@ Rules fit a host and its subdomains, and urls whose path starts with the rule's;
 hosts whose urls rules allow are the trusted seeds, those whose urls rules block are the blocked ones, each by the
 number of such urls. Trust is the personalised PageRank from the trusted seeds along the links
 between hosts; distrust is that from the blocked seeds along the reversed links: who links to a bad
-host is suspect. A host is blocked if its distrust is at least ``least`` of the whole and
-more than ``factor`` times its trust.
+host is suspect. A host is blocked if its distrust is at least ``least`` of that of one blocked url and
+more than ``factor`` times its trust: its verdict does not change as blocked urls of others are added.
 
 Ranks are integers (shares of 10^12): sums then do not depend on the order in which the cluster adds.
 Links are counted by pair of hosts before they are shuffled, so one host with very many pages is one row
@@ -103,10 +103,11 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0
     edges = cut(host_edges(own.select("host", F.col("__html").alias("html"))))
     count = [F.count(F.when(F.col("__rule.verdict") == v, 1)).alias(n) for v, n in (("allow", "allowed"), ("block", "blocked"))]
     seeds = cut(own.filter("__rule is not null and host <> ''").groupBy("host").agg(*count))
+    blocked = seeds.agg(F.sum("blocked")).first()[0] or 1
     ranks = propagate(edges, seeds, damping, rounds).select(F.col("host").alias("__host"), "trust", "distrust")
     joined = own.drop("__html").join(ranks, F.col("host") == F.col("__host"), "left")
     trust, distrust = (F.coalesce(c, F.lit(0)) for c in ("trust", "distrust"))
-    method = F.when((distrust >= int(least * WHOLE)) & (distrust > trust * factor), "block").otherwise("allow")
+    method = F.when((distrust >= int(least * WHOLE / blocked)) & (distrust > trust * factor), "block").otherwise("allow")
     return joined.select(*rest, "host", "path", F.col("__rule.text").alias("rule"), F.coalesce("__rule.verdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
@@ -120,7 +121,10 @@ def rule_sql(rules: tuple[Rule, ...], field: str) -> str:
 
 
 def sql(rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 10, least: float = 1e-6, factor: float = 1.0) -> str:
-    """The same judgement in DuckDB SQL over ``pages``, the rounds unrolled."""
+    """The same judgement in DuckDB SQL over ``pages``, the rounds unrolled.
+
+    Its ``least`` is of the whole, so it may allow hosts that ``judged`` blocks where urls blocked are many.
+    """
     upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     step = "\n".join(
         f""", r{k + 1} as (

@@ -219,6 +219,15 @@ def test_url_rules_and_propagation(spark):
     assert urlfilter.judged(df).count() == len(pages) and urlfilter.judged(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [10, 200_000])
+def test_verdict_of_a_host_whatever_the_table_s_size(spark, others):
+    few = [(-1, "http://small.com/de/1", ""), (-2, "http://small.com/x", ""), (-3, "http://linker.net/", '<a href="http://small.com/x">'), (-4, "http://plain.net/", "")]
+    many = spark.range(others).select(F.col("id").alias("page_id"), F.lit("http://big.com/de/1").alias("url"), F.lit("").alias("html"))
+    df = spark.createDataFrame(few, "page_id long, url string, html string").unionByName(many)
+    got = {r.page_id: r.verdict for r in urlfilter.judged(df).filter("page_id < 0").collect()}
+    assert got == {-1: "block", -2: "block", -3: "block", -4: "allow"}
+
+
 # 5 packing
 
 

@@ -20,18 +20,21 @@ Rounds end when every document has a place. The driver also sees histograms of s
 most ``capacity`` rows.
 
 Defined cases: null and empty texts are the end token alone; rows that repeat an id are packed one by
-one; an empty table gives no rows; extra columns are ignored.
+one; documents of equal length are told apart by a hash of their number; a very long text is encoded
+whole and cut into pieces; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, worker_cache
@@ -44,23 +47,36 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts from ids of their space-separated parts, which repeat a lot.
+    """Ids of whole texts, from ids of their space-separated parts where that is exact; parts repeat a lot.
 
-    That is exact for tokenizers that ignore the case of ASCII letters, drop white space, never join what
+    It is exact for tokenizers that ignore the case of ASCII letters, drop white space, never join what
     it separates, and split letters from punctuation: parts are looked up with A-Z lower-cased and
     a tail of punctuation taken off, and each is encoded by the tokenizer itself. Letter-only parts are
     encoded as one text, whose words the tokenizer numbers; if it does not see as many words as there
-    are parts, they are encoded one by one.
+    are parts, they are encoded one by one. Whether a tokenizer is of that kind is read from its own
+    normalizer and pre-tokenizer (``by_parts``); texts of all others, and texts that hold an added
+    (special) token, are encoded whole.
     """
 
     TAIL = ".,;:!?#$%&*|)"
+    # The steps of a tokenizer whose texts may be encoded by their parts.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.path = path
+        shape = json.loads(self.tokenizer.to_str())
+        split = (shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        added = shape["added_tokens"]
+        self.by_parts = (
+            shape["normalizer"] == self.NORMALIZER and split[0] == self.SPLIT and [x.get("type") for x in split[1:]] == ["ByteLevel"]
+            and not split[1]["use_regex"] and not split[1]["add_prefix_space"] and shape["truncation"] is None and shape["padding"] is None
+            and not any(x["normalized"] for x in added)
+        )
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in added) or "(?!)", re.IGNORECASE)  # parts are looked up lower-cased
 
     @property
     def known(self) -> dict[str, bytes]:
@@ -110,6 +126,17 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        whole = [i for i, t in enumerate(texts) if not self.by_parts or self.added.search(t)]
+        if not whole:
+            return self.by_words(texts)
+        held = set(whole)
+        out = dict(zip(whole, self.one_by_one([texts[i] for i in whole])))
+        rest = [i for i in range(len(texts)) if i not in held]
+        out.update(zip(rest, self.by_words([texts[i] for i in rest]) if rest else ()))
+        return [out[i] for i in range(len(texts))]
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        """The same from the ids of space-separated parts."""
         split = [t.encode().lower().translate(BLANK).decode().split(" ") for t in texts]
         known = self.known
         new = set().union(*split).difference(known)
@@ -224,10 +251,9 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_partition: int = ROWS
         if large:
             least, n = opening(large, capacity)
             left = state.filter("doc is not null")
-            if n < dict(large)[least]:  # some of one size: the first by id
-                edge = left.filter(F.col("size") == least).orderBy("doc").limit(n).select(F.col("doc").alias("__doc"), F.lit(True).alias("__opens"))
-                left = left.join(edge, F.col("doc") == F.col("__doc"), "left")
-                opens = (F.col("size") > least) | F.coalesce("__opens", F.lit(False))
+            if n < dict(large)[least]:  # some of one size
+                left, first = _first(left, F.col("size") == least, n)
+                opens = (F.col("size") > least) | first
             else:
                 opens = F.col("size") >= least
             left = left.withColumn("gap", F.when(opens, F.col("doc"))).withColumn("slot", F.when(opens, F.lit(capacity).cast("long"))).select("doc", "size", "gap", "slot")
@@ -255,6 +281,25 @@ def _histograms(state: DataFrame) -> dict:
     return {"docs": [r for r in rows if not r.free], "gaps": [r for r in rows if r.free]}
 
 
+def _first(state: DataFrame, wanted: Column, n: int) -> tuple[DataFrame, Column]:
+    """``state`` and a condition that holds for exactly ``n`` of the rows for which ``wanted`` does.
+
+    All such rows of the first partitions, and some of one partition: counts a partition reach the driver, rows are
+    only ordered inside that one.
+    """
+    state = cut(state.withColumn("__part", F.spark_partition_id()))
+    counts = sorted((r["__part"], r["count"]) for r in state.filter(wanted).groupBy("__part").count().collect())
+    edge, rest = -1, n
+    for edge, c in counts:
+        if c >= rest:
+            break
+        rest -= c
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("doc"))
+    some = state.filter(wanted & (F.col("__part") == edge)).select("doc", nth.alias("nth")).filter(F.col("nth") <= rest)
+    marked = state.join(some.select(F.col("doc").alias("__doc")), F.col("doc") == F.col("__doc"), "left")
+    return marked, wanted & ((F.col("__part") < edge) | F.col("__doc").isNotNull())
+
+
 def _below(docs: list[tuple[int, int]], least: int, n: int) -> list[tuple[int, int]]:
     return [(s, m - n if s == least else m) for s, m in docs if s < least or s == least and m > n]
 

@@ -235,11 +235,12 @@ def test_tokens_are_the_tokenizer_s():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     rng = random.Random(2)
     letters = "abcABC'.,!#  \n\t\ré́İΣσ 12½Ⅰ_-|$\x1c\x85 中😀<|endoftext|>s"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["it's we'll don't. x'.s I'M"]
-    got = packing.WordTokenizer(tokenizer_path()).encode(texts)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["it's we'll don't. x'.s I'M", "a <|endoftext|> b", "<|startoftext|>", "x<|startoftext|><|endoftext|>y z", "<|ENDOFTEXT|>"]
+    encoder = packing.WordTokenizer(tokenizer_path())
+    assert encoder.by_parts and len(encoder.encode(["a <|endoftext|> b"])[0]) == 12
+    got = encoder.encode(texts)
     for t, g, e in zip(texts, got, plain.encode_batch(texts, add_special_tokens=False)):
         assert g == np.asarray(e.ids, "<u4").tobytes(), t
 
@@ -270,6 +271,41 @@ def test_packing(spark, rows, per_partition):
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    shape = json.loads(open(tokenizer_path()).read())
+    shape["normalizer"]["normalizers"] = shape["normalizer"]["normalizers"][:2]  # keeps case
+    path = str(tmp_path / "cased.json")
+    open(path, "w").write(json.dumps(shape))
+    encoder, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not encoder.by_parts
+    texts = ["One Two THREE", "", "a <|endoftext|> B"]
+    assert encoder.encode(texts) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_as_few_sequences_as_sequential_best_fit(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 3, 17, 33, 50, 64, 70, 99]) if rng.random() < 0.5 else rng.randint(1, 100) for _ in range(400)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long").repartition(4)
+    got = packing.place(items, 100, rows_per_partition=60).collect()
+    held = defaultdict(int)
+    for r in got:
+        held[r.sequence_id] += sizes[r.uid]
+    assert sorted(r.uid for r in got) == list(range(400)) and max(held.values()) <= 100
+    gaps = []
+    for s in sorted(sizes, reverse=True):  # best-fit decreasing
+        fits = [k for k, g in enumerate(gaps) if g >= s]
+        if fits:
+            gaps[min(fits, key=lambda k: gaps[k])] -= s
+        else:
+            gaps.append(100 - s)
+    assert len(held) <= len(gaps) * 1.02 + 1
+
+
 def test_brackets():
     rng = np.random.default_rng(1)
     for _ in range(200):

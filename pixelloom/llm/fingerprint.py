@@ -1,16 +1,15 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
-Every run of ``k`` words is hashed to 32 bits; of each window of ``w`` consecutive hashes the smallest is
-kept, of equal ones the rightmost, with its position. Two texts that share ``w + k - 1`` consecutive
-words share a fingerprint, and no match shorter than ``k`` words makes one. Words are runs of anything but
-ASCII white space; a text of fewer words than ``k`` is hashed as one run.
-
-Grams are of words, or of characters (``by_chars``): every run of ``k`` code points, at whatever place and of
-whatever length the words are. So short texts and texts without white space also have several
-fingerprints, and an edit changes only those near it. Windows of ``w`` grams are shortened in texts of fewer
-than ``FEW`` of them, down to 1. A shorter window keeps all that a longer one keeps (and more), so two texts that
-share ``w + k - 1`` consecutive characters share a fingerprint here too. Only texts of fewer than ``k``
-characters are hashed as one run.
+Every run of ``k`` code points is hashed to 31 bits by the polynomial of Karp and Rabin, modulo the prime
+2^31 - 1. As in rolling, a gram's hash is never made from its ``k`` characters anew: hashes of runs of twice the length
+come from two hashes of the half, ``hash(xy) = hash(x) * BASE^|y| + hash(y)``, for all places at once, so it takes
+log2(k) steps a place. (A fold that rolls from place to place would copy the array built so far at each step.)
+
+Of each window of ``w`` consecutive hashes the smallest is kept, of equal ones the rightmost, with its
+position. Two texts that share ``w + k - 1`` consecutive characters share a fingerprint, and no match shorter
+than ``k`` characters makes one. Windows are shortened in texts of fewer than ``FEW`` times ``w`` grams, down to 1: a
+shorter window keeps all that a longer one keeps and more, so the guarantee holds there too. Only texts of fewer
+than ``k`` characters are hashed as one run. Minima of windows are found in log2(w) steps a place as well.
 
 A hash and its position are one long, ``hash * 2^31 + (2^31 - 1 - position)``, whose minimum is the
 smallest hash at the rightmost place.
@@ -18,73 +17,92 @@ smallest hash at the rightmost place.
 Defined cases: null, empty and wordless texts have an empty fingerprint, and two empty fingerprints
 are alike (1), an empty and another one are not (0); the next document is that of the next larger
 (id, text hash), nulls first, and after the last comes the first, so a single document is followed by
-itself; rows that repeat an id and its text have the same neighbours; extra columns are ignored.
+itself; rows that repeat an id and its text have the same neighbours; a very long text is fingerprinted
+whole, in memory in proportion to it; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORDS, cut, words
+from .common import cut
 
-K, W = 5, 8
-#: The same by characters, and how many windows a text has at least before they are shortened.
-CHARS, CHAR_W, FEW = 8, 32, 4
+#: Characters a gram, grams a window, and how many windows a text has at least before they are shortened.
+K, W, FEW = 8, 32, 4
+PRIME, BASE = (1 << 31) - 1, 1_566_083_941
 NULL_ID = -(1 << 63)
 HALF = (1 << 31) - 1
 
 
-def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """Packed (hash, position) pairs of a text, in order of position."""
-    return _picked(_grams(words(text, SPACED_WORDS), k), w)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _one(i: Column, run: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(run), 32) * (1 << 31) + (F.lit(HALF).cast("long") - i)
+def _shifted(a: Column, by: Column | int) -> tuple[Column, Column]:
+    """``a`` without its last and without its first ``by`` elements."""
+    n = F.greatest(F.size(a) - by, F.lit(0))
+    return F.slice(a, F.lit(1), n), F.slice(a, F.lit(1) + by, n)
 
 
-def _grams(own: Column, k: int) -> Column:
-    several = F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: _one(i, F.slice(own, i + 1, k)))
-    return F.when(F.size(own) >= k, several).when(F.size(own) > 0, F.array(_one(F.lit(0).cast("long"), own))).otherwise(F.array().cast("array<bigint>"))
+def _joined(left: Column, right: Column, n: int) -> Column:
+    """Hash of a run from those of its two parts, the right one of ``n`` characters."""
+    return (left * pow(BASE, n, PRIME) + right) % PRIME
 
 
-def _char_grams(text: Column, k: int) -> Column:
-    """Packed grams of a text by characters; none of a wordless one."""
-    several = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)), lambda run, i: _one(i, run))
-    return F.when(~text.rlike(r"[^\x20\x09-\x0D]"), F.array().cast("array<bigint>")).when(F.length(text) >= k, several).otherwise(F.array(_one(F.lit(0).cast("long"), text)))
+def _runs(codes: Column, k: int) -> Column:
+    """Hashes of all runs of ``k`` from the code points; empty for shorter texts."""
+    if k == 1:
+        return codes
+    if k % 2:
+        return let(_runs(codes, k - 1), lambda h: F.zip_with(_shifted(h, 1)[0], F.slice(codes, k, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, y: _joined(x, y, 1)))
+    return let(_runs(codes, k // 2), lambda h: F.zip_with(*_shifted(h, k // 2), lambda x, y: _joined(x, y, k // 2)))
 
 
-def _char_window(grams: Column, w: int) -> Column:
-    return F.greatest(F.least(F.floor(F.size(grams) / FEW).cast("int"), F.lit(w)), F.lit(1))
+def grams(text: Column, k: int) -> Column:
+    """Packed (hash, position) of every run of ``k`` code points; of a shorter text one; none of a wordless one."""
+    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    whole = lambda c: F.array(F.aggregate(c, F.lit(0).cast("long"), lambda h, x: _joined(h, x, 1)))
+    hashed = let(codes, lambda c: F.when(F.size(c) >= k, _runs(c, k)).otherwise(whole(c)))
+    packed = F.transform(hashed, lambda h, i: h * (1 << 31) + (F.lit(HALF).cast("long") - i))
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), packed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _char_picked(grams: Column, window: Column) -> Column:
-    one_row = F.transform(F.array(window), lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - n + 1), lambda j: F.array_min(F.slice(grams, j, n)))))
-    return F.when(F.size(grams) > 0, F.element_at(one_row, 1)).otherwise(grams)
+def window(of: Column, w: int) -> Column:
+    """Grams a window in a text with the grams ``of``."""
+    return F.greatest(F.least(F.floor(F.size(of) / FEW).cast("int"), F.lit(w)), F.lit(1))
 
 
-def _picked(grams: Column, w: int) -> Column:
-    windows = F.transform(F.sequence(F.lit(1), F.size(grams) - (w - 1)), lambda j: F.array_min(F.slice(grams, j, w)))
-    least = F.array_compact(F.array(F.array_min(grams)))
-    return F.when(F.size(grams) > w, F.array_distinct(windows)).otherwise(least)
+def minima(packed: Column, n: Column, most: int) -> Column:
+    """The distinct minima of all windows of ``n`` elements, ``n`` at most ``most`` and the number of elements."""
 
+    def twice(size: int) -> Callable[[Column], Column]:
+        return lambda a: F.when(n >= 2 * size, F.zip_with(*_shifted(a, size), lambda x, y: F.least(x, y))).otherwise(a)
 
-def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, w: int = W) -> DataFrame:
-    """``df`` with the packed fingerprint of ``text_col`` in ``out``; each step is computed once a row."""
-    # The steps go through one-element arrays, so that neither words nor hashes are derived again for each use.
-    grams = F.transform(F.array(words(F.col(text_col), SPACED_WORDS)), lambda own: _grams(own, k))
-    picked = F.transform(grams, lambda g: _picked(g, w))
-    return df.withColumn(out, F.element_at(picked, 1))
+    width, least = F.lit(1), packed
+    size = 1
+    while size * 2 <= most:
+        least = let(least, twice(size))
+        size *= 2
+        width = F.when(n >= size, F.lit(size)).otherwise(width)
+    # Two overlapping windows of a power of two make one of any length.
+    last = lambda a: F.when(n > width, F.zip_with(*_shifted(a, n - width), lambda x, y: F.least(x, y))).otherwise(a)
+    return F.array_distinct(let(least, last))
 
 
-def with_char_fingerprint(df: DataFrame, text_col: str, out: str, k: int = CHARS, w: int = CHAR_W) -> DataFrame:
-    """The same by characters."""
-    grams = F.transform(F.array(F.coalesce(text_col, F.lit(""))), lambda t: _char_grams(t, k))
-    return df.withColumn(out, F.element_at(F.transform(grams, lambda g: _char_picked(g, _char_window(g, w))), 1))
+def winnowed(packed: Column, n: Column, most: int) -> Column:
+    return let(n, lambda m: F.when(F.size(packed) > 0, minima(packed, m, most)).otherwise(packed))
+
+
+def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
+    """Packed (hash, position) pairs of a text, in order of position."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(grams(t, k), lambda g: winnowed(g, window(g, w), w)))
 
 
-def _with_edited_char_fingerprint(df: DataFrame, kept: Column, k: int, w: int) -> DataFrame:
+def _with_edited_fingerprint(df: DataFrame, kept: Column, k: int, w: int) -> DataFrame:
     """``packed_edited`` of ``edited``, which begins with the same ``kept`` characters as ``text`` with its ``packed``.
 
     Where both texts have whole windows, only what follows the start of the last window of kept characters is hashed
@@ -93,17 +111,16 @@ def _with_edited_char_fingerprint(df: DataFrame, kept: Column, k: int, w: int) -
     whole = FEW * w + k - 1
     again = F.when((F.length("text") >= whole) & (F.length("edited") >= whole), kept - (k - 1) - w).otherwise(0).cast("int")
     df = df.withColumn("again", F.greatest(again, F.lit(0)))
-    grams = F.transform(F.array(F.expr("substring(edited, again + 1)")), lambda t: _char_grams(t, k))
-    late = F.transform(grams, lambda g: _char_picked(g, F.when(F.col("again") > 0, F.lit(w)).otherwise(_char_window(g, w))))
-    df = df.withColumn("late", F.transform(F.element_at(late, 1), lambda p: p - F.col("again")))
+    late = let(F.expr("substring(edited, again + 1)"), lambda t: let(grams(t, k), lambda g: winnowed(g, F.when(F.col("again") > 0, F.least(F.lit(w), F.size(g))).otherwise(window(g, w)), w)))
+    df = df.withColumn("late", F.transform(late, lambda p: p - F.col("again")))
     place = lambda p: F.lit(HALF) - p.bitwiseAND(F.lit(HALF).cast("long"))
     early = F.filter("packed", lambda p: place(p) < place(F.element_at(F.col("late"), 1)))
-    return df.withColumn("packed_edited", F.when(F.col("again") > 0, F.concat(early, F.col("late"))).otherwise(F.col("late"))).drop("again", "late")
+    return df.withColumn("packed_edited", F.when((F.col("again") > 0) & (F.size("late") > 0), F.concat(early, F.col("late"))).otherwise(F.col("late"))).drop("again", "late")
 
 
 def hashes(packed: Column) -> Column:
     """The distinct hashes of a fingerprint as integers."""
-    return F.array_distinct(F.transform(packed, lambda p: (F.shiftright(p, 31) - (1 << 31)).cast("int")))
+    return F.array_distinct(F.transform(packed, lambda p: F.shiftright(p, 31).cast("int")))
 
 
 def printed(packed: Column) -> Column:
@@ -136,17 +153,15 @@ def followers(docs: DataFrame) -> tuple[DataFrame, bool]:
     return linked.drop("copies"), not linked.filter("copies > 1").isEmpty()
 
 
-def compare_with_edits(docs: DataFrame, k: int | None = None, w: int | None = None, id_col: str = "doc_id", text_col: str = "text", by_chars: bool = False) -> DataFrame:
+def compare_with_edits(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_chars, edited, packed, packed_edited, near_edited, near_next`` of every row.
 
     ``edited`` is the text with its last quarter of code points replaced by as many first ones (or
     all) of the next document.
     """
-    k, w = k or (CHARS if by_chars else K), w or (CHAR_W if by_chars else W)
-    add = with_char_fingerprint if by_chars else with_fingerprint
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     linked, repeated = followers(own)
-    prints = add(own, "text", "packed", k, w)
+    prints = own.withColumn("packed", fingerprint(F.col("text"), k, w))
     link = linked.select(F.col("key").alias("of_key"), F.col("text_hash").alias("of_hash"), "quarter", F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"))
     after = prints.join(link, ["key", "text_hash"]).select(
         F.col("of_key").alias("key"), F.col("of_hash").alias("text_hash"), "quarter", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("start"), hashes(F.col("packed")).alias("next_hashes")
@@ -155,7 +170,7 @@ def compare_with_edits(docs: DataFrame, k: int | None = None, w: int | None = No
         after = after.dropDuplicates(["key", "text_hash"])
     both = prints.join(after, ["key", "text_hash"]).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int")), F.col("start")))
-    both = _with_edited_char_fingerprint(both, F.col("n_chars") - F.col("quarter"), k, w) if by_chars else with_fingerprint(both, "edited", "packed_edited", k, w)
+    both = _with_edited_fingerprint(both, F.col("n_chars") - F.col("quarter"), k, w)
     return both.select(
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("id"), "n_chars", "edited", "packed", "packed_edited",
         likeness(hashes(F.col("packed")), hashes(F.col("packed_edited"))).alias("near_edited"), likeness(hashes(F.col("packed")), F.col("next_hashes")).alias("near_next"),

@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from pixelloom.llm import components, decontaminate, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, warc
@@ -128,80 +127,64 @@ def test_word_hashes_tell_words_apart():
 # 3 fingerprints
 
 
-def brute_winnow(text, k=5, w=8):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    grams = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else [words] if words else []
+def brute_winnow(text, k=8, w=32, few=4):
+    text = text or ""
+    if not re.search(r"[^\x20\x09-\x0D]", text):
+        return []
+    grams = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text]
     hashes = []
     for g in grams:
-        seed = 42
-        for x in g:
-            seed = xxhash.xxh64_intdigest(x.encode(), seed)
-        hashes.append(seed >> 32)
-    picked = []
-    for a in range(max(1, len(hashes) - w + 1) if hashes else 0):
-        window = hashes[a : a + w]
-        p = a + max(i for i, v in enumerate(window) if v == min(window))
-        if p not in picked:
-            picked.append(p)
-    return [(hashes[p], p) for p in picked]
+        h = 0
+        for c in g:
+            h = (h * fingerprint.BASE + ord(c)) % fingerprint.PRIME
+        hashes.append(h)
+    w = max(1, min(w, len(hashes) // few))
+    return sorted({(hashes[p], p) for a in range(len(hashes) - w + 1) for p in [a + max(i for i, v in enumerate(hashes[a : a + w]) if v == min(hashes[a : a + w]))]}, key=lambda x: x[1])
 
 
-def test_fingerprints(spark, rows):
-    rows = [r for r in rows if r[0] is not None]
-    docs = frame(spark, rows, **CLASH).repartition(4)
-    got = {r.id: r for r in fingerprint.compare_with_edits(docs).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
-    assert len(got) == len(rows)
-    order = sorted(rows)
-    show = lambda f: " ".join(f"{h:X}:{p}" for h, p in f)
-    alike = lambda f, g: 1.0 if not f and not g else len({h for h, _ in f} & {h for h, _ in g}) / len({h for h, _ in f} | {h for h, _ in g})
-    for k, (i, t) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
-        n = len(t) // 4
-        edited = t[: len(t) - n] + after[:n]
-        f, g, h = brute_winnow(t), brute_winnow(edited), brute_winnow(after)
-        r = got[i]
-        assert (r.n_chars, r.edited, r.p, r.q) == (len(t), edited, show(f), show(g))
-        assert r.near_edited == pytest.approx(alike(f, g)) and r.near_next == pytest.approx(alike(f, h))
+def show(f):
+    return " ".join(f"{h:X}:{p}" for h, p in f)
 
 
-def test_fingerprints_of_repeated_rows_and_nothing(spark):
-    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z"), (None, "q")]
-    got = Counter((r.id, r.edited) for r in fingerprint.compare_with_edits(frame(spark, rows)).collect())
-    assert got == Counter({(1, "a b c d e f z"): 2, (2, "z"): 1, (None, "q"): 1})
-    assert fingerprint.compare_with_edits(frame(spark, [])).count() == 0
+def alike(f, g):
+    f, g = {h for h, _ in f}, {h for h, _ in g}
+    return 1.0 if not f and not g else len(f & g) / len(f | g)
 
 
-def brute_char_winnow(text, k=8, w=32, few=4):
-    text = text or ""
-    grams = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text]
-    if not re.search(r"[^\x20\x09-\x0D]", text):
-        return []
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) >> 32 for g in grams]
-    w = max(1, min(w, len(hashes) // few))
-    return sorted({(hashes[p], p) for a in range(len(hashes) - w + 1) for p in [a + max(i for i, v in enumerate(hashes[a : a + w]) if v == min(hashes[a : a + w]))]}, key=lambda x: x[1])
+@pytest.mark.parametrize("k, w", [(8, 32), (5, 7), (1, 1), (11, 24)])
+def test_winnowing_with_any_gram_and_window(spark, k, w):
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ab c") for _ in range(n)) for n in (0, 1, 4, 5, 6, 9, 12, 40, 130, 300)] + ["aaaaaaaaaaaaaaaaaaaaaaaa", " \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fingerprint.printed(fingerprint.fingerprint(F.col("text"), k, w)).alias("p"))
+    assert all(r.p == show(brute_winnow(r.text, k, w)) for r in df.collect())
 
 
-def test_fingerprints_by_characters(spark, rows):
+def test_fingerprints(spark, rows):
     rng = random.Random(8)
     short = [(4000 + i, prose(rng, n)) for i, n in enumerate([2, 3, 4, 5, 8, 10, 12, 13, 18, 20, 24, 28, 30] * 3)]
     rows = [*[r for r in rows if r[0] is not None], *short, (6000, "".join(rng.choice("abcdefg") for _ in range(3000))), (6001, "中文😀é" * 30 + "好" * 20), (6002, "ab")]
     docs = frame(spark, rows, **CLASH).repartition(4)
-    got = {r.id: r for r in fingerprint.compare_with_edits(docs, by_chars=True).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
+    got = {r.id: r for r in fingerprint.compare_with_edits(docs).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
     assert len(got) == len(rows)
     order = sorted(rows)
-    show = lambda f: " ".join(f"{h:X}:{p}" for h, p in f)
-    alike = lambda f, g: 1.0 if not f and not g else len({h for h, _ in f} & {h for h, _ in g}) / len({h for h, _ in f} | {h for h, _ in g})
     for n, (i, t) in enumerate(order):
         t, after = t or "", order[(n + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-        f, g, h = brute_char_winnow(t), brute_char_winnow(edited), brute_char_winnow(after)
+        f, g, h = brute_winnow(t), brute_winnow(edited), brute_winnow(after)
         r = got[i]
-        assert (r.edited, r.p, r.q) == (edited, show(f), show(g)), i
+        assert (r.n_chars, r.edited, r.p, r.q) == (len(t), edited, show(f), show(g)), i
         assert r.near_edited == pytest.approx(alike(f, g)) and r.near_next == pytest.approx(alike(f, h))
     # Three quarters of a short text, or of a long run without white space, are seen to be the same.
     assert all(got[i].near_edited > 0 for i, t in rows if t and len(t) > 11 and t.strip()) and 0.3 < got[6000].near_edited < 1
 
 
+def test_fingerprints_of_repeated_rows_and_nothing(spark):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z"), (None, "q")]
+    got = Counter((r.id, r.edited) for r in fingerprint.compare_with_edits(frame(spark, rows)).collect())
+    assert got == Counter({(1, "a b c d e f z"): 2, (2, "z"): 1, (None, "q"): 1})
+    assert fingerprint.compare_with_edits(frame(spark, [])).count() == 0
+
+
 # 4 urls
 
 

@@ -202,15 +202,38 @@ def test_url_rules_and_propagation(spark):
     assert urlfilter.judged(df).count() == len(pages) and urlfilter.judged(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("others", [10, 200_000])
-def test_verdict_of_a_host_whatever_the_table_s_size(spark, others):
+@pytest.mark.parametrize("others, bound", [(10, 1_000_000), (10, 0), (200_000, 1_000_000)])
+def test_verdict_of_a_host_whatever_the_table_s_size(spark, others, bound):
     few = [(-1, "http://small.com/de/1", ""), (-2, "http://small.com/x", ""), (-3, "http://linker.net/", '<a href="http://small.com/x">'), (-4, "http://plain.net/", "")]
     many = spark.range(others).select(F.col("id").alias("page_id"), F.lit("http://big.com/de/1").alias("url"), F.lit("").alias("html"))
-    df = spark.createDataFrame(few, "page_id long, url string, html string").unionByName(many)
-    got = {r.page_id: r.verdict for r in urlfilter.judged(df).filter("page_id < 0").collect()}
+    df = spark.createDataFrame(few, "page_id long, url string, html string").unionByName(many).withColumn("trust", F.lit("replaced")).withColumn("src", F.lit(1))
+    out = urlfilter.judged(df, max_broadcast=bound)
+    assert out.columns == ["page_id", "url", "src", "host", "path", "rule", "verdict", "trust", "distrust"] and out.count() == others + 4
+    got = {r.page_id: r.verdict for r in out.filter("page_id < 0").collect()}
     assert got == {-1: "block", -2: "block", -3: "block", -4: "allow"}
 
 
+def test_links(spark):
+    html = '<a class=x href=http://a.com/1>b</a> <A\nHREF = "http://B.com/x y"> <img src="http://no.com/"> <a data-href="http://no.com"> <link href="http://no.com"> <a href=\'//c.com?q\'> <area href=#top> <a href="mailto:x@no.com"> <a href="javascript:f()">' + " " * 200_000
+    df = spark.createDataFrame([("me.org", html), ("me.org", None), ("", html)], "host string, html string")
+    assert {(r.src, r.dst, r.links) for r in urlfilter.host_edges(df).collect()} == {("me.org", h, 1) for h in ("a.com", "b.com", "c.com", "me.org")}
+
+
+def test_propagation_is_personalised_pagerank(spark):
+    rng = np.random.default_rng(5)
+    n = 12
+    links = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.25)
+    links[3] = 0  # a host without links keeps its rank
+    edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(links[i, j])) for i in range(n) for j in range(n) if links[i, j]], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("h0", 3, 0), ("h3", 1, 0), ("h5", 0, 7), ("h1", 1, 2)], "host string, allowed long, blocked long")
+    got = {r.host: (r.trust, r.distrust) for r in urlfilter.propagate(edges, seeds, tolerance=1e-6).collect()}
+    for kind, m, seed in (("trust", links, {0: 3, 3: 1, 1: 1}), ("distrust", links.T, {5: 7, 1: 2})):
+        way = np.array([m[i] / m[i].sum() if m[i].any() else np.eye(n)[i] for i in range(n)])
+        start = np.array([seed.get(i, 0) for i in range(n)], float)
+        want = 0.15 * start @ np.linalg.inv(np.eye(n) - 0.85 * way)
+        assert np.allclose([got.get(f"h{i}", (0, 0))[kind == "distrust"] / urlfilter.UNIT for i in range(n)], want, atol=1e-4)
+
+
 # 5 packing
 
 

@@ -77,3 +77,10 @@ def sized(df: DataFrame, max_rows: int) -> DataFrame:
     """
     kept = cut(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """Inner equi join in which the rows of one key of ``big`` are dealt to ``salts`` tasks; ``small`` goes to all of them."""
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [*on, "__salt"]).drop("__salt")

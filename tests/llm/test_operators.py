@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import components, decontaminate, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, warc
@@ -375,16 +377,40 @@ def test_personal_data(spark):
     assert re.fullmatch(r"Г-жа [А-Я][а-я]+ [А-Я][а-я]+", text[6]) and len(set(text[7].split())) == 1
     digits = re.sub(r"\D", "", re.search(r"\+1 \(.*?;", text[1])[0])[1:]
     assert [re.sub(r"\D", "", x) for x in text[8].split(" or ")] == [digits, "1" + digits] and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4} or \+1 \d{3}\.\d{3}\.\d{4}", text[8])
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
     again = {r.doc_id: r.text for r in pii.pseudonymise(docs, key="other").collect()}
     assert again[1] != text[1]
 
 
+def test_coreference_of_names_and_numbers(spark):
+    rows = [
+        (1, "Mr John Smith and Mr. John Smith; later John Smith, Mr Smith and John Smithson. Mrs Smith"), (2, "+1 415 555 0000 or +44 415 555 0000 or (415) 555 0000 or +49 30 1234567"), (3, "Ms Jane Smith met John Smith"),
+        (4, "a@b.co c@b.co a@b.org a@d.co"), (5, "fe80::1 FE80::1 2001:db8:0:0:0:0:2:1 std::vector 12:30:45 a::b"), (6, "3782 822463 10005 4111111111111111 30569309025904"), (7, "word " * 50_000 + "Mr John Smith"), (8, "x" * 300_000 + " a@b.co"),
+    ]
+    text = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Mr (\S+) (\S+) and Mr\. \1 \2; later \1 \2, Mr \2 and John Smithson\. Mrs \2", text[1])
+    assert m and m[1] != "John" and m[2] != "Smith"
+    us, gb, national, de = text[2].split(" or ")
+    assert re.sub(r"\D", "", us)[1:] == re.sub(r"\D", "", national) != re.sub(r"\D", "", gb)[2:]
+    assert re.fullmatch(r"\+1 \d{3} \d{3} \d{4}", us) and re.fullmatch(r"\+44 \d{3} \d{3} \d{4}", gb) and re.fullmatch(r"\+49 \d\d \d{7}", de) and de != "+49 30 1234567"
+    assert re.fullmatch(rf"Ms \S+ {m[2]} met John Smith", text[3])  # no titled John Smith in this text
+    a, b, c, d = (x.split("@") for x in text[4].split())
+    assert a[1] == b[1] and a[0] != b[0] and c[1] == a[1].removesuffix(".co") + ".org" and d[1] != a[1]
+    v6 = text[5].split()
+    assert v6[0] == v6[1].lower() != "fe80::1" and v6[2].count(":") == 7 and v6[3:] == ["std::vector", "12:30:45", "a::b"]
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5} 4\d{15} 3\d{13}", text[6]) and "822463" not in text[6]
+    assert text[7] == "word " * 50_000 + f"Mr {m[1]} {m[2]}" and text[8].startswith("x" * 300_000 + " ") and "a@b.co" not in text[8]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame(spark, rows), "")
+
+
 def test_surrogates_stay_distinct(spark):
-    forms = spark.range(300).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("form"))  # 1000 numbers for 300 of them
-    done = pii.assign(forms, "k").collect()
-    assert len(done) == 300 and len({r.surrogate for r in done}) == 300
-    assert not {r.surrogate for r in done} & {r.form for r in done}
+    cases = [("ssn", "", "lpad(id, 3, '0')", 300), ("iban", "", "concat('DE', id)", 10), ("domain", "", "chr(cast(97 + id as int))", 26), ("given", "f latin", "concat('name', chr(cast(97 + id as int)))", 26), ("family", "latin", "concat('name', id)", 300), ("local", "x.com", "cast(id as string)", 10)]
+    each = [spark.range(n).selectExpr(f"'{kind}' as kind", f"'{scope}' as scope", f"{form} as form") for kind, scope, form, n in cases]  # few surrogates are left, or none of that length
+    done = pii.assign(reduce(DataFrame.unionByName, each).coalesce(1), "k").collect()
+    for kind, _, _, n in cases:
+        some = [r for r in done if r.kind == kind]
+        assert len(some) == n and len({r.surrogate.lower() for r in some}) == n and not {r.surrogate.lower() for r in some} & {r.form.lower() for r in some}
 
 
 # 8 near-duplicates

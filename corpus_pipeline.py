@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import decontaminate, neardup, packing, pii, toxicity
 from pixelloom.llm.common import cut, prepare, read
-from pixelloom.llm.queries import held_out, tokenizer_path
+from pixelloom.llm.queries import held_out, pii_key, tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced and ``n_chars`` counted anew."""
     prepare(spark)
-    found = pii.pseudonymise(docs)
+    found = pii.pseudonymise(docs, pii_key(spark))
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 

@@ -2,26 +2,35 @@
 
 Words (lower-cased, everything but letters and digits removed, so that inserted punctuation does not
 hide them) are compared by the gap-weighted subsequence kernel: common subsequences of ``P`` characters,
-each weighted by LAMBDA to the length it spans in both words, normalised to 1 for equal words. An insult
-with letters put in or left out keeps most of its subsequences.
-
-Landmarks are words of labelled toxic documents, picked one after the other so that each is typical
-of toxic documents that those before it do not cover. A sentence or text is a bag of words; its kernel with a
-landmark is pooled over its words (sum, as log(1 + x), and maximum), and the pooled values are whitened with the
-landmarks' own kernel matrix (Nystroem). On these features a linear machine with squared hinge loss is
-trained by Newton steps and calibrated to probabilities.
-
-Labels are per document, and so are the training examples: the words of all its sentences. The model is fitted on at most
-``max_toxic`` and ``max_clean`` labelled rows, those of the smallest hash of the id; everything else covers all rows.
+each weighted by LAMBDA to the length it spans in both words, normalised to 1 for equal words; values up to FLOOR, as
+words without anything to do with each other have, count as none and the rest is stretched to 0..1. An insult
+with letters put in or left out keeps most of its subsequences. No value over FLOOR is skipped: a word that shares the
+letters A with a landmark reaches at most the norm of the landmark's subsequences in A alone (Cauchy-Schwarz), which is
+tabulated for every A; words for which it is under FLOOR are zero.
+
+Landmarks are words of labelled toxic documents that are in them more often than chance gives (near copies counted once),
+picked one after the other so that each is typical of toxic documents that those before it do not cover. A sentence
+or text is a bag of words; its kernel with a landmark is pooled over its words (sum, as log(1 + x), and maximum), and the
+pooled values are whitened with the landmarks' own kernel matrix (Nystroem). On these features a linear machine with squared
+hinge loss is trained by Newton steps and calibrated to probabilities on documents of held-back folds.
+
+Training examples are sentences and whole texts. Labels are per document, so a document that is not toxic labels all its sentences
+(they weigh half as much as the document, together), and a toxic one its worst: the machine is trained, the sentence
+that it finds worst is taken from each toxic document, and so on. Toxic documents also train with a letter put into each landmark
+word. The model is fitted on at most ``max_toxic`` and ``max_clean`` labelled rows, those of the smallest hash of the id;
+everything else covers all rows.
 
 Defined cases: null, empty and wordless texts have zero features and the score of those; labels of
-documents that do not exist, null labels and repeated labels that disagree (toxic wins) are handled; without both labels
-every score is 0; words over 40 characters are compared in overlapping pieces; extra columns are ignored.
+documents that do not exist, null labels and repeated labels that disagree (toxic wins) are handled; rows that repeat get equal
+scores; without both labels every score is 0; words over 40 characters are compared in overlapping pieces; very long texts are
+scored whole; a column named like the score is replaced, all others pass through.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,12 +47,13 @@ P, LAMBDA = 3, 0.75
 LANDMARKS = 64
 #: Kernel values up to this count as none; the rest is stretched to 0..1.
 FLOOR = 0.4
-#: Letters of a landmark that a word must have, any order, before the kernel is computed.
-SHARE = 0.6
 LONGEST = 40
+#: How unlikely by chance a landmark's number of toxic documents is at least.
+CHANCE = 1e-6
 #: Words a Python worker remembers; a bound on its memory, without effect on results.
 CACHED_WORDS = 200_000
 ODD = re.compile(r"[\W_]+")
+END = re.compile(r"[.!?]+\s+|[\r\n]+")
 
 
 def tokens(text: str) -> list[str]:
@@ -91,6 +101,17 @@ def own(words: np.ndarray) -> np.ndarray:
     return np.sqrt(kernel(words, words)).astype(np.float32)
 
 
+def bounds(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct letters of a landmark and, for each set of them as bits, the most a word without the other letters can reach."""
+    chars = np.unique(mark)
+    sets = np.arange(1 << min(len(chars), 14))
+    place = np.searchsorted(chars, mark[0])
+    # Letters outside of a set are zero, which matches nothing; the letters beyond the 14th always count as shared.
+    held = (place[None, :] >= 14) | ((sets[:, None] >> np.minimum(place, 14)[None, :]) & 1 == 1)
+    norm = own(np.where(held, mark, 0))
+    return chars, norm / norm[-1]
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -104,7 +125,7 @@ class Model:
     def __post_init__(self) -> None:
         self.marks = [letters([w]) for w in self.landmarks]
         self.norm = np.array([own(x)[0] for x in self.marks], np.float32)
-        self.need = [(np.unique(x, return_counts=True), int(np.ceil(SHARE * x.shape[1]))) for x in self.marks]
+        self.bounds = [bounds(x) for x in self.marks]
         self.alphabet = sorted({int(c) for x in self.marks for c in x[0]})
 
     def similar(self, words: list[str]) -> np.ndarray:
@@ -117,12 +138,12 @@ class Model:
                 continue
             x = letters([words[i] for i in part])
             selves = None
-            held = {c: (x == c).sum(1, dtype=np.int8) for c in self.alphabet}  # words have LONGEST letters at most
-            for k, (mark, ((chars, counts), need)) in enumerate(zip(self.marks, self.need)):
-                shared = np.zeros(len(x), np.int8)
-                for c, n in zip(chars, counts):
-                    shared += np.minimum(held[c], np.int8(n))
-                some = np.flatnonzero(shared >= need)
+            held = {c: (x == c).any(1) for c in self.alphabet}
+            for k, (mark, (chars, most)) in enumerate(zip(self.marks, self.bounds)):
+                shared = np.zeros(len(x), np.int64)
+                for i, c in enumerate(chars[:14]):
+                    shared |= held[int(c)].astype(np.int64) << i
+                some = np.flatnonzero(most[shared] > FLOOR - 1e-3)
                 if not len(some):
                     continue
                 if selves is None:
@@ -185,10 +206,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.decide(texts) + self.shift, -50, 50)))
 
 
+def chance(toxic: int, clean: int, rate: float) -> float:
+    """Probability that so many or more of ``toxic + clean`` documents are toxic if each is at ``rate``."""
+    n = toxic + clean
+    log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate) for k in range(toxic, n + 1)]
+    return math.exp(max(log)) * sum(math.exp(x - max(log)) for x in log)
+
+
 def pick(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
     """Landmark words, each typical of toxic texts that have none of those before."""
     known: dict[str, str] = {}
     bags = [{known.setdefault(w, w) for t in set(tokens(x)) if len(w := ODD.sub("", t)) >= P and len(w) <= LONGEST} for x in texts]
+    # Near copies count once: they share the least hash of their word pairs.
+    copy = [min((zlib.crc32(f"{a} {b}".encode()) for w in [x.split()] for a, b in zip(w, w[1:])), default=-1 - i) for i, x in enumerate(texts)]
     clean = Counter(w for b, y in zip(bags, toxic) if not y for w in b)
     share = 1 / max(1, (~toxic).sum())
     of: dict[str, list[int]] = {}
@@ -198,6 +228,8 @@ def pick(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
                 of.setdefault(w, []).append(i)
     n = max(1, toxic.sum())
     of = {w: ids for w, ids in of.items() if len(ids) >= 3 and len(ids) / n > 4 * clean[w] * share}
+    sure = {w: ids for w, ids in of.items() if chance(len({copy[i] for i in ids}), clean[w], n / len(texts)) < CHANCE}
+    of = sure or of
     weight = np.ones(len(texts))
     chosen: list[str] = []
     while of and len(chosen) < count:
@@ -241,6 +273,42 @@ def calibrated(d: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50
     return float(w[0]), float(w[1])
 
 
+def gapped(text: str, marks: set[str]) -> str:
+    """The text with one letter put into each of its words that are landmarks."""
+
+    def one(found: re.Match) -> str:
+        w = found[0]
+        if ODD.sub("", w.lower()) not in marks:
+            return w
+        h = zlib.crc32(f"{found.start()} {w}".encode())
+        at = 1 + h % (len(w) - 1)
+        return w[:at] + chr(97 + h // 32 % 26) + w[at:]
+
+    return re.sub(r"\S+", one, text)
+
+
+def sentences(text: str) -> list[str]:
+    """Parts of a text that end at ``.!?`` before white space, or at line ends; at least one."""
+    return [x for x in END.split(text) if x.strip()] or [""]
+
+
+def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray, owner: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Weights and bias from texts ``x`` and their sentences ``part``, which belong to the texts ``owner``, in order."""
+    first = np.searchsorted(owner, np.arange(len(x)))
+    size = np.diff(np.append(first, len(owner)))
+    clean = np.flatnonzero((y[owner] < 0) & part.any(1))
+    of = owner[clean]
+    share = weight[of] / 2 / np.bincount(of, minlength=len(x))[of]
+    w = newton(x, y, weight)
+    for _ in range(rounds):
+        decision = part @ w[:-1] + w[-1]
+        ends = np.flatnonzero(decision == np.repeat(np.maximum.reduceat(decision, first), size))
+        bad = ends[np.unique(owner[ends], return_index=True)[1]]
+        bad = bad[y[owner[bad]] > 0]
+        w = newton(np.concatenate((x, part[bad], part[clean])), np.concatenate((y, np.ones(len(bad)), -np.ones(len(clean)))), np.concatenate((weight, weight[owner[bad]] / 2, share)))
+    return w
+
+
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, count: int = LANDMARKS) -> Model | None:
     """The model of labelled texts; ``weight`` says how many rows each stands for. None without both labels."""
     toxic = np.asarray(toxic, bool)
@@ -253,28 +321,45 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     model = Model(landmarks, np.eye(len(landmarks), dtype=np.float32), np.zeros(2 * len(landmarks)), 0.0, 1.0, 0.0, " ".join(landmarks))
     base = model.similar(landmarks)
     values, vectors = np.linalg.eigh((base + base.T) / 2)
-    model.white = (vectors / np.sqrt(np.maximum(values, 0.05))) .astype(np.float32) @ vectors.T.astype(np.float32)
-    x = model.features(texts)
-    y = np.where(toxic, 1.0, -1.0)
-    fold = np.arange(len(texts)) % 3
+    model.white = (vectors / np.sqrt(np.maximum(values, 0.05))).astype(np.float32) @ vectors.T.astype(np.float32)
+    marks = set(landmarks)
+    virtual = [(i, t) for i in np.flatnonzero(toxic).tolist() if (t := gapped(texts[i], marks)) != texts[i]]
+    source = np.concatenate((np.arange(len(texts)), np.array([i for i, _ in virtual], np.int64)))
+    every = [*texts, *(t for _, t in virtual)]
+    split = [sentences(t) for t in every]
+    owner = np.repeat(np.arange(len(every)), [len(s) for s in split])
+    x, part = model.features(every), model.features([s for text in split for s in text])
+    y = np.where(toxic, 1.0, -1.0)[source]
+    weight = weight[source] * np.where(np.arange(len(every)) < len(texts), 1, 0.5)
+
+    def learned(some: np.ndarray) -> np.ndarray:
+        place = np.cumsum(some) - 1
+        return learn(x[some], y[some], weight[some], part[some[owner]], place[owner[some[owner]]])
+
+    fold = source % 3
     held = np.zeros(len(texts))
     for f in range(3):
-        w = newton(x[fold != f], y[fold != f], weight[fold != f])
-        held[fold == f] = x[fold == f] @ w[:-1] + w[-1]
-    model.slope, model.shift = calibrated(held, toxic.astype(float), weight)
-    w = newton(x, y, weight)
+        if len(set(y[fold != f])) == 2:
+            w = learned(fold != f)
+            at = np.flatnonzero(fold[: len(texts)] == f)
+            held[at] = x[at] @ w[:-1] + w[-1]
+    model.slope, model.shift = calibrated(held, toxic.astype(float), weight[: len(texts)])
+    w = learned(np.ones(len(every), bool))
     model.weights, model.bias = w[:-1], float(w[-1])
     worker_cache(("none",))  # the driver forgets the words
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = 1200, max_clean: int = 1800, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Fit on at most ``max_toxic`` and ``max_clean`` rows of ``labels`` for which ``usable`` holds (a condition on its id)."""
+    """Fit on at most ``max_toxic`` and ``max_clean`` rows of ``labels`` for which ``usable`` holds (a condition on its id).
+
+    Of rows of ``docs`` that repeat an id and its text one is taken.
+    """
     rows = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__label_id")).agg((F.max(label_col) > 0).alias("__toxic"))
     count = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
     by_hash = [rows.filter(F.col("__toxic") == y).orderBy(F.xxhash64("__label_id"), "__label_id").limit(n) for y, n in ((True, max_toxic), (False, max_clean))]
     few = F.broadcast(by_hash[0].unionByName(by_hash[1]))  # at most max_toxic + max_clean rows
-    found = docs.join(few, F.col(id_col) == F.col("__label_id")).select("__label_id", F.col("__toxic").alias("toxic"), F.coalesce(text_col, F.lit("")).alias("text")).collect()
+    found = docs.join(few, F.col(id_col) == F.col("__label_id")).select("__label_id", F.col("__toxic").alias("toxic"), F.coalesce(text_col, F.lit("")).alias("text")).distinct().collect()
     found.sort(key=lambda r: (r["__label_id"], r["text"]))
     toxic = np.array([r["toxic"] for r in found], bool)
     if not len(toxic) or toxic.all() or not toxic.any():

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def brute_winnow(text, k=8, w=32, few=4):
     for g in grams:
         h = 0
         for c in g:
-            h = (h * fingerprint.BASE + ord(c)) % fingerprint.PRIME
+            h = (h * fingerprint.BASE + (xxhash.xxh64_intdigest(c.encode(), 42) & fingerprint.PRIME)) % fingerprint.PRIME
         hashes.append(h)
     w = max(1, min(w, len(hashes) // few))
     return sorted({(hashes[p], p) for a in range(len(hashes) - w + 1) for p in [a + max(i for i, v in enumerate(hashes[a : a + w]) if v == min(hashes[a : a + w]))]}, key=lambda x: x[1])
@@ -164,7 +165,7 @@ def test_winnowing_with_any_gram_and_window(spark, k, w):
 def test_fingerprints(spark, rows):
     rng = random.Random(8)
     short = [(4000 + i, prose(rng, n)) for i, n in enumerate([2, 3, 4, 5, 8, 10, 12, 13, 18, 20, 24, 28, 30] * 3)]
-    rows = [*[r for r in rows if r[0] is not None], *short, (6000, "".join(rng.choice("abcdefg") for _ in range(3000))), (6001, "中文😀é" * 30 + "好" * 20), (6002, "ab")]
+    rows = [*[r for r in rows if r[0] is not None], *short, (6000, "".join(rng.choice("abcdefg") for _ in range(3000))), (6001, "中文😀é" * 30 + "好" * 20), (6002, "ab"), (6003, "".join(rng.choice("abcdefg ") for _ in range(70_000)))]
     docs = frame(spark, rows, **CLASH).repartition(4)
     got = {r.id: r for r in fingerprint.compare_with_edits(docs).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
     assert len(got) == len(rows)
@@ -540,6 +541,36 @@ def test_kernel_is_the_sum_over_subsequences():
         assert got[0] == pytest.approx(brute_kernel(s, t), rel=1e-4) and got[1] == pytest.approx(brute_kernel(s + "a", t), rel=1e-4)
 
 
+def test_no_kernel_value_over_the_floor_is_skipped():
+    rng = random.Random(9)
+    marks = ["worthlessnessabcd", "idiot", "disgusting", "aaa", "abcdefghijklmnopqrs", "xyzzy"]
+    words = [w for m in marks for w in [m, m[:4], m[: len(m) // 2], m[::2], m[:3] + "q" + m[3:], "".join(rng.sample(m, len(m)))]] + ["".join(rng.choice("abcdeist") for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    model = toxicity.Model(marks, np.eye(len(marks)), np.zeros(2 * len(marks)), 0, 1, 0)
+    got = model.similar(words)
+    for k, m in enumerate(marks):
+        t = toxicity.letters([m])
+        for w, v in zip(words, got[:, k]):
+            x = toxicity.letters([w])
+            full = toxicity.kernel(x, t)[0] / max(1e-12, toxicity.own(x)[0] * toxicity.own(t)[0])
+            assert v == pytest.approx(max(0, (full - toxicity.FLOOR) / (1 - toxicity.FLOOR)), abs=2e-3), (w, m)
+
+
+def test_score_is_the_machine_on_pooled_kernels():
+    texts = ["you worthless fool. a fine day", "a fine day! worthless", "you idiot", "the day is fine", "fine.\nday", ""] * 8
+    toxic = np.array([1, 1, 1, 0, 0, 0] * 8, bool)
+    model = toxicity.fit(texts, toxic)
+    for text in ["you worthxless fool", "fine day", "", "i d i o t", "w.o.r.t.h.l.e.s.s"]:
+        words = [re.sub(r"[\W_]+", "", w) for w in toxicity.tokens(text)]
+        k = np.zeros((max(1, len(words)), len(model.landmarks)))
+        for i, w in enumerate(words):
+            for j, m in enumerate(model.landmarks):
+                norm = (brute_kernel(w, w) * brute_kernel(m, m)) ** 0.5
+                k[i, j] = max(0, ((brute_kernel(w, m) / norm if norm else 0) - toxicity.FLOOR) / (1 - toxicity.FLOOR))
+        x = np.concatenate((np.log1p(k.sum(0)) @ model.white, k.max(0) @ model.white))
+        want = 1 / (1 + np.exp(-(model.slope * (x @ model.weights + model.bias) + model.shift)))
+        assert model.score([text])[0] == pytest.approx(want, abs=1e-3)
+
+
 def test_toxicity_learns_and_tolerates_insertions():
     rng = random.Random(6)
     words = [f"{a}{b}" for a in WORDS for b in WORDS]

@@ -8,8 +8,9 @@ that covers it also starts earlier, in a row of smaller id or earlier in the sam
    only needs to know 0, 1 or more, so it is two bits, kept as two bit planes; merging two sketches is
    ``many = a.many | b.many | (a.one & b.one)``, block by block. Merged cells never underestimate.
 2. A second pass hands on only windows whose cells say "more", which loses none that repeat. Inside
-   one chunk of documents all but the first of equal windows are marked at once, so a passage that
-   very many documents share reaches the shuffle once a chunk; the rest is ranked exactly by hash.
+   one chunk of documents all but the first of equal windows are marked at once, and so are those of later chunks of the
+   same task of which an earlier one is still in a table of ``SEEN`` places; so a passage that
+   very many documents share reaches the shuffle about once a task. The rest is ranked exactly by hash.
 
 The sketch has two to four bits a row for each word, a power of two in all, and at most
 ``max_bits`` (2^30: 128 MB a plane, the bound of what is broadcast). Beyond that more unrepeated
@@ -17,7 +18,8 @@ windows pass the prefilter and are shuffled; the result stays the same.
 
 Defined cases: null texts have no words; a null id sorts before all others; rows that repeat an id
 and its text are one document, judged alike; rows of one id and different texts are ordered by a hash
-of the text; extra columns are ignored. Windows count as equal if 96 bits of hash are.
+of the text; a very long text is a chunk of its own, with 40 bytes of tables for each of its bytes; extra columns are
+ignored. Windows count as equal if 96 bits of hash are, made from two independent hashes of each word.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ ROWS = 2
 MAX_BROADCAST = 2_000_000
 WHOLE = (1 << 31) - 1
 CHUNK_BYTES = 1 << 20
+SEEN = 1 << 18
 NULL_ID = -(1 << 63)
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -58,7 +61,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hasher:
     """Polynomial hashes of words and of word windows; its tables grow with the longest chunk."""
 
-    BYTE, WINDOW = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xF1357AEA2E62A9C5)
+    BYTE, WINDOW = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD1342543DE82EF95, 0xF1357AEA2E62A9C5)
 
     def __init__(self) -> None:
         self.n = 0
@@ -66,7 +69,7 @@ class Hasher:
     def grow(self, n: int) -> None:
         if n > self.n:
             self.n = max(n, CHUNK_BYTES + 1)
-            self.byte = powers(self.BYTE, self.n)
+            self.byte = [powers(b, self.n) for b in self.BYTE]
             self.window = [powers(b, self.n // 2 + 2) for b in self.WINDOW]
 
     @staticmethod
@@ -77,8 +80,8 @@ class Hasher:
         x ^= x >> U(32)
         return x
 
-    def words(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, start byte and text number of each word; text ``i`` is ``data[begin[i]:begin[i + 1]]``."""
+    def words(self, data: np.ndarray, begin: np.ndarray, hashes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash (or a row of each of two), start byte and text number of each word; text ``i`` is ``data[begin[i]:begin[i + 1]]``."""
         n = len(data)
         self.grow(n + 1)
         space = SPACE[data]
@@ -93,23 +96,29 @@ class Hasher:
             after[-1] = True
         first = np.flatnonzero(~space & before)
         last = np.flatnonzero(~space & after) + 1
-        total = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * self.byte[0][:n], out=total[1:])
         length = (last - first).astype(U)
-        h = self.mix((total[last] - total[first]) * self.byte[1][first] + length * U(0x2545F4914F6CDD1D), 0)
+        out = []
+        for k in range(hashes):
+            up, down = self.byte[k]
+            total = np.zeros(n + 1, U)
+            np.cumsum((data.astype(U) + U(1)) * up[:n], out=total[1:])
+            out.append(self.mix((total[last] - total[first]) * down[first] + length * U(0x2545F4914F6CDD1D), k))
         for i in np.flatnonzero(length > 64):  # long words can be made to collide in a polynomial
-            h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
-        return h, first, np.searchsorted(begin, first, side="right") - 1
+            full = hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=16).digest()
+            for k, h in enumerate(out):
+                h[i] = int.from_bytes(full[8 * k : 8 * k + 8], "little")
+        return out[0] if hashes == 1 else np.stack(out), first, np.searchsorted(begin, first, side="right") - 1
 
     def windows(self, h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes of each window of ``n`` words of one text, and the number of its first word."""
-        if len(h) < n:
+        words = (h, h) if h.ndim == 1 else h
+        if len(text) < n:
             return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
         at = np.flatnonzero(text[n - 1 :] == text[: len(text) - n + 1])
         out = []
         for k, (up, down) in enumerate(self.window):
-            total = np.zeros(len(h) + 1, U)
-            np.cumsum(self.mix(h, 0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1) * up[: len(h)], out=total[1:])
+            total = np.zeros(len(text) + 1, U)
+            np.cumsum(self.mix(words[k], 0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1) * up[: len(text)], out=total[1:])
             out.append(self.mix((total[at + n] - total[at]) * down[at], k + 1))
         return out[0], out[1], at
 
@@ -157,7 +166,7 @@ def sketch(docs: DataFrame, bits: int, n: int) -> list[np.ndarray]:
         some = False
         for batch in batches:
             for _, _, data, begin in chunks(batch.column(0)):
-                h, _, text = hasher.words(data, begin)
+                h, _, text = hasher.words(data, begin, 2)
                 h1, h2, _ = hasher.windows(h, text, n)
                 if len(h1):
                     some = True
@@ -205,10 +214,12 @@ def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         many = planes.value
+        seen = [np.zeros(SEEN, d) for d in (U, U, np.int64, np.int64, np.int64)]  # hashes, key, text hash and place of windows handed on
+        seen[2][:] = np.iinfo(np.int64).max  # nothing is later than that
         for batch in batches:
             keys, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for a, b, data, begin in chunks(batch.column(2)):
-                h, _, text = hasher.words(data, begin)
+                h, _, text = hasher.words(data, begin, 2)
                 h1, h2, at = hasher.windows(h, text, n)
                 keep = np.ones(len(h1), bool)
                 for plane, cell in zip(many, cells(h1, h2, bits)):
@@ -228,6 +239,13 @@ def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame
                 head[order] = order[new][np.cumsum(new) - 1]
                 first = head == np.arange(len(head))
                 again = ~first & ((key != key[head]) | (hashed != hashed[head]) | (pos != pos[head]))  # not a copy of its row
+                slot = (h1 >> U(7)).astype(np.int64) & (SEEN - 1)
+                k, t, p = (x[slot] for x in seen[2:])
+                earlier = (seen[0][slot] == h1) & (seen[1][slot] == h2) & ((k < key) | ((k == key) & ((t < hashed) | ((t == hashed) & (p < pos)))))
+                again |= first & earlier
+                first &= ~earlier
+                for held, new in zip(seen, (h1, h2, key, hashed, pos)):
+                    held[slot[first]] = new[first]
                 yield rows(h1[first], h2[first], key[first], hashed[first], pos[first], 0)
                 # What has an earlier equal window here is repeated already; runs of them become one row.
                 key, hashed, pos = key[again], hashed[again], pos[again]

@@ -69,7 +69,7 @@ def test_decontamination(spark, rows):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("b_hash", F.lit(1))
     rows = [*rows, (2000, "zz " * 5 + items[4][1] + " qq" * 9), (2000, "zz " * 5 + items[4][1] + " qq" * 9), (2001, "alphabeta betagamma")]
     docs = frame(spark, rows, **CLASH)
-    for bound in (2_000_000, 0):  # with and without broadcasting
+    for bound in (2_000_000, -1):  # with and without broadcasting
         got = Counter((r.id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.hits(docs, bench, max_broadcast=bound).collect())
         want = Counter()
         for i, t in rows:
@@ -107,11 +107,19 @@ def brute_repeats(rows, n=20):
 @pytest.mark.parametrize("bits", [1 << 30, 1 << 16])
 def test_substrings(spark, rows, bits, monkeypatch):
     monkeypatch.setattr(substring, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(substring, "SEEN", 64)
     twice = [*rows, rows[0], rows[8], (5000, "w " * 50), (5001, "w " * 50)]
     got = Counter(tuple(r) for r in substring.remove_repeats(frame(spark, twice, **CLASH).repartition(5), max_bits=bits).collect())
     assert got == brute_repeats(twice)
 
 
+def test_substrings_of_a_very_long_text_and_a_common_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(0, " ".join(f"w{i}" for i in range(400_000)))] + [(i, f"a{i} {passage} b{i}") for i in range(1, 400)] + [(1000, " ".join(f"w{i}" for i in range(399_000, 399_050)))]
+    got = {r.id: (r.n_removed, r.kept) for r in substring.remove_repeats(frame(spark, rows).repartition(3)).collect()}
+    assert got[0][0] == 0 and got[1][0] == 0 and got[1000] == (50, "") and all(got[i] == (25, f"a{i} b{i}") for i in range(2, 400))
+
+
 def test_substrings_of_nothing(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
@@ -124,6 +132,8 @@ def test_word_hashes_tell_words_apart():
     ((_, _, data, begin),) = substring.chunks(pa.array(texts))
     words, _, owner = h.words(data, begin)
     assert owner.tolist() == [0, 0, 1, 1, 3, 3, 4, 4]
+    both, _, _ = h.words(data, begin, 2)
+    assert (both[0] == words).all() and len(set(both[1].tolist())) == 5 and not (both[0] == both[1]).any()
     assert words[0] == words[3] == words[5] and words[1] == words[4] and len(set(words.tolist())) == 5
 
 

@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
 Every run of ``k`` code points is hashed to 31 bits by the polynomial of Karp and Rabin, modulo the prime
-2^31 - 1. As in rolling, a gram's hash is never made from its ``k`` characters anew: hashes of runs of twice the length
+2^31 - 1, over hashed characters. As in rolling, a gram's hash is never made from its ``k`` characters anew: hashes of runs of twice the length
 come from two hashes of the half, ``hash(xy) = hash(x) * BASE^|y| + hash(y)``, for all places at once, so it takes
 log2(k) steps a place. (A fold that rolls from place to place would copy the array built so far at each step.)
 
@@ -54,7 +54,7 @@ def _joined(left: Column, right: Column, n: int) -> Column:
 
 
 def _runs(codes: Column, k: int) -> Column:
-    """Hashes of all runs of ``k`` from the code points; empty for shorter texts."""
+    """Hashes of all runs of ``k`` characters; empty for shorter texts."""
     if k == 1:
         return codes
     if k % 2:
@@ -64,7 +64,7 @@ def _runs(codes: Column, k: int) -> Column:
 
 def grams(text: Column, k: int) -> Column:
     """Packed (hash, position) of every run of ``k`` code points; of a shorter text one; none of a wordless one."""
-    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    codes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(PRIME).cast("long")))  # by code point
     whole = lambda c: F.array(F.aggregate(c, F.lit(0).cast("long"), lambda h, x: _joined(h, x, 1)))
     hashed = let(codes, lambda c: F.when(F.size(c) >= k, _runs(c, k)).otherwise(whole(c)))
     packed = F.transform(hashed, lambda h, i: h * (1 << 31) + (F.lit(HALF).cast("long") - i))
@@ -128,6 +128,35 @@ def printed(packed: Column) -> Column:
     return F.array_join(F.transform(packed, lambda p: F.concat(F.hex(F.shiftright(p, 31)), F.lit(":"), (F.lit(HALF) - p.bitwiseAND(F.lit(HALF).cast("long"))).cast("string"))), " ")
 
 
+def _place(p: Column) -> Column:
+    return (F.lit(HALF) - p.bitwiseAND(F.lit(HALF).cast("long"))).cast("int")
+
+
+def shipped(packed: Column) -> Column:
+    """A fingerprint as one array of integers, as it is shuffled: how many, their hashes, their positions.
+
+    Positions are two to an integer if all are under 2^16.
+    """
+    place = lambda p, i: F.coalesce(_place(F.get(p, i)), F.lit(0))
+    pairs = lambda p: F.transform(F.sequence(F.lit(0), (F.size(p) - 1).cast("int"), F.lit(2)), lambda i: F.shiftleft(place(p, i), 16).bitwiseOR(place(p, i + 1)))
+    places = lambda p: F.when(place(p, F.size(p) - 1) < (1 << 16), pairs(p)).otherwise(F.transform(p, _place))
+    hashed = lambda p: F.transform(p, lambda x: F.shiftright(x, 31).cast("int"))
+    return let(packed, lambda p: F.when(F.size(p) > 0, F.concat(F.array(F.size(p)), hashed(p), places(p))).otherwise(F.array(F.lit(0))))
+
+
+def received(print_: Column) -> Column:
+    """What ``shipped`` was made of."""
+
+    def one(s: Column, n: Column, i: Column) -> Column:
+        pair = F.get(s, F.lit(1) + n + F.shiftright(i, 1))
+        half = F.when(F.pmod(i, F.lit(2)) == 0, F.shiftrightunsigned(pair, 16)).otherwise(pair.bitwiseAND(F.lit(0xFFFF)))
+        place = F.when((F.size(s) == 1 + n + n) & (n > 1), F.get(s, F.lit(1) + n + i)).otherwise(half)
+        return F.get(s, i + 1).cast("long") * (1 << 31) + (F.lit(HALF).cast("long") - place)
+
+    several = lambda s, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(s, n, i))
+    return let(print_, lambda s: let(F.get(s, F.lit(0)), lambda n: F.when(n > 0, several(s, n)).otherwise(F.array().cast("array<bigint>"))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two hash sets, 1 for two empty ones."""
     both = F.size(F.array_intersect(a, b))
@@ -161,14 +190,14 @@ def compare_with_edits(docs: DataFrame, k: int = K, w: int = W, id_col: str = "d
     """
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     linked, repeated = followers(own)
-    prints = own.withColumn("packed", fingerprint(F.col("text"), k, w))
+    prints = own.select("key", "text_hash", "text", shipped(fingerprint(F.col("text"), k, w)).alias("print"))
     link = linked.select(F.col("key").alias("of_key"), F.col("text_hash").alias("of_hash"), "quarter", F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"))
     after = prints.join(link, ["key", "text_hash"]).select(
-        F.col("of_key").alias("key"), F.col("of_hash").alias("text_hash"), "quarter", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("start"), hashes(F.col("packed")).alias("next_hashes")
+        F.col("of_key").alias("key"), F.col("of_hash").alias("text_hash"), "quarter", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("start"), F.array_distinct(F.slice("print", F.lit(2), F.get("print", F.lit(0)))).alias("next_hashes")
     )
     if repeated:
         after = after.dropDuplicates(["key", "text_hash"])
-    both = prints.join(after, ["key", "text_hash"]).withColumn("n_chars", F.length("text").cast("long"))
+    both = prints.join(after, ["key", "text_hash"]).withColumn("packed", received(F.col("print"))).drop("print").withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int")), F.col("start")))
     both = _with_edited_fingerprint(both, F.col("n_chars") - F.col("quarter"), k, w)
     return both.select(

@@ -1,6 +1,7 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it. The forest looks at its length and
+A candidate is a run of 16 or more key characters with a digit in it, or whatever of 6 to 128 characters stands after a
+word of ``CUES`` and ``=`` or ``:``, with or without digits. The forest looks at its length and
 character transitions, how much of it dictionary words cover, whether it stands in a path or url, and
 at its neighbours (the word before, ``=`` or ``:``, quotes). It is trained from labelled findings, a
 DataFrame ``before, candidate, after, is_secret``; ``example_findings`` makes one by rule, from public
@@ -8,9 +9,9 @@ formats of keys and of what is mistaken for them. The forest is fitted on at mos
 
 Everything on the way is built-in functions and the DataFrame API of Spark's own forest.
 
-Defined cases: null and empty texts have no candidates; rows are scanned one by one, so rows that
-repeat give the same result each; an empty table gives no rows; without labelled findings every candidate
-counts as a secret; extra columns are ignored.
+Defined cases: null and empty texts have no candidates; where two candidates overlap the first counts; rows are scanned one by
+one, so rows that repeat give the same result each; very long texts are scanned whole, their candidates come one a row; an empty
+table gives no rows; without labelled findings every candidate counts as a secret; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +24,21 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{16})[A-Za-z+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
 MAX_FINDINGS = 20_000
 #: Words that announce a secret, and common words and word parts of identifiers.
 CUES = "token key secret password passwd pwd api apikey auth bearer credential private access signature sig salt hmac"
+LONG_RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{16})[A-Za-z+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
+AFTER_CUE = r"(?<=(?i:" + "|".join(sorted(CUES.split(), key=lambda w: (-len(w), w))) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;=:]{6,128}"
+CANDIDATE = AFTER_CUE + "|" + LONG_RUN
+#: No candidate is in a text without this.
+HINT = r"[0-9]|(?i:" + "|".join(CUES.split()) + r")[\"']?\s{0,2}[=:]"
 DICTIONARY = (
     "the and ing tion ment able with from that this for not are was have one all can had her were when your said there use each which their "
     "time will way about many then them write would like into more two has look see number could people first part file path name index data table "
     "page image static style script version release build test example sample default user group order item list page node main home public local "
     "linux windows android server client http https www html json data-set config module package import export lorem ipsum dolor"
 )
-FEATURES = ["length", "digits", "uppers", "lowers", "transitions", "hex", "distinct", "runs", "words", "path", "equals", "quoted", "cue", "dashes", "tail"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "hex", "distinct", "runs", "words", "path", "equals", "quoted", "cue", "dashes", "tail"]
 
 
 def features(before: Column, candidate: Column, after: Column) -> list[Column]:
@@ -45,7 +50,7 @@ def features(before: Column, candidate: Column, after: Column) -> list[Column]:
     uncovered = F.length(F.regexp_replace(lowered, "|".join(sorted({w for w in DICTIONARY.split() if len(w) > 2}, key=lambda w: (-len(w), w))), ""))
     word = F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1))
     values = {
-        "length": n, "digits": share("0-9"), "uppers": share("A-Z"), "lowers": share("a-z"),
+        "length": n, "digits": share("0-9"), "uppers": share("A-Z"), "lowers": share("a-z"), "others": 1 - share("A-Za-z0-9"),
         "transitions": F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) / n,
         "hex": share("0-9a-fA-F"), "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / n,
         "runs": 1 - F.length(F.regexp_replace(candidate, r"(.)\1+", "$1")) / n,
@@ -59,18 +64,21 @@ def features(before: Column, candidate: Column, after: Column) -> list[Column]:
 
 
 def example_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """``n`` labelled findings by rule: keys in the public shapes, and look-alikes, each after several kinds of words."""
+    """``n`` labelled findings by rule, and half as many short ones: keys in the public shapes, and look-alikes, each after several kinds of words."""
     h = lambda salt, size: F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id")), 256), 1, size)
     dec = lambda salt, size: F.substring(F.translate(F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id")), 256), "abcdef", "724906"), 1, size)
     b64 = lambda salt, size: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id")), 512))), "=+/", "x7Q"), 1, size)
     pick = lambda k, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(options))) + 1).cast("int"))
     secret = [h("a", 40), h("b", 32), h("c", 64), b64("d", 40), F.concat(F.lit("AKIA"), F.upper(h("e", 16))), F.concat(F.lit("ghp_"), b64("f", 36)), b64("g", 24), F.upper(h("h", 40))]
+    names = ["tiger", "summer", "dragon", "coffee", "monkey", "winter", "purple"]
+    short = [F.concat(pick(11, names), dec("l", 2), F.lit("!")), b64("m", 8), F.concat(b64("n", 5), F.lit("$"), b64("o", 4)), F.concat(F.initcap(pick(12, names)), F.lit("#"), dec("p", 3)), b64("q", 12)]
     words = ["version", "release", "image", "index", "page", "table"]
     other = [
         dec("a", 16), dec("b", 20), F.concat(h("c", 8), F.lit("-"), h("d", 4), F.lit("-"), h("e", 4), F.lit("-"), h("f", 4), F.lit("-"), h("g", 12)),
         F.concat(pick(1, words), F.lit("_"), pick(2, words), F.lit("_"), dec("h", 4)), F.concat(F.lit("static/"), pick(3, words), F.lit("/"), dec("i", 8)),
         F.concat(F.lit("2024-"), dec("j", 2), F.lit("-"), dec("k", 2), F.lit("-"), pick(4, words)), F.concat(F.lit("example_key_"), F.lit("0000000000")), F.repeat(pick(5, ["x1", "0", "12"]), 12),
     ]
+    idle = [pick(13, ["required", "optional", "string", "example", "default", "unknown", "version", "following"]), F.concat(F.lit("your-"), pick(14, ["token", "key", "password"]), F.lit("-here")), F.lit("<redacted>"), F.lit("********"), F.concat(pick(15, words), F.lit("."), pick(16, words)), F.concat(F.lit("${"), F.upper(pick(17, words)), F.lit("}"))]
     rows = spark.range(n).withColumn("is_secret", F.col("id") % 2 == 0)
     nth = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(8))
     choose = lambda options: F.coalesce(*[F.when(nth == i, c) for i, c in enumerate(options)])
@@ -82,7 +90,13 @@ def example_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     cue = F.when(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(2)) == 0, pick(6, plain)).otherwise(pick(7, odd))
     before = F.when(F.col("is_secret") != swapped, pick(10, marked)).otherwise(cue)
     after = F.when(before.endswith('"'), '" ').otherwise(" and ")
-    return rows.select(before.alias("before"), F.when(F.col("is_secret"), choose(secret)).otherwise(choose(other)).alias("candidate"), after.alias("after"), "is_secret")
+    long_ones = rows.select(before.alias("before"), F.when(F.col("is_secret"), choose(secret)).otherwise(choose(other)).alias("candidate"), after.alias("after"), "is_secret")
+    # Short ones stand after a cue, whatever they are.
+    nth_of = lambda options: F.coalesce(*[F.when(F.pmod(F.xxhash64("id", F.lit(18)), F.lit(len(options))) == i, c) for i, c in enumerate(options)])
+    cued = pick(19, marked)
+    end = F.when(cued.endswith('"'), '" ').otherwise(" and ")
+    short_ones = rows.filter("id % 4 < 2").select(cued.alias("before"), F.when(F.col("is_secret"), nth_of(short)).otherwise(nth_of(idle)).alias("candidate"), end.alias("after"), "is_secret")
+    return long_ones.unionByName(short_ones)
 
 
 def train(findings: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 20, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel | None:
@@ -98,7 +112,7 @@ def train(findings: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 20
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate, and one without for rows that have none: ``id, row, at, before, candidate, after``."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = own.withColumn("found", F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = own.withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     pieces = F.when(F.size("found") > 0, F.split("text", CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
     context = found.withColumn("pieces", pieces).select(
         "id", "row", F.transform("found", lambda c, i: F.struct(

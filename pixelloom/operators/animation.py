@@ -50,29 +50,39 @@ WEBP_OVER = (
 ).format(", ".join(f"'{c}', shiftright(pmod((s.{c} * s.a + d.{c} * {_F}) * (16777216 div greatest(1, {_BA})), 4294967296), 24)" for c in "rgb"))
 
 
-def canvas_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER) -> DataFrame:
-    """The last canvas of animations that blend: ``doc_id, x, y, r, g, b, a`` for pixels ever touched.
+def canvases_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER) -> DataFrame:
+    """Every canvas of animations that blend: ``doc_id, item_index, x, y, r, g, b, a`` for pixels ever touched.
 
     ``frames`` has ``blend`` (0 source, 1 over) and ``dispose`` (0 none, 1 clear, 2 previous), which acts on
-    the frame's rectangle before the next one is drawn. The fold of a pixel keeps its value, and the one to go back to.
+    the frame's rectangle before the next one is drawn. The fold of a pixel goes through its own events only and keeps its
+    value, and the one to go back to; a window carries what is left after an event to the frames that follow.
     """
     rect = frames.select("doc_id", "item_index", "dispose", "blend", F.explode(F.expr("sequence(lft, lft + width - 1)")).alias("x"), "top", "height")
     rect = rect.select("doc_id", "item_index", "dispose", "blend", "x", F.explode(F.expr("sequence(top, top + height - 1)")).alias("y"))
     drawn = rect.join(patches, ["doc_id", "item_index", "x", "y"], "left")
     one = F.struct("item_index", "dispose", (F.col("blend") == 0).alias("source"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in RGBA])
-    events = drawn.groupBy("doc_id", "x", "y").agg(F.array_sort(F.collect_list(one)).alias("events"), F.max("item_index").alias("last_here"))
-    final = frames.groupBy("doc_id").agg(F.max("item_index").alias("last_frame"))
-    events = events.join(final, "doc_id")
+    events = drawn.groupBy("doc_id", "x", "y").agg(F.array_sort(F.collect_list(one)).alias("events"))
     nothing = "named_struct('r', 0L, 'g', 0L, 'b', 0L, 'a', 0L)"
     kind = "struct<r:bigint,g:bigint,b:bigint,a:bigint>"
-    # What is due after a frame happens before the next event of the pixel, or at the end if a later frame came.
+    # What is due after a frame happens before the next event of the pixel.
     after = lambda acc: f"case {acc}.due when 1 then {nothing} when 2 then {acc}.back else {acc}.v end"
     draw = over.replace("d.", f"({after('acc')}).").replace(" d else", f" {after('acc')} else").replace("then d ", f"then {after('acc')} ")
     fold = (
-        f"aggregate(events, named_struct('v', {nothing}, 'back', {nothing}, 'due', 0), (acc, s) -> "
-        f"named_struct('v', cast({draw} as {kind}), 'back', {after('acc')}, 'due', s.dispose), acc -> if(last_here < last_frame, {after('acc')}, acc.v))"
+        f"aggregate(events, named_struct('v', {nothing}, 'back', {nothing}, 'due', 0, 'seen', cast(array() as array<struct<item_index:int,shown:{kind},rest:{kind}>>)), (acc, s) -> "
+        f"transform(array(named_struct('v', cast({draw} as {kind}), 'back', {after('acc')})), n -> named_struct('v', n.v, 'back', n.back, 'due', s.dispose, 'seen', "
+        f"concat(acc.seen, array(named_struct('item_index', s.item_index, 'shown', n.v, 'rest', case s.dispose when 1 then {nothing} when 2 then n.back else n.v end)))))[0], acc -> acc.seen)"
     )
-    return events.withColumn("v", F.expr(fold)).select("doc_id", "x", "y", *[F.col(f"v.{c}").cast("int").alias(c) for c in RGBA])
+    seen = events.select("doc_id", "x", "y", F.explode(F.expr(fold)).alias("e")).select("doc_id", "x", "y", "e.item_index", "e.shown", "e.rest")
+    looks = events.select("doc_id", "x", "y").join(frames.select("doc_id", "item_index"), "doc_id")
+    before = Window.partitionBy("doc_id", "x", "y").orderBy("item_index").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = looks.join(seen, ["doc_id", "x", "y", "item_index"], "left").withColumn("v", F.coalesce("shown", F.last("rest", ignorenulls=True).over(before)))
+    return all_.select("doc_id", "item_index", "x", "y", *[F.coalesce(F.col(f"v.{c}"), F.lit(0)).cast("int").alias(c) for c in RGBA])
+
+
+def canvas_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER) -> DataFrame:
+    """The last canvas of each: ``doc_id, x, y, r, g, b, a``."""
+    final = frames.groupBy("doc_id").agg(F.max("item_index").alias("item_index"))
+    return canvases_blending(frames, patches, over).join(final, ["doc_id", "item_index"]).select("doc_id", "x", "y", *RGBA)
 
 
 def key_frames(frames: DataFrame) -> DataFrame:

@@ -44,6 +44,13 @@ def raster_equal(a: DataFrame, b: DataFrame, channels: list[str] = RGBA) -> Data
     return both.groupBy(*KEYS).agg((F.count(F.when(~F.col("p").eqNullSafe(F.col("q")), 1)) == 0).alias("equal"))
 
 
+def bounded(palette: DataFrame) -> DataFrame:
+    """``palette``; more than 256 entries fail the job with UNSUPPORTED instead of being left out."""
+    rows = palette.orderBy("idx").limit(257).agg(F.collect_list(F.struct("idx", *RGBA)).alias("e"))
+    checked = F.when(F.size("e") > 256, F.raise_error(F.lit("UNSUPPORTED: a palette has 256 entries at most"))).otherwise(F.col("e"))
+    return rows.select(F.explode(checked).alias("e")).select("e.*")
+
+
 def palette_apply(df: DataFrame, palette: DataFrame) -> DataFrame:
     """``df`` with ``idx`` and the colours of the nearest entry of ``palette (idx, r, g, b, a)``.
 
@@ -52,7 +59,7 @@ def palette_apply(df: DataFrame, palette: DataFrame) -> DataFrame:
     """
     colour = lambda c: F.when(F.col("a") == 0, 0).otherwise(F.col(c))
     keyed = df.select("*", *[colour(c).alias(f"k{c}") for c in RGBA])
-    entries = F.broadcast(palette.orderBy("idx").limit(256).agg(F.array_sort(F.collect_list(F.struct("idx", *RGBA))).alias("entries")))
+    entries = F.broadcast(bounded(palette).agg(F.array_sort(F.collect_list(F.struct("idx", *RGBA))).alias("entries")))
     distance = lambda e: reduce(lambda s, c: s + (F.col(f"k{c}") - e[c]) * (F.col(f"k{c}") - e[c]), RGBA, F.lit(0).cast("long"))
     found = keyed.select(*[f"k{c}" for c in RGBA]).distinct().crossJoin(entries)
     found = found.withColumn("best", F.array_min(F.transform("entries", lambda e: F.struct(distance(e).alias("d"), *[e[c].alias(c) for c in ("idx", *RGBA)]))))
@@ -63,8 +70,8 @@ def palette_apply(df: DataFrame, palette: DataFrame) -> DataFrame:
 
 def from_palette(df: DataFrame, palette: DataFrame, transparent: int | None = None) -> DataFrame:
     """Indexed pixels ``v`` to colours; an index past the table, or the transparent one, draws nothing."""
-    entries = palette.select(F.col("idx").alias("v"), *RGBA)
-    joined = df.join(F.broadcast(entries.limit(256)), "v", "left")
+    entries = bounded(palette).select(F.col("idx").alias("v"), *RGBA)
+    joined = df.join(F.broadcast(entries), "v", "left")
     drawn = F.col("r").isNotNull() & (F.lit(True) if transparent is None else F.col("v") != transparent)
     return joined.select(*[c for c in df.columns if c != "v"], *[F.when(drawn, F.col(c)).otherwise(0).alias(c) for c in RGBA])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEYS, RGBA
-from .join import palette_apply
+from .join import bounded, palette_apply
 
 def _cleared() -> dict[str, Column]:
     """The channels of a pixel's colour, all 0 for clear pixels."""
@@ -74,7 +74,8 @@ def build_palette(df: DataFrame, most: int = 256, by: list[str] = ["doc_id"]) ->
     """``idx, r, g, b, a`` of each group: its colours if they fit, else those that median cut picks."""
 
     def cut(table: pa.Table) -> pa.Table:
-        order = sorted(range(table.num_rows), key=lambda i: tuple(table.column("first")[i].as_py().values()))
+        first = table.column("first").combine_chunks()
+        order = np.lexsort([first.field(k).to_numpy() for k in (2, 1, 0)])
         colours = np.stack([table.column(c).to_numpy() for c in RGBA], 1)[order]
         pixels = table.column("pixels").to_numpy()[order]
         entries = colours if len(colours) <= most else cut_boxes(colours, pixels, most)
@@ -130,7 +131,7 @@ def dither(df: DataFrame, palette: DataFrame) -> DataFrame:
 
     The order inside a raster is sequential by nature; rasters are independent.
     """
-    entries = palette.orderBy("idx").limit(256).select(*RGBA).collect()  # at most 256 rows
+    entries = bounded(palette).orderBy("idx").select(*RGBA).collect()  # at most 256 rows
     colours = np.array([tuple(e) for e in entries], np.int64).reshape(-1, 4)
 
     def run(table: pa.Table) -> pa.Table:
@@ -175,7 +176,7 @@ def writer_facts(df: DataFrame, by: list[str] = KEYS) -> DataFrame:
 def fits_palette(df: DataFrame, palette: DataFrame, by: list[str] = KEYS) -> DataFrame:
     """Whether each raster has only colours of ``palette``."""
     have = palette.select(*RGBA).distinct().withColumn("__in", F.lit(True))
-    h = histogram(df, by).join(F.broadcast(have.limit(256)), RGBA, "left")
+    h = histogram(df, by).join(have, RGBA, "left")
     return h.groupBy(*by).agg((F.count(F.when(F.col("__in").isNull(), 1)) == 0).alias("fits"))
 
 

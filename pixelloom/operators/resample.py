@@ -18,7 +18,8 @@ from ..model import KEYS, MAX, RGBA
 
 SUPPORT = {"BOX": 0.5, "TRIANGLE": 1.0, "CATMULL_ROM": 2.0, "LANCZOS3": 3.0}
 ONE = 1 << 22
-MAX_BROADCAST_ROWS = 4_000_000
+#: Rows of taps to broadcast, and distinct sizes that the driver looks at to count them.
+MAX_BROADCAST_ROWS, MAX_SIZES = 4_000_000, 10_000
 
 
 def _kernel(filter: str, x: str) -> str:
@@ -53,10 +54,20 @@ def taps(sizes: DataFrame, size: str, out: int, filter: str) -> DataFrame:
     return each.select("size", "o", F.col("t.s").alias("s"), F.expr("cast(if(w >= 0.0D, floor(w + 0.5D), ceil(w - 0.5D)) as bigint) as weight"))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """Broadcast a table of taps if it has few enough rows."""
-    kept = table.persist()
-    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_ROWS else kept
+def _taps(df: DataFrame, width: int, height: int, filter: str) -> tuple[DataFrame, DataFrame]:
+    """The tables of taps of both axes, broadcast if the sizes there are make few enough rows."""
+    known = df.select("w", "h").distinct().limit(MAX_SIZES + 1).collect()
+    spark = df.sparkSession
+    out = []
+    for size, at, new in (("w", 0, width), ("h", 1, height)):
+        if len(known) > MAX_SIZES:
+            out.append(taps(df, size, new, filter))
+            continue
+        values = sorted({r[at] for r in known})
+        table = taps(spark.createDataFrame([(v,) for v in values], f"{size} int"), size, new, filter)
+        rows = sum(new * (2 * SUPPORT.get(filter, 0.5) * max(1.0, v / new) + 2) for v in values)
+        out.append(F.broadcast(table) if rows <= MAX_BROADCAST_ROWS else table)
+    return out[0], out[1]
 
 
 def resize(df: DataFrame, width: int, height: int, filter: str = "CATMULL_ROM", channels: list[str] = RGBA, bits: int = 8) -> DataFrame:
@@ -68,7 +79,7 @@ def resize(df: DataFrame, width: int, height: int, filter: str = "CATMULL_ROM",
     top = MAX[bits]
     if width <= 0 or height <= 0:
         raise ValueError("INTERNAL: empty size")
-    tx, ty = _small(taps(df, "w", width, filter)), _small(taps(df, "h", height, filter))
+    tx, ty = _taps(df, width, height, filter)
     ax = tx.select(F.col("size").alias("w"), F.col("s").alias("x"), F.col("o").alias("ox"), F.col("weight").alias("wx"))
     ay = ty.select(F.col("size").alias("h"), F.col("s").alias("y"), F.col("o").alias("oy"), F.col("weight").alias("wy"))
     if filter == "NEAREST":

@@ -48,13 +48,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of eight animations on a 16x16 canvas: rectangle, operations and one colour each."""
+    """Frames of an animation a user on a 16x16 canvas: rectangle, operations and one colour each."""
     return spark.sql(
-        """select cast(user_id % 8 as int) as doc_id, cast(rn - 1 as int) as item_index, 16 as cw, 16 as ch, cast(event_id % 8 as int) as lft, cast((event_id div 8) % 8 as int) as top,
+        """select cast(user_id as int) as doc_id, cast(rn - 1 as int) as item_index, 16 as cw, 16 as ch, cast(event_id % 8 as int) as lft, cast((event_id div 8) % 8 as int) as top,
           cast(1 + event_id % 5 as int) as width, cast(1 + (event_id div 5) % 5 as int) as height, cast(event_id % 4 as int) as disposal, cast(event_id % 3 as int) as dispose, cast((event_id div 3) % 2 as int) as blend,
           cast(pmod(cast(floor(value * 100.0D) as bigint), 256) as int) as r, cast(event_id * 53 % 256 as int) as g, cast(user_id * 29 % 256 as int) as b, cast(event_id * 17 % 256 as int) as a,
           cast(event_id % 50 as int) as delay_num, cast(event_id % 4 * 50 as int) as delay_den
-        from (select *, row_number() over (partition by user_id % 8 order by ts, event_id) as rn from {events}) where rn <= 24""",
+        from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from {events})""",
         events=table(spark, sf_dir, "events"),
     )
 

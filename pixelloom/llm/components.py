@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact
+from .common import compact, salted_join
+
+#: Parts in which a hub's links are joined.
+SALTS = 8
 
 
 def nearest(edges: DataFrame, k: int = 0) -> DataFrame:
@@ -17,7 +20,7 @@ def nearest(edges: DataFrame, k: int = 0) -> DataFrame:
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))
     both = edges.select(ends.alias("x")).select("x.a", "x.b")
     one = both.groupBy("a").agg(least("b")).select(F.col("a").alias("b"), F.col("to").alias("near"))
-    return both.join(one, "b").groupBy("a").agg(least("near")).select(F.col("a").alias("node"), "to")
+    return salted_join(both, one, ["b"], SALTS).groupBy("a").agg(least("near")).select(F.col("a").alias("node"), "to")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,15 +28,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round sends every node to the node of the smallest hash within two steps, and contracts the
     links to those. Two steps fold any star in one round, and hashes that differ from round to round
-    fold chains as fast. Nothing is collected; minima are aggregated before the shuffle, so hubs are
-    harmless.
+    fold chains as fast. Nothing is collected; minima are aggregated before the shuffle, and a hub's links are
+    joined in ``SALTS`` parts.
     """
     steps: list[DataFrame] = []
     edges = links.select("a", "b").filter("a <> b")
     while True:
         to = compact(nearest(edges, len(steps)))
         steps.append(to)
-        ends = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        ends = salted_join(edges, to.select(F.col("node").alias("a"), F.col("to").alias("ta")), ["a"], SALTS)
+        ends = salted_join(ends, to.select(F.col("node").alias("b"), F.col("to").alias("tb")), ["b"], SALTS)
         edges = compact(ends.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         if edges.isEmpty():
             break

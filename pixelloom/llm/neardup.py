@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, compact, cut, sized
+from .common import LOWER, UPPER, compact, cut, salted_join, sized
 from .components import components
 from .substring import Hasher, U, chunks
 
@@ -270,9 +270,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
         if not found.isEmpty():
             held = components(links.unionByName(found))
 
-    label = nodes.join(held, nodes["uid"] == held["node"], "left").select("s1", "s2", F.col("n").alias("size"), "id", F.coalesce("component", "uid").alias("component"))
-    least = label.groupBy("component").agg(F.min("id").alias("component_id"))
-    label = label.join(least, "component").select("s1", "s2", "size", "component_id")
+    # Only linked nodes are named by others; a component of very many is joined with its name in parts.
+    linked = held.join(nodes.select(F.col("uid").alias("node"), "id"), "node")
+    named = salted_join(linked, linked.groupBy("component").agg(F.min("id").alias("component_id")), ["component"], 16).select("node", "component_id")
+    label = nodes.join(named, nodes["uid"] == named["node"], "left").select("s1", "s2", F.col("n").alias("size"), F.coalesce("component_id", "id").alias("component_id"))
     joined = own.select("id", "text_hash", "n", "s1", "s2").join(label, (own["s1"] == label["s1"]) & (own["s2"] == label["s2"]) & (own["n"] == label["size"]), "left")
     return joined.select("id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

@@ -10,8 +10,9 @@ A record whose payload equals that of a smaller page id is a ``revisit`` of it,
 payloads under ``min_revisit_bytes`` are always written in full.
 
 Defined cases: null html is an empty payload; a null url leaves WARC-Target-URI out; a null page id
-sorts last and is never referred to; rows that repeat a page id and its payload are all responses;
-an empty table gives no bundle; extra columns are ignored.
+sorts last and is never referred to; rows that repeat a page id and its payload are all responses, of one record id (``fetch``
+finds the first of a bundle, ``load`` all); a very long payload is a frame of its own; an empty table gives no bundle; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -326,9 +326,17 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     virtual = [(i, t) for i in np.flatnonzero(toxic).tolist() if (t := gapped(texts[i], marks)) != texts[i]]
     source = np.concatenate((np.arange(len(texts)), np.array([i for i, _ in virtual], np.int64)))
     every = [*texts, *(t for _, t in virtual)]
-    split = [sentences(t) for t in every]
-    owner = np.repeat(np.arange(len(every)), [len(s) for s in split])
-    x, part = model.features(every), model.features([s for text in split for s in text])
+    x = model.features(every)
+    parts, owners = [], []
+    for a in range(0, len(every), 500):  # of each text its first sentence, and all that have features
+        split = [sentences(t) for t in every[a : a + 500]]
+        own_ = np.repeat(np.arange(a, a + len(split)), [len(s) for s in split])
+        found = model.features([s for text in split for s in text])
+        keep = found.any(1)
+        keep[np.searchsorted(own_, np.arange(a, a + len(split)))] = True
+        parts.append(found[keep])
+        owners.append(own_[keep])
+    part, owner = np.concatenate(parts), np.concatenate(owners)
     y = np.where(toxic, 1.0, -1.0)[source]
     weight = weight[source] * np.where(np.arange(len(every)) < len(texts), 1, 0.5)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CMYK, RGBA
-from ..operators import animation, codec_steps, document, join, palette, pixel, resample
+from ..operators import animation, codec_steps, color, document, join, palette, pixel, resample
 from ..sources import files, probe
 from . import fixtures
 
@@ -145,6 +146,49 @@ def p15(spark, d):
     return pixel.colour_matrix(fixtures.rgba(spark, d), MATRIX, 2.2, 2.2).select("x", "y", *RGBA)
 
 
+# sRGB to Display P3: the matrix between them, to full precision.
+P3 = color.space("P3", "SRGB")
+_TO_P3 = color.np.linalg.solve(color.np.array(P3.matrix), color.np.array(color.SRGB.matrix)).tolist()
+_LIN = [f"case when {c} / 255.0::double <= 0.04045::double then {c} / 255.0::double / 12.92::double else power(({c} / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) end" for c in "rgb"]
+_MIX = [f"least(1.0::double, greatest(0.0::double, {' + '.join(f'{k!r}::double * l{i}' for i, k in enumerate(row))}))" for row in _TO_P3]
+
+
+@query(
+    "p15_srgb_to_p3",
+    f"with {COLOUR}, l as (select *, {', '.join(f'{e} as l{i}' for i, e in enumerate(_LIN))} from src), m as (select *, {', '.join(f'{e} as m{i}' for i, e in enumerate(_MIX))} from l) select x, y, "
+    + ints(*[f"floor(least(1.0::double, greatest(0.0::double, case when m{i} <= 0.0031308::double then m{i} * 12.92::double else 1.055::double * power(m{i}, {1 / 2.4!r}::double) - 0.055::double end)) * 255.0::double + 0.5::double) as {c}" for i, c in enumerate("rgb")])
+    + ", a from m",
+)
+def p15p3(spark, d):
+    return color.transform(fixtures.rgba(spark, d), color.SRGB, P3).select("x", "y", *RGBA)
+
+
+@query(
+    "p15_icc_sampled_trc",
+    f"with {COLOUR}, t as (select list_transform(range(0, 33), lambda i: (i / 32.0::double) * (i / 32.0::double)) as t), v as (select x, y, a, r / 255.0::double * 32 as r, g / 255.0::double * 32 as g, b / 255.0::double * 32 as b, t from src, t), "
+    + "k as (select *, " + ", ".join(f"cast(least(floor({c}), 31) as int) as k{c}" for c in "rgb") + " from v) select x, y, "
+    + ints(*[f"floor((t[k{c} + 1] + ({c} - k{c}) * (t[k{c} + 2] - t[k{c} + 1])) * 255.0::double + 0.5::double) as {c}" for c in "rgb"])
+    + ", a from k",
+)
+def p15trc(spark, d):
+    square = color.Curve("SAMPLED", tuple((i / 32) ** 2 for i in range(33)))
+    return color.transform(fixtures.rgba(spark, d), color.Space((square,) * 3, color.SRGB.matrix), color.Space((color.Curve("LINEAR"),) * 3, color.SRGB.matrix)).select("x", "y", *RGBA)
+
+
+_CURVES = {
+    "SRGB": "case when v <= 0.04045::double then v / 12.92::double else power((v + 0.055::double) / 1.055::double, 2.4::double) end", "BT709": f"case when v < 0.081::double then v / 4.5::double else power((v + 0.099::double) / 1.099::double, {1 / 0.45!r}::double) end",
+    "BT1886": "power(v, 2.4::double)", "PQ": "power(greatest(power(v, 0.012683313515655965::double) - 0.8359375::double, 0.0::double) / (18.8515625::double - 18.6875::double * power(v, 0.012683313515655965::double)), 6.277394636015326::double)",
+    "HLG": "case when v <= 0.5::double then v * v / 3.0::double else (exp((v - 0.55991073::double) / 0.17883277::double) + 0.28466892::double) / 12.0::double end",
+}
+
+
+@query("f_transfer_curves", "with v as (select i, i / 1023.0::double as v from (select unnest(range(1024)) as i)) " + " union all ".join(f"select '{k}' as curve, cast(i as int) as i, round({e}, 9) as light, cast(i as int) as again from v" for k, e in _CURVES.items()))
+def f_transfer(spark, d):
+    v = spark.range(1024).selectExpr("cast(id as int) as i", "id / 1023D as v")
+    each = [v.selectExpr(f"'{k}' as curve", "i", f"{color.Curve(k).decode('v')} as light").selectExpr("curve", "i", "round(light, 9) as light", f"cast(floor({color.Curve(k).encode('light')} * 1023D + 0.5D) as int) as again") for k in _CURVES]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query(
     "p16_raster_equal",
     f"with {FRAMES} select p.doc_id, p.item_index, count(*) filter (p.v is distinct from q.v) = 0 as equal from src p join (select doc_id, item_index, x, y, case when item_index % 3 = 0 and x = 0 then 7 else v end as v from src) q using (doc_id, item_index, x, y) group by all",

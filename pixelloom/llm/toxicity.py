@@ -376,11 +376,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = 1
     return fit([r["text"] for r in found], toxic, weight)
 
 
-def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1; other columns pass through."""
-    columns = [c for c in docs.columns if c != "toxicity"]
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``score_col`` from 0 to 1, which replaces one of that name; other columns pass through."""
+    columns = [c for c in docs.columns if c != score_col]
     if model is None:
-        return docs.select(*columns, F.lit(0.0).alias("toxicity"))
+        return docs.select(*columns, F.lit(0.0).alias(score_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few landmarks and weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +390,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
             for a in range(0, batch.num_rows, 500):
                 x = batch.slice(a, 500)
                 texts = [t or "" for t in x.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(own.score(texts).astype(np.float64))], [*x.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(own.score(texts).astype(np.float64))], [*x.schema.names, score_col])
 
     picked = docs.select(*columns)
-    return picked.mapInArrow(run, T.StructType([*picked.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields, T.StructField(score_col, T.DoubleType())]))

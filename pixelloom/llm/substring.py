@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized
+from .common import salted_join, sized
 
 MAX_BITS = 1 << 30
 BLOCK_BITS = 1 << 19
@@ -205,7 +205,7 @@ def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame
     """
     own = docs.select("key", "text_hash", F.xxhash64("text", F.lit(1)).alias("other_hash"))
     first = own.groupBy("text_hash", "other_hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    copies = sized(own.join(first, ["text_hash", "other_hash"]).filter("key > first").select("key", "text_hash").distinct(), MAX_BROADCAST)
+    copies = sized(salted_join(own, first, ["text_hash", "other_hash"], 16).filter("key > first").select("key", "text_hash").distinct(), MAX_BROADCAST)
     docs = docs.join(copies, ["key", "text_hash"], "left_anti")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = 1 << min(max_bits.bit_length() - 1, max(16, (size // 6).bit_length() + 1))

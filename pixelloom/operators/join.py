@@ -44,6 +44,13 @@ def raster_equal(a: DataFrame, b: DataFrame, channels: list[str] = RGBA) -> Data
     return both.groupBy(*KEYS).agg((F.count(F.when(~F.col("p").eqNullSafe(F.col("q")), 1)) == 0).alias("equal"))
 
 
+def pixels_not_in(a: DataFrame, b: DataFrame, channels: list[str] = RGBA, both: bool = False) -> DataFrame:
+    """Places and samples of ``a`` that ``b`` does not have, and if ``both`` those of ``b`` that ``a`` does not; ``side`` says whose."""
+    rows = lambda d: d.select("doc_id", *PLACE, *channels)
+    left = rows(a).exceptAll(rows(b)).withColumn("side", F.lit("a"))
+    return left.unionByName(rows(b).exceptAll(rows(a)).withColumn("side", F.lit("b"))) if both else left
+
+
 def bounded(palette: DataFrame) -> DataFrame:
     """``palette``; more than 256 entries fail the job with UNSUPPORTED instead of being left out."""
     rows = palette.orderBy("idx").limit(257).agg(F.collect_list(F.struct("idx", *RGBA)).alias("e"))

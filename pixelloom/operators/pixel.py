@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import CMYK, MAX
+from ..model import CMYK, MAX, ImageError
 
 
 def _with(df: DataFrame, **columns: str) -> DataFrame:
@@ -13,9 +13,11 @@ def _with(df: DataFrame, **columns: str) -> DataFrame:
     return df.selectExpr(*[f"cast({columns[c]} as int) as {c}" if c in columns else c for c in df.columns], *[f"cast({e} as int) as {c}" for c, e in columns.items() if c not in df.columns])
 
 
-def crop(df: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
-    """The rectangle, moved to the origin. Rasters that do not hold all of it give no rows."""
+def crop(df: DataFrame, x: int, y: int, width: int, height: int, strict: bool = False) -> DataFrame:
+    """The rectangle, moved to the origin. Rasters that do not hold all of it give no rows or, if ``strict``, fail with INTERNAL."""
     inside = f"{x} >= 0 and {y} >= 0 and {width} > 0 and {height} > 0 and {x} + {width} <= w and {y} + {height} <= h"
+    if strict:
+        inside = f"if({inside}, true, raise_error('INTERNAL: the rectangle is not inside'))"
     kept = df.filter(inside).filter(f"x between {x} and {x + width - 1} and y between {y} and {y + height - 1}")
     return _with(kept, x=f"x - {x}", y=f"y - {y}", w=str(width), h=str(height))
 
@@ -89,13 +91,20 @@ def convert_depth(df: DataFrame, channels: list[str], src: int, dst: int) -> Dat
     return _with(df, **{c: sample_depth(c, src, dst) for c in channels})
 
 
-def premultiply(df: DataFrame) -> DataFrame:
-    """8-bit colour times alpha, rounded down."""
+def premultiply(df: DataFrame, alpha_form: str = "STRAIGHT") -> DataFrame:
+    """8-bit colour times alpha, rounded down; colour that is premultiplied already is refused."""
+    _of_form(alpha_form, "STRAIGHT")
     return _with(df, **{c: f"({c} * a) div 255" for c in "rgb"})
 
 
-def unpremultiply(df: DataFrame) -> DataFrame:
-    """The inverse, modulo 256 for values out of gamut; clear pixels stay as they are."""
+def _of_form(alpha_form: str, wanted: str) -> None:
+    if alpha_form != wanted:
+        raise ImageError("UNSUPPORTED", f"alpha is {alpha_form}, not {wanted}")
+
+
+def unpremultiply(df: DataFrame, alpha_form: str = "PREMULTIPLIED") -> DataFrame:
+    """The inverse, modulo 256 for values out of gamut; clear pixels stay as they are, straight colour is refused."""
+    _of_form(alpha_form, "PREMULTIPLIED")
     return _with(df, **{c: f"case when a = 0 then {c} else pmod(({c} * 255) div greatest(a, 1), 256) end" for c in "rgb"})
 
 

@@ -768,8 +768,18 @@ def s5j(spark, d):
 @query("u3_pixel_set_difference", f"with {FRAMES} select doc_id, count(*) as n from (select doc_id, x, y, v from src where item_index = 0 except select doc_id, x, y, v from src where item_index = 1) group by doc_id")
 def u3(spark, d):
     f = fixtures.frames(spark, d)
-    first, second = (f.filter(F.col("item_index") == i).select("doc_id", "x", "y", "v") for i in (0, 1))
-    return first.exceptAll(second).groupBy("doc_id").agg(F.count("*").alias("n"))
+    first, second = (f.filter(F.col("item_index") == i) for i in (0, 1))
+    return join.pixels_not_in(first, second, ["v"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "u3_pixel_difference_both",
+    f"with {FRAMES}, p as (select doc_id, x, y, v from src where item_index = 0), q as (select doc_id, x, y, v from src where item_index = 1) select doc_id, side, count(*) as n from (select *, 'a' as side from (select * from p except select * from q) union all select *, 'b' from (select * from q except select * from p)) group by all",
+)
+def u3b(spark, d):
+    f = fixtures.frames(spark, d)
+    first, second = (f.filter(F.col("item_index") == i) for i in (0, 1))
+    return join.pixels_not_in(first, second, ["v"], both=True).groupBy("doc_id", "side").agg(F.count("*").alias("n"))
 
 
 @query("u4_fits_palette", f"with {FRAMES}, e as (select distinct v from src where item_index = 0 and doc_id < 5) select doc_id, item_index, count(*) filter (e.v is null) = 0 as fits from src left join e using (v) group by all")

@@ -141,6 +141,67 @@ def walk(content: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     return name, parts
 
 
+def head(content: bytes) -> tuple:
+    """``format, error_code, w, h, bits, frames`` from headers alone; null where the format does not say."""
+    form, parts = walk(content)
+    if form is None:
+        return None, "FORMAT", None, None, None, None
+    at = {}
+    for name, place, n in parts:
+        at.setdefault(name, (place, n))
+    names = [p[0] for p in parts]
+    w = h = bits = None
+    frames = 1
+    try:
+        if form == "png":
+            w, h, bits = struct.unpack_from(">IIB", content, at["IHDR"][0])
+            frames = struct.unpack_from(">I", content, at["acTL"][0])[0] if "acTL" in at else 1
+        elif form == "jpeg":
+            sof = next(n for n in names if n[:3] == "FFC" and n not in ("FFC4", "FFC8", "FFCC"))
+            bits, h, w = struct.unpack_from(">BHH", content, at[sof][0])
+        elif form == "gif":
+            w, h = struct.unpack_from("<HH", content, 6)
+            bits, frames = (content[10] & 7) + 1, names.count("IMAGE")
+        elif form == "webp":
+            bits, frames = 8, max(1, names.count("ANMF"))
+            if "VP8X" in at:
+                w, h = (int.from_bytes(content[at["VP8X"][0] + k : at["VP8X"][0] + k + 3], "little") + 1 for k in (4, 7))
+            elif "VP8L" in at:
+                packed = struct.unpack_from("<I", content, at["VP8L"][0] + 1)[0]
+                w, h = (packed & 0x3FFF) + 1, (packed >> 14 & 0x3FFF) + 1
+            else:
+                w, h = (v & 0x3FFF for v in struct.unpack_from("<HH", content, at["VP8 "][0] + 6))
+        elif form == "tiff":
+            order = "little" if content[:2] == b"II" else "big"
+            value = lambda tag: int.from_bytes(content[at[f"TAG_{tag}"][0] : sum(at[f"TAG_{tag}"])][:4], order)
+            w, h = value(256), value(257)
+            bits = int.from_bytes(content[at["TAG_258"][0] : at["TAG_258"][0] + 2], order) if "TAG_258" in at else 1
+            frames = names.count("TAG_256")
+        elif form == "bmp":
+            w, h = struct.unpack_from("<ii", content, 18)
+            h, bits = abs(h), struct.unpack_from("<H", content, 28)[0]
+        elif form == "ico":
+            frames = struct.unpack_from("<H", content, 4)[0]
+            w, h = (v or 256 for v in content[6:8])
+            bits = struct.unpack_from("<H", content, 12)[0]
+    except (struct.error, KeyError, IndexError, StopIteration):
+        return form, "CORRUPT", None, None, None, None
+    return form, "CORRUPT" if "CORRUPT" in at else "OK", w, h, bits, frames
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """One row per file: format, size, bits a sample and frames, without decoding a pixel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *head(content.as_py() or b"")) for path, content in zip(batch.column(0).to_pylist(), batch.column(1))]
+            cols = list(zip(*rows)) or [[]] * 7
+            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "format", "error_code", "w", "h", "bits", "frames"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, format string, error_code string, w bigint, h bigint, bits int, frames int")
+
+
 def segments(files: DataFrame) -> DataFrame:
     """One row per part of each file, in order."""
 
@@ -301,4 +362,4 @@ def transcode(files: DataFrame, form: str, policy: str = "PRESERVE_ALL", **optio
     return attached(io.encode(io.items(files), form, **options), kept(found, policy).select("path", "seq", "kind", "payload"))
 
 
-__all__ = ["CARRIED", "attach", "attached", "blocks_of", "kept", "metadata", "segments", "transcode", "walk"]
+__all__ = ["CARRIED", "attach", "attached", "blocks_of", "head", "headers", "kept", "metadata", "segments", "transcode", "walk"]

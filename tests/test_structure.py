@@ -95,3 +95,45 @@ def test_canvases_of_a_sequence(spark):
     assert got == {(0, 0): (10, 255), (0, 1): (20, 255), (1, 0): (30, 255), (1, 1): (20, 255), (2, 0): (10, 255), (2, 1): (40, 128), (3, 0): (10, 255), (3, 1): (0, 0)}
     last = {r.x: (r.r, r.a) for r in animation.canvas_blending(f, px).collect()}
     assert last == {0: (10, 255), 1: (0, 0)}
+
+
+@pytest.mark.parametrize("form", ["png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"])
+def test_headers_without_decoding(spark, form):
+    content = picture(form)
+    df = spark.createDataFrame([("a", content), ("b", content[: len(content) // 2]), ("c", None), ("d", b"??"), ("e", content[:5])], "path string, content binary")
+    got = {r.path: r for r in structure.headers(df).collect()}
+    assert (got["a"].format, got["a"].error_code, got["a"].w, got["a"].h, got["a"].frames) == (form, "OK", 20, 12, 1)
+    assert got["c"].error_code == got["d"].error_code == "FORMAT" and got["e"].error_code in ("FORMAT", "CORRUPT")
+
+
+def test_refusals_of_rectangles_and_alpha(spark):
+    from pixelloom.model import ImageError
+    from pixelloom.operators import pixel
+
+    px = spark.createDataFrame([(0, 0, 2, 1, x, 0, 10, 20, 30, 128) for x in (0, 1)], "doc_id int, item_index int, w int, h int, x int, y int, r int, g int, b int, a int")
+    assert pixel.crop(px, 1, 0, 1, 1, strict=True).count() == 1 and pixel.crop(px, 1, 0, 2, 1).count() == 0
+    with pytest.raises(Exception, match="INTERNAL"):
+        pixel.crop(px, 1, 0, 2, 1, strict=True).collect()
+    with pytest.raises(ImageError, match="UNSUPPORTED"):
+        pixel.premultiply(px, "PREMULTIPLIED")
+    with pytest.raises(ImageError, match="UNSUPPORTED"):
+        pixel.unpremultiply(px, "STRAIGHT")
+    other = px.withColumn("r", F.when(F.col("x") == 1, 11).otherwise(F.col("r")))
+    assert {(r.side, r.x, r.r) for r in join.pixels_not_in(px, other, both=True).collect()} == {("a", 1, 10), ("b", 1, 11)}
+
+
+def test_codecs_can_be_added():
+    from types import SimpleNamespace
+
+    from pixelloom.model import ImageError
+
+    raw = SimpleNamespace(matches=lambda c: c[:4] == b"RAW0", load=lambda c, limits: Document([Item(Raster(np.full((1, 1, 4), c[4], np.uint8), "RGBA"))], "raw"))
+    codecs.register("raw", raw)
+    try:
+        assert codecs.name_of(b"RAW0\x07") == "raw" and codecs.load(b"RAW0\x07").items[0].raster.samples[0, 0, 0] == 7
+        with pytest.raises(ImageError, match="INVALID"):
+            codecs.register("raw", raw)
+        with pytest.raises(ImageError, match="UNSUPPORTED"):
+            codecs.save(Document([], "raw"), "raw")
+    finally:
+        del codecs.REGISTRY["raw"]

@@ -35,6 +35,36 @@ def with_role(items: DataFrame, role: str, subject: str) -> DataFrame:
     return items.withColumn("role", F.lit(role)).withColumn("role_subject", F.expr(f"cast({own} as int)"))
 
 
+def copied(documents: DataFrame) -> DataFrame:
+    """Documents as new ones: everything but how they were loaded."""
+    return documents.drop("loaded_by", "error_code", "error")
+
+
+def with_aspect(documents: DataFrame, num: str, den: str) -> DataFrame:
+    """Set the pixel aspect from two expressions; where a term is zero, negative or null it stays as it was."""
+    stated = F.expr(f"coalesce({num} > 0 and {den} > 0, false)")
+    old = {c: F.col(c) if c in documents.columns else F.lit(None).cast("int") for c in ("aspect_num", "aspect_den")}
+    new = {"aspect_num": F.expr(f"cast({num} as int)"), "aspect_den": F.expr(f"cast({den} as int)")}
+    return documents.withColumns({c: F.when(stated, new[c]).otherwise(old[c]) for c in old})
+
+
+def gif_aspect(byte: str) -> str:
+    """SQL of the pixel aspect that a GIF's byte states, (byte + 15) / 64; 0 states none."""
+    return f"case when {byte} > 0 then ({byte} + 15) / 64D end"
+
+
+def gif_aspect_byte(aspect: str) -> str:
+    """SQL of the byte that states an aspect nearest, 0 where none does."""
+    return f"case when {aspect} is null or round({aspect} * 64D) - 15 not between 1 and 255 then 0 else cast(round({aspect} * 64D) - 15 as int) end"
+
+
+def with_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents with the number of their items; one without any has an ``error_code`` of INVALID, since a document has at least one."""
+    counted = items.groupBy("doc_id").agg(F.count("*").cast("int").alias("item_count"))
+    joined = documents.join(counted, "doc_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+    return joined.withColumn("error_code", F.when(F.col("item_count") > 0, "OK").otherwise("INVALID"))
+
+
 def displayed_size(documents: DataFrame) -> DataFrame:
     """Width and height after the orientation is undone, and the pixel aspect where both terms are stated."""
     turned = F.col("orientation").between(5, 8)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import CMYK, RGBA
 from ..operators import animation, codec_steps, color, document, join, palette, pixel, resample
 from ..sources import files, probe
+from ..streaming import frames as streams
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -797,3 +798,45 @@ def d1(spark, d):
 @query("d2_policy_strip_gps", f"with {BLOCKS} select doc_id, count(*) as blocks from blocks where kind <> 'GPS' group by doc_id")
 def d2(spark, d):
     return document.apply_policy(fixtures.blocks(spark, d), "STRIP_GPS").groupBy("doc_id").agg(F.count("*").alias("blocks"))
+
+
+@query("d3_set_role", f"with {ITEMS} select doc_id, item_index, 'LEVEL' as role, cast(item_index // 2 as int) as role_subject, 'FRAME' as other, item_index as other_subject from items")
+def d3(spark, d):
+    level = document.with_role(fixtures.items(spark, d), "LEVEL", "item_index div 2").select("doc_id", "item_index", "role", "role_subject")
+    return document.with_role(level.withColumnsRenamed({"role": "kept", "role_subject": "kept_subject"}), "FRAME", "7").select("doc_id", "item_index", F.col("kept").alias("role"), F.col("kept_subject").alias("role_subject"), F.col("role").alias("other"), F.col("role_subject").alias("other_subject"))
+
+
+@query("d4_set_aspect", f"with {DOCS} select doc_id, cast(case when doc_id % 3 > 0 and w % 4 > 0 then doc_id % 3 else 1 end as int) as aspect_num, cast(case when doc_id % 3 > 0 and w % 4 > 0 then w % 4 else 1 end as int) as aspect_den from docs")
+def d4(spark, d):
+    docs = document.with_aspect(fixtures.documents(spark, d), "1", "1")
+    return document.with_aspect(docs, "doc_id % 3", "w % 4").select("doc_id", "aspect_num", "aspect_den")
+
+
+@query("d5_item_count", f"with {DOCS}, {ITEMS} select docs.doc_id, cast(count(item_index) as int) as item_count, case when count(item_index) > 0 then 'OK' else 'INVALID' end as error_code from docs left join items on items.doc_id = docs.doc_id group by docs.doc_id")
+def d5(spark, d):
+    return document.with_items(document.copied(fixtures.documents(spark, d)), fixtures.items(spark, d)).select("doc_id", "item_count", "error_code")
+
+
+@query("f_gif_aspect", "select cast(b as int) as byte, case when b > 0 then round((b + 15) / 64.0::double, 9) end as aspect, cast(b as int) as again from (select unnest(range(256)) as b)")
+def f_aspect(spark, d):
+    b = spark.range(256).selectExpr("cast(id as int) as byte").selectExpr("byte", f"{document.gif_aspect('byte')} as aspect")
+    return b.selectExpr("byte", "round(aspect, 9) as aspect", f"{document.gif_aspect_byte('aspect')} as again")
+
+
+@query("st_heat_map", "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, cast(user_id % 48 as int) as y, cast(least(count(*), 255) as int) as v from events group by all")
+def st_heat_map(spark, d):
+    return streams.heat_map(fixtures.table(spark, d, "events")).select(F.unix_timestamp("start").alias("start"), "y", "v")
+
+
+@query(
+    "st_visits",
+    "with e as (select user_id, epoch_us(ts) as t from events), b as (select *, case when t - lag(t) over (partition by user_id order by t) < 3600000000 then 0 else 1 end as fresh from e), g as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as k from b) select user_id, cast(min(t) as bigint) as start, cast(max(t) + 3600000000 as bigint) as stop, count(*) as n from g group by user_id, k",
+)
+def st_visits(spark, d):
+    return streams.visits(fixtures.table(spark, d, "events")).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), F.unix_micros(F.col("stop").cast("timestamp")).alias("stop"), "n")
+
+
+@query("st_latest_canvas", f"with {PATCHES} select doc_id, x, y, max(item_index) as item_index, max_by(r, item_index) as v from px group by all")
+def st_canvas(spark, d):
+    px = fixtures.patches(spark, d).selectExpr("*", "explode(sequence(lft, lft + width - 1)) as x").selectExpr("*", "explode(sequence(top, top + height - 1)) as y")
+    return streams.latest_canvas(px.select("doc_id", "item_index", "x", "y", F.col("r").alias("v")))

@@ -137,3 +137,19 @@ def test_codecs_can_be_added():
             codecs.save(Document([], "raw"), "raw")
     finally:
         del codecs.REGISTRY["raw"]
+
+
+def test_documents_that_stay_incomplete(spark, tmp_path):
+    from pixelloom.streaming import frames
+
+    schema = "ts timestamp, doc_id long, item_index int, item_count int"
+    rows = [("2024-01-01 00:00:00", 1, 0, 2), ("2024-01-01 00:01:00", 1, 1, 2), ("2024-01-01 00:00:30", 2, 0, 3), ("2024-01-01 00:02:00", 2, 0, 3)]
+    make = lambda x: spark.createDataFrame(x, "ts string, doc_id long, item_index int, item_count int").selectExpr("cast(ts as timestamp) as ts", "doc_id", "item_index", "item_count")
+    assert {(r.doc_id, r.frames, r.complete) for r in frames.arrived(make(rows)).collect()} == {(1, 2, True), (2, 1, False)}
+    make(rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    make([("2024-01-01 05:00:00", 9, 0, 1)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = frames.arrived(stream).writeStream.format("memory").outputMode("append").queryName("arrived").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    # The document of the last hour may still get items; the others are over, one of them incomplete.
+    assert {(r.doc_id, r.frames, r.complete) for r in spark.table("arrived").collect()} == {(1, 2, True), (2, 1, False)}

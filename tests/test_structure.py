@@ -153,3 +153,19 @@ def test_documents_that_stay_incomplete(spark, tmp_path):
     q.awaitTermination(120)
     # The document of the last hour may still get items; the others are over, one of them incomplete.
     assert {(r.doc_id, r.frames, r.complete) for r in spark.table("arrived").collect()} == {(1, 2, True), (2, 1, False)}
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    from pixelloom.sources import datasource, files
+
+    datasource.register(spark)
+    df = spark.createDataFrame([("in/a", picture("png")), ("../b", picture("png")), ("c", b"??")], "path string, content binary")
+    encoded = files.encode(files.items(df), "bmp").unionByName(spark.createDataFrame([("d", "bmp", "UNSUPPORTED", None)], "path string, format string, error_code string, content binary"))
+    out = tmp_path / "out"
+    for _ in range(2):  # a second time puts the same bytes there
+        encoded.write.format("pixelloom").mode("append").option("path", str(out)).save()
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["_SUCCESS", "b.bmp", "in/a.bmp"]
+    back = spark.read.format("pixelloom").option("path", str(out)).load()
+    assert {(r.format, r.error_code, r.w, r.h) for r in back.collect()} == {("bmp", "OK", 20, 12)} and back.count() == 2
+    with pytest.raises(Exception, match="files already"):
+        encoded.write.format("pixelloom").mode("overwrite").option("path", str(out)).save()

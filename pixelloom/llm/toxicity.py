@@ -215,17 +215,19 @@ def chance(toxic: int, clean: int, rate: float) -> float:
 
 def pick(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
     """Landmark words, each typical of toxic texts that have none of those before."""
-    known: dict[str, str] = {}
-    bags = [{known.setdefault(w, w) for t in set(tokens(x)) if len(w := ODD.sub("", t)) >= P and len(w) <= LONGEST} for x in texts]
-    # Near copies count once: they share the least hash of their word pairs.
-    copy = [min((zlib.crc32(f"{a} {b}".encode()) for w in [x.split()] for a, b in zip(w, w[1:])), default=-1 - i) for i, x in enumerate(texts)]
-    clean = Counter(w for b, y in zip(bags, toxic) if not y for w in b)
-    share = 1 / max(1, (~toxic).sum())
+    def bag(text: str) -> set[str]:
+        return {w for t in set(tokens(text)) if P <= len(w := ODD.sub("", t)) <= LONGEST}
+
     of: dict[str, list[int]] = {}
-    for i, (b, y) in enumerate(zip(bags, toxic)):
-        if y:
-            for w in b:
-                of.setdefault(w, []).append(i)
+    copy: dict[int, int] = {}
+    for i in np.flatnonzero(toxic).tolist():
+        for w in bag(texts[i]):
+            of.setdefault(w, []).append(i)
+        # Near copies count once: they share the least hash of their word pairs.
+        own_words = texts[i].split()
+        copy[i] = min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(own_words, own_words[1:])), default=-1 - i)
+    clean = Counter(w for i in np.flatnonzero(~toxic).tolist() for w in bag(texts[i]) if w in of)
+    share = 1 / max(1, (~toxic).sum())
     n = max(1, toxic.sum())
     of = {w: ids for w, ids in of.items() if len(ids) >= 3 and len(ids) / n > 4 * clean[w] * share}
     sure = {w: ids for w, ids in of.items() if chance(len({copy[i] for i in ids}), clean[w], n / len(texts)) < CHANCE}
@@ -326,7 +328,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     virtual = [(i, t) for i in np.flatnonzero(toxic).tolist() if (t := gapped(texts[i], marks)) != texts[i]]
     source = np.concatenate((np.arange(len(texts)), np.array([i for i, _ in virtual], np.int64)))
     every = [*texts, *(t for _, t in virtual)]
-    x = model.features(every)
+    x = np.concatenate([model.features(every[a : a + 500]) for a in range(0, len(every), 500)])
     parts, owners = [], []
     for a in range(0, len(every), 500):  # of each text its first sentence, and all that have features
         split = [sentences(t) for t in every[a : a + 500]]

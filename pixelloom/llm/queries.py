@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, warc
+from . import decontaminate, divergence, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, vectorcode, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,84 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), word as (
+  select id, lang, source, unnest(w) as term from d
+), dictionary as (
+  select lang, term from word group by lang, term having count(distinct id) >= 10
+), occurs as (
+  select lang, source, term, count(*) as n from word join dictionary using (lang, term) group by all
+), g as (
+  select distinct lang, source from d
+), v as (
+  select lang, count(*) as v from dictionary group by lang
+), own as (
+  select lang, source, term, coalesce(n, 0) as n, v, sum(coalesce(n, 0)) over (partition by lang, source) as total
+  from g join dictionary using (lang) join v using (lang) left join occurs using (lang, source, term)
+), p as (
+  select lang, source, term, n, cast(1 + (1000000000::hugeint * (n + 2)) // (total + 2 * v) as bigint) as p from own
+), whole as (
+  select lang, term, sum(n) as n, any_value(v) as v from own group by lang, term
+), q as (
+  select lang, term, cast(1 + (1000000000::hugeint * (n + 2)) // ((sum(n) over (partition by lang)) + 2 * v) as bigint) as q from whole
+), sums as (
+  select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+), pair as (
+  select x.lang, x.source, 'pair' as part, y.source as item, cast(coalesce(value, 0) as bigint) as value
+  from g x join g y on x.lang = y.lang and x.source <> y.source left join sums on sums.lang = x.lang and sums.source = x.source and sums.item = y.source
+), term as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p join q using (lang, term) where n > 0 and p > q
+)
+select lang, source, part, item, value, cast(rank as int) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pair union all select * from term))
+where part = 'pair' or rank <= 10
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcode.coded(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_sql() -> str:
+    """Rounds written out one after the other; a part's four components are columns."""
+    tables = [r"""
+with kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0
+), part as materialized (
+  select vec_id, label, p, v[4 * p + 1] as x0, v[4 * p + 2] as x1, v[4 * p + 3] as x2, v[4 * p + 4] as x3 from (select *, unnest(range(16)) as p from kept)
+), book0 as materialized (
+  select p, e, x0, x1, x2, x3 from part join (select vec_id, row_number() over (order by vec_id) - 1 as e from kept) using (vec_id) where e < 64
+)"""]
+    floored = lambda k: f"(sum(t.x{k}) - ((sum(t.x{k}) % count(*)) + count(*)) % count(*)) // count(*)"
+    for r in range(3):
+        square = " + ".join(f"(t.x{k} - b.x{k}) * (t.x{k} - b.x{k})" for k in range(4))
+        tables.append(f"near{r} as materialized (select t.vec_id, t.p, min(row({square}, b.e)) as best from part t join book{r} b using (p) group by all)")
+        tables.append(f"code{r} as materialized (select vec_id, p, best[1] as d, best[2] as e from near{r})")
+        if r < 2:
+            moved = ", ".join(f"{floored(k)} as x{k}" for k in range(4))
+            tables.append(f"mean{r} as (select c.p, c.e, {moved} from code{r} c join part t using (vec_id, p) group by c.p, c.e)")
+            tables.append(f"book{r + 1} as materialized (select b.p, b.e, " + ", ".join(f"cast(coalesce(m.x{k}, b.x{k}) as bigint) as x{k}" for k in range(4)) + f" from book{r} b left join mean{r} m using (p, e))")
+    return ",\n".join(tables) + """,
+digest as (
+  select sha256(string_agg(x0 || ',' || x1 || ',' || x2 || ',' || x3, ',' order by p, e)) as codebooks_sha256 from book2
+), own as (
+  select vec_id, string_agg(printf('%02x', cast(e as int)), '' order by p) as code, cast(sum(d) as bigint) as error from code2 group by vec_id
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from own join kept using (vec_id), digest
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -198,6 +276,8 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -208,4 +288,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": urlfilter.sql(),
         "op8_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
+        "op12_source_divergence": OP12_SQL,
+        "op13_vector_codes": op13_sql(),
     }

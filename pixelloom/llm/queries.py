@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, fingerprint, neardup, packing, pii, secretscan, substring, toxicity, urlfilter, vectorcode, warc
+from . import decontaminate, divergence, fingerprint, neardup, packing, pii, secretscan, substring, suffixmerge, toxicity, urlfilter, vectorcode, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixmerge.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Hexadecimal digits stand for the bytes; strings are cut from blocks, since cutting them from whole texts takes their length each time.
+OP11_SQL = """
+with d as materialized (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents
+), block as (
+  select doc_id, b, substr(h, 2 * b + 1, 2198) as part, least(n - b - 99, 1000) as k from (select *, unnest(range(0, greatest(n - 99, 0), 1000)) as b from d)
+), win as (
+  select doc_id, b + i as s, md5(substr(part, 2 * i + 1, 200)) as g from (select *, unnest(range(0, k)) as i from block)
+), rep as (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by g order by doc_id, s) as nth from win) where nth > 1
+), edge as (
+  select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 100 then 0 else 1 end as new from rep
+), island as (
+  select doc_id, min(s) as a, max(s) + 100 as e from (select doc_id, s, sum(new) over (partition by doc_id order by s) as k from edge) group by doc_id, k
+), piece as (
+  select doc_id, a, e, substr(h, 2 * prev + 1, 2 * (a - prev)) as part
+  from (select *, coalesce(lag(e) over (partition by doc_id order by a), 0) as prev from island) join d using (doc_id)
+), front as (
+  select doc_id, string_agg(part, '' order by a) as front, max(e) as e, sum(e - a) as removed, count(*) as spans from piece group by doc_id
+)
+select d.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(e, 0) + 1))) as kept_sha256
+from d left join front using (doc_id)
+"""
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -276,6 +307,7 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_source_divergence": op12_source_divergence,
         "op13_vector_codes": op13_vector_codes,
     }
@@ -288,6 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": urlfilter.sql(),
         "op8_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
+        "op11_suffix_dedup": OP11_SQL,
         "op12_source_divergence": OP12_SQL,
         "op13_vector_codes": op13_sql(),
     }

@@ -25,7 +25,7 @@ ignored. Windows count as equal if 96 bits of hash are, made from two independen
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,18 +156,28 @@ def count_in(one: np.ndarray, many: np.ndarray, cell: np.ndarray) -> None:
     one[byte[edge]] |= np.bitwise_or.reduceat(bit, edge)
 
 
-def sketch(docs: DataFrame, bits: int, n: int) -> list[np.ndarray]:
-    """The merged "more than one" planes of all rows. What reaches the driver is at most ``ROWS * bits`` bits."""
+def word_windows(n: int) -> Callable:
+    """Two hashes of each window of ``n`` words of a chunk of texts, as ``sketch`` counts them."""
+    hasher = Hasher()
+
+    def hashed(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, _, text = hasher.words(data, begin, 2)
+        return hasher.windows(h, text, n)[:2]
+
+    return hashed
+
+
+def sketch(docs: DataFrame, bits: int, windows: Callable[[], Callable]) -> list[np.ndarray]:
+    """The merged "more than one" planes of what ``windows()`` finds in all rows. What reaches the driver is at most ``ROWS * bits`` bits."""
     block = min(BLOCK_BITS, bits) // 8
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hashed = windows()
         planes = [(np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)) for _ in range(ROWS)]
         some = False
         for batch in batches:
             for _, _, data, begin in chunks(batch.column(0)):
-                h, _, text = hasher.words(data, begin, 2)
-                h1, h2, _ = hasher.windows(h, text, n)
+                h1, h2 = hashed(data, begin)
                 if len(h1):
                     some = True
                     for plane, cell in zip(planes, cells(h1, h2, bits)):
@@ -197,19 +207,37 @@ def sketch(docs: DataFrame, bits: int, n: int) -> list[np.ndarray]:
     return planes
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """``key, text_hash`` of rows whose text is that of a row of smaller key, by 128 bits of hash."""
+    own = docs.select("key", "text_hash", F.xxhash64("text", F.lit(1)).alias("other_hash"))
+    first = own.groupBy("text_hash", "other_hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+    return sized(salted_join(own, first, ["text_hash", "other_hash"], 16).filter("key > first").select("key", "text_hash").distinct(), MAX_BROADCAST)
+
+
+def merged_runs(runs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``key, text_hash, spans`` of ``runs (key, text_hash, first, words)``, overlapping and touching ones merged; copies have one of ``WHOLE``."""
+    spans = runs.groupBy("key", "text_hash").agg(F.expr("array_sort(collect_set(struct(first, words)))").alias("at"))
+    fold = F.expr(
+        "aggregate(at, named_struct('s', -1, 'e', -1, 'done', cast(array() as array<struct<first:int,words:int>>)),"
+        " (acc, x) -> if(x.first <= acc.e, named_struct('s', acc.s, 'e', greatest(acc.e, x.first + x.words), 'done', acc.done),"
+        " named_struct('s', x.first, 'e', x.first + x.words, 'done', if(acc.s < 0, acc.done, concat(acc.done, array(named_struct('first', acc.s, 'words', acc.e - acc.s)))))),"
+        " acc -> if(acc.s < 0, acc.done, concat(acc.done, array(named_struct('first', acc.s, 'words', acc.e - acc.s)))))"
+    )
+    whole = F.expr(f"array(named_struct('first', 0, 'words', {WHOLE}))")
+    return spans.select("key", "text_hash", fold.alias("spans")).unionByName(copies.select("key", "text_hash", whole.alias("spans")))
+
+
 def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame:
     """``(key, text_hash, spans)``: the merged word runs ``(first, words)`` of repeated windows.
 
     ``docs`` has the columns ``key`` (long), ``text_hash`` and ``text``. A copy of another row's whole
     text has the run ``(0, WHOLE)``, which only counts if the text has a window.
     """
-    own = docs.select("key", "text_hash", F.xxhash64("text", F.lit(1)).alias("other_hash"))
-    first = own.groupBy("text_hash", "other_hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    copies = sized(salted_join(own, first, ["text_hash", "other_hash"], 16).filter("key > first").select("key", "text_hash").distinct(), MAX_BROADCAST)
+    copies = whole_copies(docs)
     docs = docs.join(copies, ["key", "text_hash"], "left_anti")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = 1 << min(max_bits.bit_length() - 1, max(16, (size // 6).bit_length() + 1))
-    planes = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits, n))
+    planes = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits, lambda: word_windows(n)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -265,15 +293,7 @@ def repeats(docs: DataFrame, n: int = 20, max_bits: int = MAX_BITS) -> DataFrame
     found = docs.select("key", "text_hash", "text").mapInArrow(candidates, "h1 long, h2 int, key long, text_hash long, first int, run int")
     # run = 0: the first of its chunk, ranked against other chunks; run > 0: known to repeat.
     ranked = found.selectExpr("*", "rank() over (partition by h1, h2, run > 0 order by key, text_hash, first) as nth")
-    spans = ranked.filter("run > 0 or nth > 1").groupBy("key", "text_hash").agg(F.expr(f"array_sort(collect_set(struct(first, if(run > 0, run, {n}) as words)))").alias("at"))
-    fold = F.expr(
-        "aggregate(at, named_struct('s', -1, 'e', -1, 'done', cast(array() as array<struct<first:int,words:int>>)),"
-        " (acc, x) -> if(x.first <= acc.e, named_struct('s', acc.s, 'e', greatest(acc.e, x.first + x.words), 'done', acc.done),"
-        " named_struct('s', x.first, 'e', x.first + x.words, 'done', if(acc.s < 0, acc.done, concat(acc.done, array(named_struct('first', acc.s, 'words', acc.e - acc.s)))))),"
-        " acc -> if(acc.s < 0, acc.done, concat(acc.done, array(named_struct('first', acc.s, 'words', acc.e - acc.s)))))"
-    )
-    whole = F.expr(f"array(named_struct('first', 0, 'words', {WHOLE}))")
-    return spans.select("key", "text_hash", fold.alias("spans")).unionByName(copies.select("key", "text_hash", whole.alias("spans")))
+    return merged_runs(ranked.filter("run > 0 or nth > 1").selectExpr("key", "text_hash", "first", f"if(run > 0, run, {n}) as words"), copies)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

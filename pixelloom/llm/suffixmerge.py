@@ -5,12 +5,12 @@ A byte goes if a string of ``n`` bytes that covers it also starts earlier, in a
 1. The anchor of a string of ``n`` bytes is the smallest hash of its ``m``-byte substrings. Equal strings have equal anchors, and
    neighbouring strings mostly share one, so a document falls into runs of strings of one anchor. Anchors are counted in
    the merged count-min sketch of ``substring``; runs of anchors that occur once are left out, which loses no repeat.
-2. A shard is a chunk of documents. It sorts the suffixes of its runs once, by doubling. Strings that it has twice
-   show as neighbours there and are settled at once; of runs that have a first occurrence left it hands on the Burrows-Wheeler
+2. A shard is what a few documents have. It sorts the suffixes of its runs once, by doubling. Strings that it has twice
+   show as neighbours there and are settled at once, as are whole runs that its task has met before; of runs that have a first occurrence left it hands on the Burrows-Wheeler
    transform, one for each bucket of anchors. So a passage that very many documents share leaves a shard about once.
 3. A bucket merges the transforms of its shards. It starts from all suffixes in one block and refines the interleaving ``STEP``
    characters at a time: a row goes to the place of the suffix that is so much longer (LF mapping), in the order of
-   the characters put in front and then of the rows before, so each shard's own order is kept and no suffix is sorted again.
+   the characters put in front (numbered once for all rows) and then of the rows before, so each shard's own order is kept and no suffix is sorted again.
    Rows stay in a block while their suffixes have equal prefixes; the round in which neighbours part is their
    common prefix. Blocks with rows of one shard only never find a partner and are dropped. What is left at ``n`` are the repeated
    intervals, byte for byte; all but the first of each are repeated.
@@ -40,10 +40,12 @@ from .common import cut, sized
 from .substring import MAX_BITS, NULL_ID, Hasher, cells, chunks, keyed, merged_runs, sketch, whole_copies
 
 U = np.uint64
-#: Bytes of text a shard, of transforms a bucket on average, and of a bucket that is taken apart.
-SHARD, BUCKET, MOST = 4 << 20, 2 << 20, 24 << 20
-#: Characters by which the interleaving is refined at a time.
-STEP = 4
+#: Bytes of texts looked at together, of strings a shard, of text a bucket, and of transforms of a bucket that is taken apart.
+CHUNK, SHARD, BUCKET, MOST = 2 << 20, 3 << 19, 2 << 20, 24 << 20
+#: Bytes and strings that a task remembers.
+POOL, SEEN = 32 << 20, 1 << 19
+#: Characters by which the interleaving is refined at a time, at most.
+STEP = 16
 #: Symbols of nine bits in a first sorting key.
 FIRST = 7
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5)
@@ -108,15 +110,17 @@ def anchor_places(n: int) -> Callable:
 
 
 def sorted_suffixes(text: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Suffixes of a concatenation of strings in order, by prefix doubling.
+    """Suffixes of a concatenation of strings in order, each round two or three times as deep.
 
     ``text`` has byte + 1 for each character and 0 at the end of each string; ``left`` says how many characters stand before that end.
-    Ends are ordered by place. Also the ranks at a depth of more than half of ``n`` and at most ``n``, and that depth.
+    Ends are ordered by place. Also the ranks at the largest depth up to ``n`` that there is, and that depth.
     """
     size = len(text)
-    key = np.zeros(size, U)
-    for k in range(FIRST):
-        key[: size - k] |= text[k:].astype(U) << U(9 * (FIRST - 1 - k))
+    padded = np.zeros(size + FIRST, np.uint32)
+    padded[:size] = text
+    two = padded[:-1] << np.uint32(9) | padded[1:]
+    key = (two[: size + 2].astype(U) << U(18) | two[2 : size + 4])[:size]
+    key = (key << U(18) | two[4 : size + 4]) << U(9) | padded[6 : size + 6]
     ends = np.flatnonzero(text == 0)
     for k in range(FIRST):  # nothing behind an end counts
         at = ends[ends >= k] - k
@@ -126,8 +130,10 @@ def sorted_suffixes(text: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndar
     key = key[order]
     new = np.ones(size + 1, bool)
     new[1:-1] = key[1:] != key[:-1]
-    rank = np.empty(size, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(size), 0))
+    every = np.arange(size, dtype=np.int32)
+    rank = np.empty(size, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], every, np.int32(0)))
+    terms, bits = (3, U(21)) if size < 1 << 21 else (2, U(32))  # ranks that fit a key
     depth, half, at_half = FIRST, rank, FIRST
     while True:
         if depth <= n:
@@ -135,16 +141,19 @@ def sorted_suffixes(text: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndar
         open_ = np.flatnonzero(~(new[:-1] & new[1:]))
         if not len(open_):
             return order, half, at_half
-        own = order[open_]
-        then = np.where(left[own] < depth, own, rank[np.minimum(own + depth, size - 1)])
-        key = rank[own] << 32 | then
+        own, at = order[open_], open_.astype(np.int32)
+        rest = left[own]
+        key = rank[own].astype(U)
+        for k in range(1, terms):  # behind an end all that counts is its place
+            key = key << bits | np.where(rest < k * depth, own, rank[np.minimum(own + k * depth, size - 1)]).astype(U)
         by = np.argsort(key)
-        order[open_], key = own[by], key[by]
+        own, key = own[by], key[by]
+        order[open_] = own
         differs = np.ones(len(open_), bool)
         differs[1:] = key[1:] != key[:-1]
         new[open_[differs]] = True
-        rank[order[open_]] = np.maximum.accumulate(np.where(differs, open_, 0))
-        depth *= 2
+        rank[own] = np.maximum.accumulate(np.where(differs, at, np.int32(0)))
+        depth *= terms
 
 
 def ordered(key: np.ndarray, hashed: np.ndarray) -> np.ndarray:
@@ -156,6 +165,15 @@ def ordered(key: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return out
 
 
+def found_again(key: np.ndarray, hashed: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``ROW`` for repeated runs of ``size`` bytes from ``first`` on."""
+    k = len(key)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(k, -1)), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.binary()), pa.array(key), pa.array(hashed), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
+        ["bucket", "bytes", "payload", "key", "text_hash", "first", "words"],
+    )
+
+
 def spans_of(string: np.ndarray, offset: np.ndarray, key: np.ndarray, hashed: np.ndarray, first: np.ndarray, n: int) -> pa.RecordBatch:
     """Rows of repeated places ``(string, offset)``, runs of them as one."""
     by = np.lexsort((offset, string))
@@ -165,11 +183,81 @@ def spans_of(string: np.ndarray, offset: np.ndarray, key: np.ndarray, hashed: np
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(string)) - 1
     s = string[start]
-    k = len(start)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(k, -1)), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.binary()), pa.array(key[s]), pa.array(hashed[s]), pa.array((first[s] + offset[start]).astype(np.int32)), pa.array((offset[end] - offset[start] + n).astype(np.int32))],
-        ["bucket", "bytes", "payload", "key", "text_hash", "first", "words"],
-    )
+    return found_again(key[s], hashed[s], first[s] + offset[start], offset[end] - offset[start] + n)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+class Strings:
+    """Strings that a task has seen, so that whole copies of them are settled without sorting; compared byte by byte.
+
+    They are held in a pool of bytes, which is also what shards are made from; a full pool is emptied.
+    """
+
+    def __init__(self) -> None:
+        self.pool = np.zeros(POOL, np.uint8)
+        self.table = np.zeros((6, SEEN), np.int64)  # hash, place in the pool, length, key, text hash, place in the text
+        self.used, self.pending, self.size = 0, [], 0
+
+    @staticmethod
+    def same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = np.ones(len(at), bool)
+        x, y = eights(a), eights(b)
+        for k in range(0, int(length.max(initial=0)), 8):
+            k = np.minimum(k, length - 8)
+            out &= x[at + k] == y[bt + k]
+        return out
+
+    def add(self, data: np.ndarray, hashed: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        """``strings`` has rows of place in ``data``, length, bucket, key, text hash and place in the text; which repeat as a whole.
+
+        The others, all those that are earlier than what they equal among them, are kept for the next shard. ``hashed`` has a hash of each.
+        """
+        at, length, _, key, text, first = strings
+        by = np.lexsort((first, text, key, hashed))
+        new = np.ones(len(by), bool)
+        new[1:] = hashed[by][1:] != hashed[by][:-1]
+        head = np.empty(len(by), np.int64)
+        head[by] = by[new][np.cumsum(new) - 1]
+        again = (length == length[head]) & ((key != key[head]) | (text != text[head]) | (first != first[head]))
+        some = np.flatnonzero(again)
+        again[some] = self.same(data, at[some], data, at[head[some]], length[some])
+        slot = hashed & (SEEN - 1)
+        h, place, size, k, t, f = self.table[:, slot]
+        earlier = (k < key) | (k == key) & ((t < text) | (t == text) & (f < first))
+        some = np.flatnonzero(~again & (h == hashed) & (size == length) & earlier)
+        again[some] = self.same(data, at[some], self.pool, place[some], length[some])
+        fresh = np.flatnonzero(~again)
+        total = int(length[fresh].sum())
+        if self.used + total + 8 > len(self.pool):
+            self.table[:] = 0
+            self.used = 0
+            if total + 8 > len(self.pool):
+                self.pool = np.zeros(total + 8, np.uint8)
+        place = self.used + np.cumsum(length[fresh]) - length[fresh]
+        string = np.repeat(np.arange(len(fresh)), length[fresh])
+        self.pool[self.used : self.used + total] = data[at[fresh][string] + (np.arange(total) + self.used - place[string])]
+        self.used += total
+        mine = strings[:, fresh]
+        mine[0] = place
+        self.table[:, slot[fresh]] = np.stack((hashed[fresh], place, *mine[[1, 3, 4, 5]]))
+        self.pending.append(mine)
+        self.size += total
+        return again
+
+    def full(self, more: int) -> bool:
+        """Whether a shard is due before ``more`` bytes come."""
+        return self.size > SHARD or self.size > 0 and self.used + more + 8 > len(self.pool)
+
+    def shard(self, n: int) -> Iterator[pa.RecordBatch]:
+        """What ``transforms`` makes of the strings kept since the last one."""
+        if self.pending:
+            at, length, bucket, key, text, first = np.concatenate(self.pending, axis=1)
+            self.pending, self.size = [], 0
+            yield from transforms(self.pool, at, length, bucket, key, text, first, n)
 
 
 def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket: np.ndarray, key: np.ndarray, hashed: np.ndarray, first: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -177,7 +265,7 @@ def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket:
     and a transform for each bucket of the strings that have a first occurrence of ``n`` bytes."""
     if not len(begin):
         return
-    by = np.argsort(bucket, kind="stable")
+    by = np.lexsort((begin, bucket))
     begin, length, bucket, key, hashed, first = (x[by] for x in (begin, length, bucket, key, hashed, first))
     full = length + 1
     start = np.cumsum(full) - full
@@ -191,9 +279,11 @@ def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket:
     order, half, depth = sorted_suffixes(text, left, n)
     # Strings of n bytes in order; equal ones are neighbours.
     row = order[left[order] >= n]
-    second = half[row + (n - depth)]
     new = np.ones(len(row), bool)
-    new[1:] = (half[row][1:] != half[row][:-1]) | (second[1:] != second[:-1])
+    new[1:] = False
+    for at in (*range(0, n - depth, depth), n - depth):
+        part = half[row + at]
+        new[1:] |= part[1:] != part[:-1]
     again = np.zeros(size, bool)
     if not new.all():
         group = np.cumsum(new) - 1
@@ -208,7 +298,9 @@ def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket:
             yield spans_of(string[at], offset[at], key, hashed, first, n)
     fresh = np.bincount(string[(left >= n) & ~again], minlength=len(begin)) > 0
     rows = order[fresh[string[order]]]
-    rows = rows[np.argsort(bucket[string[rows]], kind="stable")]
+    dense = np.cumsum(np.diff(bucket, prepend=bucket[:1]) > 0)
+    dense = dense.astype(np.uint16 if dense[-1] < 1 << 16 else np.int64)  # short integers sort in linear time
+    rows = rows[np.argsort(dense[string[rows]], kind="stable")]
     kept = np.flatnonzero(fresh)
     if not len(kept):
         return
@@ -274,13 +366,20 @@ def walked(before: np.ndarray, length: np.ndarray, ends: np.ndarray) -> Iterator
 
 def interleaved(symbols: np.ndarray, shard: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose suffixes share ``n`` characters with one of another shard, in order, and the number of their block."""
-    byte = (symbols - np.uint16(1)).astype(np.uint8).astype(U)  # rows without so many characters before them are left out, whatever stands here
-    two, to_two, has_two = byte[before] << U(8) | byte, before[before], (symbols > 0) & (symbols[before] > 0)
-    fronts = {1: (byte, before, symbols > 0), STEP: (two[to_two] << U(16) | two, to_two[to_two], has_two & has_two[to_two])}
+    front, to, whole = (symbols - np.uint16(1)).astype(np.uint8).astype(U), before, symbols > 0  # without a character before, whatever stands here
+    fronts = {1: (front, to, whole)}
+    for k, bits in ((2, 8), (4, 16), (8, 32), (STEP, 32)):
+        front, to, whole = front[to] << U(bits) | front, to[to], whole & whole[to]
+        if k >= 8:  # numbers in order instead of characters
+            by = np.argsort(front)
+            number = np.zeros(len(front), np.int64)
+            number[by[1:]] = np.cumsum(front[by][1:] != front[by][:-1])
+            front = number.astype(U)
+        fronts[k] = front, to, whole
     row, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
     depth = 0
     while depth < n and len(row):
-        step = STEP if n - depth >= STEP else 1
+        step = max(k for k in fronts if k <= n - depth)
         put, to, whole = fronts[step]
         some = whole[row]
         row, block = row[some], block[some]
@@ -356,11 +455,12 @@ def repeats(docs: DataFrame, n: int = 100, max_bits: int = MAX_BITS, most: int =
     buckets = max(16, size // BUCKET)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many, w = planes.value, n - anchor_bytes(n) + 1
+        many, m = planes.value, anchor_bytes(n)
+        w, held = n - m + 1, Strings()
         for batch in batches:
             keys, hashed = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for a, b, data, begin in chunks(batch.column(2), SHARD):
-                _, least, whole = anchors(data, begin, n)
+            for a, b, data, begin in chunks(batch.column(2), CHUNK):
+                h, least, whole = anchors(data, begin, n)
                 if not len(least):
                     continue
                 # Runs of strings of one anchor in one text, none longer than a window of places.
@@ -375,11 +475,24 @@ def repeats(docs: DataFrame, n: int = 100, max_bits: int = MAX_BITS, most: int =
                 for plane, cell in zip(many, cells(anchor, Hasher.mix(anchor, 3), bits)):
                     keep &= (plane[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 start, count, anchor = start[keep], count[keep], anchor[keep]
+                if not len(start):
+                    continue
                 pieces = -(-count // w)
                 nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start, count, anchor = np.repeat(start, pieces) + nth * w, np.minimum(np.repeat(count, pieces) - nth * w, w), np.repeat(anchor, pieces)
+                length = count + n - 1
+                own = length.astype(U)
+                for k in range(0, n + w - 1, m):  # pieces that cover the string
+                    own = Hasher.mix(own, k) + h[start + np.minimum(k, length - m)]
                 text = np.searchsorted(begin, start, side="right") - 1
-                yield from transforms(data, start, count + n - 1, (Hasher.mix(anchor, 11) % U(buckets)).astype(np.int64), keys[a:b][text], hashed[a:b][text], (start - begin[text]).astype(np.int32), n)
+                strings = np.stack((start, length, (Hasher.mix(anchor, 11) % U(buckets)).astype(np.int64), keys[a:b][text], hashed[a:b][text], start - begin[text]))
+                if held.full(int(length.sum())):
+                    yield from held.shard(n)
+                again = held.add(data, own.view(np.int64), strings)
+                if again.any():
+                    _, length, _, key, text, first = strings[:, again]
+                    yield found_again(key, text, first, length)
+        yield from held.shard(n)
 
     found = cut(docs.select("key", "text_hash", "text").mapInArrow(shards, ROW))
     known = found.filter("bucket < 0")

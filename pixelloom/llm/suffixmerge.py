@@ -41,7 +41,7 @@ from .substring import MAX_BITS, NULL_ID, Hasher, cells, chunks, keyed, merged_r
 
 U = np.uint64
 #: Bytes of texts looked at together, of strings a shard, of text a bucket, and of transforms of a bucket that is taken apart.
-CHUNK, SHARD, BUCKET, MOST = 2 << 20, 3 << 19, 2 << 20, 24 << 20
+CHUNK, SHARD, BUCKET, MOST = 1 << 20, 3 << 18, 1 << 20, 24 << 20
 #: Bytes and strings that a task remembers.
 POOL, SEEN = 32 << 20, 1 << 19
 #: Characters by which the interleaving is refined at a time, at most.

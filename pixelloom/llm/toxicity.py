@@ -29,6 +29,7 @@ scored whole; a column named like the score is replaced, all others pass through
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -246,14 +247,19 @@ def pick(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
 
 def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights and bias (last) of the squared-hinge machine."""
-    x = np.concatenate((x, np.ones((len(x), 1))), 1).astype(np.float64)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        xs = x[inside] * (c * weight[inside])[:, None]
-        new = np.linalg.solve(ridge + xs.T @ x[inside], xs.T @ y[inside])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for a in range(0, len(x), 4096):  # a wide copy of a few rows at a time
+            rows, own = np.concatenate((x[a : a + 4096], np.ones((len(x[a : a + 4096]), 1))), 1).astype(np.float64), y[a : a + 4096]
+            inside = own * (rows @ w) < 1
+            rows, own = rows[inside], own[inside]
+            scaled = rows * (c * weight[a : a + 4096][inside])[:, None]
+            left += scaled.T @ rows
+            right += scaled.T @ own
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -356,26 +362,31 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, c
     model.slope, model.shift = calibrated(held, toxic.astype(float), weight[: len(texts)])
     w = learned(np.ones(len(every), bool))
     model.weights, model.bias = w[:-1], float(w[-1])
-    worker_cache(("none",))  # the driver forgets the words
+    worker_cache(("none",))  # the worker forgets the words
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = 1200, max_clean: int = 1800, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = 2000, max_clean: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on at most ``max_toxic`` and ``max_clean`` rows of ``labels`` for which ``usable`` holds (a condition on its id).
 
-    Of rows of ``docs`` that repeat an id and its text one is taken.
+    Of rows of ``docs`` that repeat an id and its text one is taken. The rows meet in one task, which fits the model; what reaches the
+    driver are its landmarks and weights.
     """
     rows = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__label_id")).agg((F.max(label_col) > 0).alias("__toxic"))
     count = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
     by_hash = [rows.filter(F.col("__toxic") == y).orderBy(F.xxhash64("__label_id"), "__label_id").limit(n) for y, n in ((True, max_toxic), (False, max_clean))]
     few = F.broadcast(by_hash[0].unionByName(by_hash[1]))  # at most max_toxic + max_clean rows
-    found = docs.join(few, F.col(id_col) == F.col("__label_id")).select("__label_id", F.col("__toxic").alias("toxic"), F.coalesce(text_col, F.lit("")).alias("text")).distinct().collect()
-    found.sort(key=lambda r: (r["__label_id"], r["text"]))
-    toxic = np.array([r["toxic"] for r in found], bool)
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return None
-    weight = np.where(toxic, count[True] / toxic.sum(), count[False] / (~toxic).sum())
-    return fit([r["text"] for r in found], toxic, weight)
+    sample = docs.join(few, F.col(id_col) == F.col("__label_id")).select("__label_id", F.col("__toxic").alias("toxic"), F.coalesce(text_col, F.lit("")).alias("text")).distinct()
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r["__label_id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        toxic = np.array([r[2] for r in found], bool)
+        if toxic.any() and not toxic.all():
+            weight = np.where(toxic, count[True] / toxic.sum(), count[False] / (~toxic).sum())
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([r[1] for r in found], toxic, weight))], pa.binary())})
+
+    row = sample.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else None
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:

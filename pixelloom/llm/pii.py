@@ -1,6 +1,6 @@
 """Personal data: detected entities get keyed surrogates of their own kind.
 
-Found by pattern: emails; names after a title, and the same given and family name without a title in the same text;
+Found by pattern: emails; names after a title (of address, or Dr, Prof, Rev), with hyphens, apostrophes and capitals inside, and the same given and family name without a title in the same text;
 phone numbers of three, three and four digits with a separator before the last four, and any of 8 to 15 digits after a
 ``+``; card numbers of 13 to 19 digits in the usual groups; IPv4 and IPv6 addresses; social security numbers; IBANs.
 Not found: numbers of national formats without a ``+`` other than those, and names never seen with a title.
@@ -37,12 +37,15 @@ PATIENCE, SALTS = 8, 16
 # Titles by gender, and given names by gender and script to draw from.
 FEMALE = "Mrs Ms Miss Frau Mme Mlle Madame Sra Señora Signora Г-жа"
 MALE = "Mr Herr M Monsieur Sr Señor Signor Г-н"
+EITHER = "Dr Prof Professor Rev"
 GIVEN = {
     ("f", "latin"): "Anna Maria Clara Elena Julia Laura Nina Paula Rosa Sara Vera Emma Ida Lena Marta Olga",
     ("m", "latin"): "Adam Boris David Emil Felix Hugo Ivan Jonas Karl Leo Max Noel Oskar Paul Theo Viktor",
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга Полина Софья Тамара Ульяна Юлия Алина Майя",
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Степан Тимур Юрий",
 }
+# After a title of either gender a given name may be any.
+GIVEN |= {("e", x): f"{GIVEN['f', x]} {GIVEN['m', x]}" for x in ("latin", "cyrillic")}
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro",
     "cyrillic": "ба бе би бо да де ди до фа фе га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро",
@@ -50,7 +53,9 @@ SYLLABLES = {
 # Country calling codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-TITLE = r"(?<!\p{L})(?:" + "|".join(sorted((FEMALE + " " + MALE).split(), key=lambda t: (-len(t), t))) + r")\.?"
+TITLE = r"(?<!\p{L})(?:" + "|".join(sorted(f"{FEMALE} {MALE} {EITHER}".split(), key=lambda t: (-len(t), t))) + r")\.?"
+#: A part of a name: Müller, McDonald, O'Brien, Smith-Jones.
+WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’\-](?=\p{L}))+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -59,7 +64,7 @@ PATTERNS = {
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9](?:[ .\-()]{0,2}[0-9]){7,14}(?![0-9])",
     "ip": r"(?<![0-9.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?![0-9])",
     "ip6": r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])",
-    "name": TITLE + r" \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": TITLE + f" {WORD}(?: {WORD})?",
 }
 #: Any entity; none is in a text without one of these characters or a title, which is tested first.
 ANY = "|".join(PATTERNS.values())
@@ -90,8 +95,8 @@ def parts(kind: Column, entity: Column) -> Column:
     form = F.when(kind.isin("card", "ssn", "phone", "iban"), national).otherwise(F.lower(entity))
     one = lambda slot, kind, scope, form: F.struct(F.lit(slot).alias("slot"), kind.alias("kind"), scope.alias("scope"), form.alias("form"))
     title, given, family = (F.regexp_extract(entity, NAME, i) for i in (1, 2, 3))
-    female = F.regexp_replace(title, r"\.$", "").isin(FEMALE.split())
-    gender = F.when(female, "f").otherwise("m")
+    plain = F.regexp_replace(title, r"\.$", "")
+    gender = F.when(plain.isin(FEMALE.split()), "f").when(plain.isin(EITHER.split()), "e").otherwise("m")
     first = one(1, F.lit("given"), F.concat(gender, F.lit(" "), script(given)), F.lower(given))
     last = one(2, F.lit("family"), script(family), F.lower(family))
     names = F.when(given == "", F.array(last)).otherwise(F.array(first, last))

@@ -1,6 +1,6 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it, or whatever of 6 to 128 characters stands after a
+A candidate is a run of 16 or more key characters with a digit in it and what follows it after dots, or whatever of 6 or more characters stands after a
 word of ``CUES`` and ``=`` or ``:``, with or without digits. The forest looks at its length and
 character transitions, how much of it dictionary words cover, whether it stands in a path or url, and
 at its neighbours (the word before, ``=`` or ``:``, quotes). It is trained from labelled findings, a
@@ -27,8 +27,8 @@ from .common import cut
 MAX_FINDINGS = 20_000
 #: Words that announce a secret, and common words and word parts of identifiers.
 CUES = "token key secret password passwd pwd api apikey auth bearer credential private access signature sig salt hmac"
-LONG_RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{16})[A-Za-z+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
-AFTER_CUE = r"(?<=(?i:" + "|".join(sorted(CUES.split(), key=lambda w: (-len(w), w))) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;=:]{6,128}"
+LONG_RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{16})[A-Za-z+/_\-]*[0-9][A-Za-z0-9+/_\-]*(?:\.[A-Za-z0-9+/_\-]{6,}){0,8}"
+AFTER_CUE = r"(?<=(?i:" + "|".join(sorted(CUES.split(), key=lambda w: (-len(w), w))) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;=:]{6,}"
 CANDIDATE = AFTER_CUE + "|" + LONG_RUN
 #: No candidate is in a text without this.
 HINT = r"[0-9]|(?i:" + "|".join(CUES.split()) + r")[\"']?\s{0,2}[=:]"
@@ -121,8 +121,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return context.select("id", "row", F.explode_outer("all").alias("x")).select("id", "row", "x.at", "x.before", "x.candidate", "x.after")
 
 
-def scan(docs: DataFrame, findings: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id, n_candidates, n_secrets, secrets``, the array in order of place."""
+def judged(docs: DataFrame, findings: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: ``id, n_candidates, n_secrets, found``, an array of ``(at, candidate)`` in order of place."""
     model = train(findings)
     rows = candidates(docs, id_col, text_col)
     if model is None:
@@ -131,18 +131,25 @@ def scan(docs: DataFrame, findings: DataFrame, threshold: float = 0.5, id_col: s
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.select("id", "row", "at", "candidate", *features(F.col("before"), F.coalesce("candidate", F.lit("")), F.col("after"))).na.fill(0.0, FEATURES))
         scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     secret = F.col("candidate").isNotNull() & (F.col("score") >= threshold)
-    grouped = scored.groupBy("row").agg(
+    return scored.groupBy("row").agg(
         F.first("id").alias("id"), F.count("candidate").alias("n_candidates"), F.count(F.when(secret, 1)).alias("n_secrets"),
         F.array_sort(F.collect_list(F.when(secret, F.struct("at", "candidate")))).alias("found"),
     )
-    return grouped.select("id", "n_candidates", "n_secrets", F.col("found.candidate").alias("secrets"))
+
+
+def scan(docs: DataFrame, findings: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id, n_candidates, n_secrets, secrets``, the array in order of place."""
+    return judged(docs, findings, threshold, id_col, text_col).select("id", "n_candidates", "n_secrets", F.col("found.candidate").alias("secrets"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "[secret]", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each secret in ``text_col`` masked; other columns pass through."""
+    """``docs`` with each secret in ``text_col`` masked where it was found; other columns pass through."""
     own = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     rows = own.select(F.col("__row"), F.col(text_col))
-    marks = scan(rows, findings, threshold, "__row", text_col).filter("n_secrets > 0").select(F.col("id").alias("__of"), "secrets")
+    marks = judged(rows, findings, threshold, "__row", text_col).filter("n_secrets > 0").select(F.col("id").alias("__of"), F.col("found.at").alias("__at"))
     joined = own.join(marks, F.col("__row") == F.col("__of"), "left")
-    masked = F.aggregate("secrets", F.col(text_col), lambda text, s: F.replace(text, s, F.lit(mask)))
-    return joined.withColumn(text_col, F.when(F.col("secrets").isNull(), F.col(text_col)).otherwise(masked)).select(*[F.col(c) for c in docs.columns])
+    shown = F.transform(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), lambda c, i: F.when(F.array_contains("__at", i), mask).otherwise(c))
+    # What lies between the candidates and the candidates, one after the other.
+    pairs = F.zip_with(F.split(text_col, CANDIDATE, -1), F.concat(shown, F.array(F.lit(""))), lambda between, own: F.concat(between, own))
+    masked = F.array_join(pairs, "")
+    return joined.withColumn(text_col, F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(masked)).select(*[F.col(c) for c in docs.columns])

@@ -1,7 +1,7 @@
 """Colour counting, palettes, quantization and dithering.
 
 Every clear pixel counts as one colour. Histograms are aggregated before they are shuffled; palettes and median cut
-work on the histogram of distinct colours, of one group at a time.
+work on the histogram of distinct colours, of one group at a time up to ``LOCAL`` colours, by rounds over the cluster beyond.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from ..model import KEYS, RGBA
 from .join import bounded, palette_apply
+from .mediancut import median_cut, settled
+
+#: Distinct colours of a group that one task cuts (some MB); groups of more are cut by rounds.
+LOCAL = 1 << 16
+
 
 def _cleared() -> dict[str, Column]:
     """The channels of a pixel's colour, all 0 for clear pixels."""
@@ -70,8 +75,11 @@ def cut_boxes(colours: np.ndarray, pixels: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def build_palette(df: DataFrame, most: int = 256, by: list[str] = ["doc_id"]) -> DataFrame:
-    """``idx, r, g, b, a`` of each group: its colours if they fit, else those that median cut picks."""
+def build_palette(df: DataFrame, most: int = 256, by: list[str] = ["doc_id"], local: int = LOCAL) -> DataFrame:
+    """``idx, r, g, b, a`` of each group: its colours if they fit, else those that median cut picks.
+
+    A group of at most ``local`` colours is cut in one task, larger ones by rounds over the cluster, with equal results.
+    """
 
     def cut(table: pa.Table) -> pa.Table:
         first = table.column("first").combine_chunks()
@@ -84,7 +92,11 @@ def build_palette(df: DataFrame, most: int = 256, by: list[str] = ["doc_id"]) ->
 
     h = histogram(df, by)
     keys = ", ".join(f"{b} {t}" for b, t in h.select(*by).dtypes)
-    return h.groupBy(*by).applyInArrow(cut, f"{keys}, idx int, r int, g int, b int, a int")
+    counted = settled(h.join(h.groupBy(*by).agg(F.count("*").alias("__n")), by))
+    bound = max(most, local)
+    small = counted.filter(F.col("__n") <= bound).drop("__n").groupBy(*by).applyInArrow(cut, f"{keys}, idx int, r int, g int, b int, a int")
+    large = counted.filter(F.col("__n") > bound).drop("__n")
+    return small if large.isEmpty() else small.unionByName(median_cut(large, most, by).select(*small.columns))
 
 
 def quantize(df: DataFrame, most: int = 256) -> DataFrame:

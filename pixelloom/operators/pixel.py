@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CMYK, MAX, ImageError
@@ -175,3 +175,19 @@ def over_pixel_cap(df: DataFrame, cap: int | None) -> DataFrame:
     """``df`` with ``error_code``: LIMIT where ``w * h`` is over the cap, INTERNAL for an empty size."""
     cap_sql = "false" if cap is None else f"cast(w as bigint) * h > {cap}"
     return df.withColumn("error_code", F.expr(f"case when w <= 0 or h <= 0 then 'INTERNAL' when {cap_sql} then 'LIMIT' else 'OK' end"))
+
+
+def decode_budget(items: DataFrame, pixels: int | None, memory: int | None, frames: int | None, bytes_per_pixel: int = 4) -> DataFrame:
+    """``items (doc_id, item_index, w, h)`` with ``held``, the bytes of all items up to this one, and ``error_code``.
+
+    Items are decoded in order and stay in memory. From the first one on that is empty (INTERNAL), or one too many, over the pixel cap or
+    over what is left of the memory (LIMIT), a document's items are refused with that code. None lifts a cap.
+    """
+    size = F.greatest(F.col("w").cast("long"), F.lit(0)) * F.greatest(F.col("h"), F.lit(0))
+    so_far = Window.partitionBy("doc_id").orderBy("item_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = items.withColumn("held", F.sum(size * bytes_per_pixel).over(so_far)).withColumn("__nth", F.count("*").over(so_far))
+    over = [c for cap, c in ((frames, F.col("__nth") > frames if frames is not None else None), (pixels, size > pixels if pixels is not None else None), (memory, F.col("held") > memory if memory is not None else None)) if cap is not None]
+    code = F.when((F.col("w") <= 0) | (F.col("h") <= 0), "INTERNAL")
+    for c in over:
+        code = code.when(c, "LIMIT")
+    return counted.withColumn("error_code", F.coalesce(F.first(code, ignorenulls=True).over(so_far), F.lit("OK"))).drop("__nth")

@@ -207,6 +207,29 @@ def p18(spark, d):
     return pixel.over_pixel_cap(fixtures.documents(spark, d), 4000).select("doc_id", "error_code")
 
 
+@query(
+    "p18_decode_budget",
+    f"""with {DOCS}, item as (
+      select l_orderkey as doc_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 as int) as item_index, l_partkey as k from lineitem
+    ), sized as (
+      select doc_id, item_index, case when k % 97 = 0 then 0 else cast(w + k % 50 as int) end as w, h from item join docs using (doc_id)
+    ), held as (
+      select *, sum(cast(w as bigint) * h * 4) over (partition by doc_id order by item_index) as held from sized
+    ), coded as (
+      select *, case when w <= 0 or h <= 0 then 'INTERNAL' when item_index >= 5 or cast(w as bigint) * h > 12000 or held > 80000 then 'LIMIT' end as code from held
+    )
+    select doc_id, item_index, cast(held as bigint) as held, coalesce(first_value(code ignore nulls) over (partition by doc_id order by item_index rows between unbounded preceding and current row), 'OK') as error_code from coded""",
+)
+def p18_budget(spark, d):
+    sized = spark.sql(
+        """select i.doc_id, item_index, case when k % 97 = 0 then 0 else cast(w + k % 50 as int) end as w, h from (
+          select l_orderkey as doc_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 as int) as item_index, l_partkey as k from {lineitem}) i
+          join {docs} d on i.doc_id = d.doc_id""",
+        lineitem=fixtures.table(spark, d, "lineitem"), docs=fixtures.documents(spark, d),
+    )
+    return pixel.decode_budget(sized, pixels=12000, memory=80000, frames=5).select("doc_id", "item_index", "held", "error_code")
+
+
 @query("p17_format_helpers", "select * from (values " + ", ".join(f"('{m}{b if b < 32 else 'F32'}', {n}, {b}, {n * (1 if b == 8 else 4 if b == 32 else 2)})" for m, n, depths in (("RGBA", 4, (8, 12, 16, 32)), ("GRAY", 1, (8, 12, 16, 32)), ("CMYK", 4, (8, 12, 16))) for b in depths) + ") t(format, channels, bits, bytes_per_pixel)")
 def p17(spark, d):
     from ..model import FORMATS

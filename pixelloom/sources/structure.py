@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import POLICIES
 from ..operators import exif
 from . import codecs
 
@@ -217,13 +218,28 @@ def segments(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SEGMENTS)
 
 
+#: Bytes that a compressed text, and a compressed profile, may unfold to.
+MAX_TEXT, MAX_PROFILE = 1 << 20, 16 << 20
+
+
+def inflated(body: bytes, most: int) -> bytes:
+    """The unfolded bytes; zlib.error if they are more than ``most``, found out after as many."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(body, most + 1)
+    if len(out) > most or not stream.eof:
+        raise zlib.error("too long or cut off")
+    return out
+
+
 def _png_text(name: str, body: bytes) -> bytes:
     keyword, _, rest = body.partition(b"\0")
     if name == "zTXt":
-        rest = zlib.decompress(rest[1:])
+        rest = inflated(rest[1:], MAX_TEXT)
     elif name == "iTXt":
         packed, rest = rest[0], rest[2:].split(b"\0", 2)[2]
-        rest = zlib.decompress(rest) if packed else rest
+        rest = inflated(rest, MAX_TEXT) if packed else rest
+    if len(rest) > MAX_TEXT:
+        raise zlib.error("too long")
     return rest if keyword == XMP_KEYWORD else keyword + b": " + rest
 
 
@@ -246,7 +262,7 @@ def blocks_of(content: bytes) -> tuple[str | None, list[tuple[int, str, bytes]]]
             if form == "png" and name in ("tEXt", "zTXt", "iTXt"):
                 out.append((seq, "XMP" if body.startswith(XMP_KEYWORD + b"\0") else "TEXT", _png_text(name, body)))
             elif form == "png" and name == "iCCP":
-                out.append((seq, "ICC", zlib.decompress(body.partition(b"\0")[2][1:])))
+                out.append((seq, "ICC", inflated(body.partition(b"\0")[2][1:], MAX_PROFILE)))
             elif form == "png" and name in ("eXIf", "pHYs", "bKGD"):
                 out.append((seq, {"eXIf": "EXIF", "pHYs": "RESOLUTION", "bKGD": "BACKGROUND"}[name], body))
             elif form == "png" and name in ("gAMA", "cHRM", "sRGB", "cICP", "mDCV", "cLLI"):
@@ -297,47 +313,78 @@ def metadata(files: DataFrame) -> DataFrame:
 CARRIED = {"png": ("EXIF", "XMP", "ICC", "TEXT"), "jpeg": ("EXIF", "XMP", "ICC", "TEXT")}
 
 
-def attach(content: bytes, form: str, blocks: list[tuple[str, bytes]]) -> bytes:
-    """The file with the blocks put behind its header."""
-    if form == "png":
-        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-        made = {
+#: Kinds that are fields of their own in a format; all others are raw blocks.
+COMMON = ("RESOLUTION", "BACKGROUND", "COLOUR", "TEXT")
+
+
+def written(content: bytes, form: str, blocks: list[tuple[str, bytes]]) -> tuple[bytes, list[str]]:
+    """The file with the blocks put behind its header, and the kinds of those that it cannot hold, by kind or by size."""
+    lost: list[str] = []
+    out: list[bytes] = []
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    def segment(mark: int, body: bytes) -> bytes | None:
+        return bytes((0xFF, mark)) + struct.pack(">H", len(body) + 2) + body if len(body) <= 65533 else None
+
+    def icc(b: bytes) -> bytes | None:
+        size = 65533 - len(ICC) - 2
+        parts = [b[k : k + size] for k in range(0, len(b), size)]
+        if len(parts) > 255:  # they are numbered by a byte
+            return None
+        return b"".join(segment(0xE2, ICC + bytes((k + 1, len(parts))) + p) for k, p in enumerate(parts))
+
+    made = {
+        "png": {
             "EXIF": lambda b: chunk(b"eXIf", b), "ICC": lambda b: chunk(b"iCCP", b"profile\0\0" + zlib.compress(b)), "XMP": lambda b: chunk(b"iTXt", XMP_KEYWORD + b"\0\0\0\0\0" + b),
             "TEXT": lambda b: chunk(b"tEXt", b"Comment\0" + b),
-        }
-        return content[:33] + b"".join(made[k](b) for k, b in blocks if k in made) + content[33:]
-    if form == "jpeg":
-        segment = lambda mark, body: bytes((0xFF, mark)) + struct.pack(">H", len(body) + 2) + body
+        },
+        "jpeg": {"EXIF": lambda b: segment(0xE1, EXIF + b), "XMP": lambda b: segment(0xE1, XMP + b), "ICC": icc, "TEXT": lambda b: segment(0xFE, b)},
+    }.get(form, {})
+    for kind, block in blocks:
+        body = made[kind](block) if kind in CARRIED.get(form, ()) else None
+        if body is None:
+            lost.append(kind)
+        else:
+            out.append(body)
+    at = {"png": 33, "jpeg": 2}.get(form, len(content))
+    return content[:at] + b"".join(out) + content[at:], sorted(set(lost))
 
-        def icc(b: bytes) -> bytes:
-            size = 65533 - len(ICC) - 2
-            parts = [b[k : k + size] for k in range(0, len(b), size)]
-            return b"".join(segment(0xE2, ICC + bytes((k + 1, len(parts))) + p) for k, p in enumerate(parts))
 
-        made = {"EXIF": lambda b: segment(0xE1, EXIF + b), "XMP": lambda b: segment(0xE1, XMP + b), "ICC": icc, "TEXT": lambda b: segment(0xFE, b)}
-        fits = [(k, b) for k, b in blocks if k in made and (k == "ICC" or len(b) < 65000)]
-        return content[:2] + b"".join(made[k](b) for k, b in fits) + content[2:]
-    return content
+def attach(content: bytes, form: str, blocks: list[tuple[str, bytes]]) -> bytes:
+    """The file with the blocks that it can hold put behind its header."""
+    return written(content, form, blocks)[0]
 
 
 def kept(blocks: DataFrame, policy: str) -> DataFrame:
-    """Metadata blocks ``(path, kind, payload)`` after a policy: PRESERVE_ALL, DROP_ALL, STRIP_GPS or NORMALIZE_EXIF.
+    """Metadata blocks ``(path, kind, payload)`` after a policy.
 
-    The last two edit Exif bytes; a block that cannot be read is kept as it is by NORMALIZE_EXIF and left out by STRIP_GPS.
+    PRESERVE_ALL keeps all and DROP_ALL none, KEEP_COMMON_ONLY the fields (``COMMON``) and KEEP_RAW_ONLY the other blocks.
+    STRIP_GPS and NORMALIZE_EXIF edit Exif bytes; a block that cannot be read is kept as it is by NORMALIZE_EXIF and left out by
+    STRIP_GPS, which also leaves out XMP and raw profiles in texts, since they can hold a place.
     """
+    if policy not in POLICIES:
+        raise ValueError(f"no policy {policy}")
     if policy == "PRESERVE_ALL":
         return blocks
     if policy == "DROP_ALL":
         return blocks.filter("false")
+    if policy.startswith("KEEP_"):
+        common = F.col("kind").isin(*COMMON)
+        return blocks.filter(common if policy == "KEEP_COMMON_ONLY" else ~common)
     edited = exif.edited(blocks.filter("kind = 'EXIF'"), "payload", policy)
-    readable = edited.filter("error_code = 'OK'") if policy == "STRIP_GPS" else edited
-    return blocks.filter("kind <> 'EXIF'").unionByName(readable.drop("error_code"))
+    rest = blocks.filter("kind <> 'EXIF'")
+    if policy == "STRIP_GPS":
+        edited = edited.filter("error_code = 'OK'")
+        rest = rest.filter(~((F.col("kind") == "XMP") | (F.col("kind") == "TEXT") & F.coalesce(F.col("payload").substr(1, 11) == F.lit(b"Raw profile"), F.lit(False))))
+    return rest.unionByName(edited.drop("error_code"))
 
 
 def attached(encoded: DataFrame, blocks: DataFrame) -> DataFrame:
     """Encoded files ``(path, format, error_code, content)`` with the blocks ``(path, seq, kind, payload)`` of their paths, and ``lost``.
 
-    ``lost`` names the kinds that the format does not carry, in order. The blocks of one path meet in one row, as its bytes do.
+    ``lost`` names the kinds of blocks that the file does not hold, be it for the format or for their size, in order. The blocks of one path meet in one row, as its bytes do.
     """
     lists = blocks.groupBy(F.col("path").alias("__path")).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "payload"))).alias("__blocks"))
     joined = encoded.join(lists, F.col("path") == F.col("__path"), "left").drop("__path")
@@ -347,8 +394,9 @@ def attached(encoded: DataFrame, blocks: DataFrame) -> DataFrame:
             out, lost = [], []
             for form, content, found in zip(batch.column("format").to_pylist(), batch.column("content"), batch.column("__blocks").to_pylist()):
                 pairs = [(b["kind"], b["payload"]) for b in found or []]
-                out.append(None if content.as_py() is None else attach(content.as_py(), form, pairs))
-                lost.append(sorted({k for k, _ in pairs} - set(CARRIED.get(form, ()))))
+                made, left = (None, sorted({k for k, _ in pairs})) if content.as_py() is None else written(content.as_py(), form, pairs)
+                out.append(made)
+                lost.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("format"), batch.column("error_code"), pa.array(out, pa.binary()), pa.array(lost, pa.list_(pa.string()))], ["path", "format", "error_code", "content", "lost"])
 
     return joined.mapInArrow(run, "path string, format string, error_code string, content binary, lost array<string>")
@@ -358,8 +406,7 @@ def transcode(files: DataFrame, form: str, policy: str = "PRESERVE_ALL", **optio
     """``path, format, error_code, content, lost``: every file in another format, its metadata carried over by ``policy``."""
     from . import files as io
 
-    found = metadata(files).filter("kind not in ('RESOLUTION', 'BACKGROUND', 'COLOUR', 'CORRUPT')")
-    return attached(io.encode(io.items(files), form, **options), kept(found, policy).select("path", "seq", "kind", "payload"))
+    return attached(io.encode(io.items(files), form, **options), kept(metadata(files), policy).select("path", "seq", "kind", "payload"))
 
 
-__all__ = ["CARRIED", "attach", "attached", "blocks_of", "head", "headers", "kept", "metadata", "segments", "transcode", "walk"]
+__all__ = ["CARRIED", "attach", "attached", "blocks_of", "head", "headers", "inflated", "kept", "metadata", "segments", "transcode", "walk", "written"]

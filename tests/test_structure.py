@@ -169,3 +169,39 @@ def test_files_are_written_whole(spark, tmp_path):
     assert {(r.format, r.error_code, r.w, r.h) for r in back.collect()} == {("bmp", "OK", 20, 12)} and back.count() == 2
     with pytest.raises(Exception, match="files already"):
         encoded.write.format("pixelloom").mode("overwrite").option("path", str(out)).save()
+
+
+def block_rows(spark):
+    exif_block, big = b"II*\0\x08\0\0\0\0\0\0\0\0\0", b"<x:xmpmeta/>" + b" " * 70_000
+    rows = [("p", 0, "EXIF", exif_block), ("p", 1, "XMP", big), ("p", 2, "TEXT", b"Comment: hello"), ("p", 3, "RESOLUTION", b"123456789"), ("p", 4, "ICC", b"i" * 70_000), ("p", 5, "TEXT", b"Raw profile type exif: 00"), ("p", 6, "CORRUPT", b""), ("p", 7, "IPTC", b"x")]
+    return spark.createDataFrame([(p, k, kind, bytearray(b)) for p, k, kind, b in rows], "path string, seq int, kind string, payload binary")
+
+
+@pytest.mark.parametrize("policy, kinds", [
+    ("PRESERVE_ALL", "EXIF XMP TEXT RESOLUTION ICC TEXT CORRUPT IPTC"), ("DROP_ALL", ""), ("KEEP_RAW_ONLY", "EXIF XMP ICC CORRUPT IPTC"),
+    ("KEEP_COMMON_ONLY", "TEXT RESOLUTION TEXT"), ("STRIP_GPS", "EXIF TEXT RESOLUTION ICC CORRUPT IPTC"), ("NORMALIZE_EXIF", "EXIF XMP TEXT RESOLUTION ICC TEXT CORRUPT IPTC"),
+])
+def test_policies(spark, policy, kinds):
+    assert sorted(r.kind for r in structure.kept(block_rows(spark), policy).collect()) == sorted(kinds.split())
+    with pytest.raises(ValueError):
+        structure.kept(block_rows(spark), "KEEP")
+
+
+def test_what_a_file_cannot_hold_is_reported(spark):
+    encoded = spark.createDataFrame([("p", "jpeg", "OK", bytearray(picture("jpeg")))], "path string, format string, error_code string, content binary")
+    got = structure.attached(encoded, block_rows(spark)).first()
+    assert got.lost == ["CORRUPT", "IPTC", "RESOLUTION", "XMP"]  # XMP for its size
+    held = structure.blocks_of(bytes(got.content))[1]
+    assert sorted(k for _, k, _ in held if k in ("EXIF", "ICC", "TEXT", "XMP")) == ["EXIF", "ICC", "TEXT", "TEXT"] and len(next(b for _, k, b in held if k == "ICC")) == 70_000
+    assert structure.written(picture("jpeg"), "jpeg", [("ICC", b"x" * (256 * 65519))]) == (picture("jpeg"), ["ICC"])
+    assert structure.written(picture("png"), "png", [("XMP", b"x" * 70_000)])[1] == []
+
+
+def test_texts_that_unfold_without_end_are_corrupt():
+    bomb = zlib.compress(b"\0" * (structure.MAX_TEXT + 1))
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = picture("png")
+    for body in (chunk(b"zTXt", b"k\0\0" + bomb), chunk(b"iTXt", b"k\0\1\0\0\0" + bomb), chunk(b"zTXt", b"k\0\0" + zlib.compress(b"abc")[:-2]), chunk(b"tEXt", b"k\0" + b"a" * (structure.MAX_TEXT + 1))):
+        assert ("CORRUPT", b"") in [b[1:] for b in structure.blocks_of(png[:33] + body + png[33:])[1]]
+    good = chunk(b"zTXt", b"k\0\0" + zlib.compress(b"a" * structure.MAX_TEXT))
+    assert structure.blocks_of(png[:33] + good + png[33:])[1][0][2] == b"k: " + b"a" * structure.MAX_TEXT

@@ -19,6 +19,8 @@ from .mediancut import median_cut, settled
 
 #: Distinct colours of a group that one task cuts (some MB); groups of more are cut by rounds.
 LOCAL = 1 << 16
+#: Colours that a partition remembers while it looks for the first few of each group.
+HELD = 1_000_000
 
 
 def _cleared() -> dict[str, Column]:
@@ -37,11 +39,43 @@ def histogram(df: DataFrame, by: list[str] = KEYS) -> DataFrame:
 
 def count_colors(df: DataFrame, limit: int = 0, by: list[str] = KEYS) -> DataFrame:
     """``colors, exact``: the number of colours, at most ``limit`` unless that is 0, and whether it is all."""
-    n = histogram(df, by).groupBy(*by).agg(F.count("*").alias("n"))
+    own = histogram(df, by) if limit == 0 else few_colours(df, limit, by).distinct()
+    n = own.groupBy(*by).agg(F.count("*").alias("n"))
     exact = F.lit(True) if limit == 0 else F.col("n") <= limit
     return n.select(*by, F.when(exact, F.col("n")).otherwise(limit).cast("long").alias("colors"), exact.alias("exact"))
 
 
+def few_colours(df: DataFrame, limit: int, by: list[str] = KEYS) -> DataFrame:
+    """``by, colour``: of each group and partition its distinct colours, until there are ``limit + 1`` of them.
+
+    A partition stops to keep a group's colours then, since no more are asked for, and so shuffles at most so many rows a group.
+    What it keeps is forgotten when it is much, and then kept anew; colours may come twice after that.
+    """
+    packed = sum((c.cast("long") * (1 << 16 * k) if k < 3 else F.shiftleft(c.cast("long"), 48) for k, c in enumerate(_cleared().values())), F.lit(0).cast("long"))
+    own = df.select(*by, packed.alias("colour"))
+    names = [*by, "colour"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, set] = {}
+        held = 0
+        for batch in batches:
+            new = []
+            rows = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([]).to_pydict()
+            for *key, colour in zip(*(rows[c] for c in names)):
+                some = kept.setdefault(tuple(key), set())
+                if len(some) <= limit and colour not in some:
+                    some.add(colour)
+                    new.append((*key, colour))
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(k).type) for k, c in enumerate(zip(*new))], names)
+            held += len(new)
+            if held > HELD:
+                kept.clear()
+                held = 0
+
+    return own.mapInArrow(run, own.schema)
+
+
 def exact_palette(df: DataFrame, most: int = 256, by: list[str] = KEYS) -> DataFrame:
     """``idx, r, g, b, a`` in order of first appearance; groups of more than ``most`` colours give no rows."""
     h = histogram(df, by)

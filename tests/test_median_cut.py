@@ -1,4 +1,4 @@
-"""Median cut by rounds against the sequential rule."""
+"""Median cut by rounds against the sequential rule, and counts of colours that stop early."""
 
 from collections import Counter
 
@@ -47,3 +47,16 @@ def test_replay_splits_before_its_turn_and_then_numbers():
     assert mediancut.replay(worth, {""}, 3) == (["1"], {})
     worth |= {"10": 2, "11": 1, "00": 1, "01": 1}
     assert mediancut.replay(worth, {"", "1", "0"}, 3) == ([], {"0": 0, "10": 1, "11": 2})
+
+
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_few_colours_are_shuffled(spark, held, monkeypatch):
+    monkeypatch.setattr(palette, "HELD", held)
+    df = rasters(spark, 5, 6)
+    by = ["doc_id", "item_index"]
+    want = {r.doc_id: r.n for r in palette.histogram(df).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    for limit in (1, 20, 5000):
+        got = {r.doc_id: (r.colors, r.exact) for r in palette.count_colors(df, limit).collect()}
+        assert got == {d: (min(n, limit), n <= limit) for d, n in want.items()}
+        if held > 3:
+            assert palette.few_colours(df, limit, by).count() <= df.rdd.getNumPartitions() * len(want) * (limit + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -66,10 +66,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` cut, and its number of rows, observed while it is written instead of by a job of its own."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    # A plan that proves empty while it runs may lose the observation.
+    n = seen.get.get("n")
+    return kept, kept.count() if n is None else n
+
+
 def compact(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     """``df`` cut, in as many partitions as its rows need: what follows has as many tasks and shuffle files."""
-    kept = cut(df)
-    return kept.coalesce(max(1, -(-kept.count() // rows_per_partition)))
+    return fitted(df, rows_per_partition)[0]
+
+
+def fitted(df: DataFrame, rows_per_partition: int = 100_000) -> tuple[DataFrame, int]:
+    """``compact``, and the number of rows."""
+    kept, n = counted(df)
+    return kept.coalesce(max(1, -(-n // rows_per_partition))), n
 
 
 def sized(df: DataFrame, max_rows: int) -> DataFrame:
@@ -77,8 +91,8 @@ def sized(df: DataFrame, max_rows: int) -> DataFrame:
 
     Beyond the bound the hint is left out and the planner shuffles.
     """
-    kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    kept, n = counted(df)
+    return F.broadcast(kept) if n <= max_rows else kept
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int) -> DataFrame:

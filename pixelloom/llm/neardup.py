@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, compact, cut, salted_join, sized
+from .common import LOWER, UPPER, compact, cut, fitted, salted_join, sized
 from .components import components
 from .substring import Hasher, U, chunks
 
@@ -258,16 +258,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, bands: int =
     second = rest.filter("component <> main").join(best, "key").select(F.least("head", "uid").alias("a"), F.greatest("head", "uid").alias("b")).distinct()
     second = compact(second.join(stars, ["a", "b"], "left_anti"))
     stars = stars.unionByName(second)
-    found = compact(verified(second, nodes, docs, k, percent, m, id_col, text_col))
-    if not found.isEmpty():
+    found, n_found = fitted(verified(second, nodes, docs, k, percent, m, id_col, text_col))
+    if n_found:
         links = links.unionByName(found)
         held = components(links)
         rest = with_components(held)
     rest = rest.join(nodes.select("uid", F.col("parity").alias("bits")), "uid")
-    more = compact(across(rest, percent).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = compact(verified(more, nodes, docs, k, percent, m, id_col, text_col))
-        if not found.isEmpty():
+    more, n_more = fitted(across(rest, percent).join(stars, ["a", "b"], "left_anti"))
+    if n_more:
+        found, n_found = fitted(verified(more, nodes, docs, k, percent, m, id_col, text_col))
+        if n_found:
             held = components(links.unionByName(found))
 
     # Only linked nodes are named by others; a component of very many is joined with its name in parts.

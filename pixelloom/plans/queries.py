@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CMYK, RGBA
-from ..operators import animation, codec_steps, color, document, join, palette, pixel, resample
+from ..operators import animation, blocks, codec_steps, color, document, join, palette, pixel, pyramid, resample
 from ..sources import files, probe
 from ..streaming import frames as streams
 from . import fixtures
@@ -863,3 +863,58 @@ def st_visits(spark, d):
 def st_canvas(spark, d):
     px = fixtures.patches(spark, d).selectExpr("*", "explode(sequence(lft, lft + width - 1)) as x").selectExpr("*", "explode(sequence(top, top + height - 1)) as y")
     return streams.latest_canvas(px.select("doc_id", "item_index", "x", "y", F.col("r").alias("v")))
+
+
+# Blocks and pyramids
+
+_STEPS = [8 + 3 * (i % 8) + 2 * (i // 8) for i in range(64)]
+_WEIGHTS = "m as (select * from (values " + ", ".join(f"({u}, {x}, {c})" for u, line in enumerate(blocks.MATRIX) for x, c in enumerate(line)) + ") t(u, x, c)), steps as (select i % 8 as u, i // 8 as t, 8 + 3 * (i % 8) + 2 * (i // 8) as q from range(64) r(i))"
+_COEFFICIENTS = f"""{FRAMES}, {_WEIGHTS}, ac as (
+    select doc_id, item_index, y, u, (cast(sum((v - 128) * c) as bigint) + 1024) >> 11 as s from src join m using (x) group by all
+  ), co as (select doc_id, item_index, m.u as t, ac.u as u, (cast(sum(s * c) as bigint) + 16384) >> 15 as s from ac join m on m.x = ac.y group by doc_id, item_index, m.u, ac.u
+  ), quantized as (select doc_id, item_index, t, u, s, q, case when s < 0 then -1 else 1 end * ((abs(s) + 4 * q) // (8 * q)) as k from co join steps using (t, u))"""
+
+
+@query("k24_forward_transform", f"with {_COEFFICIENTS} select doc_id, item_index, {ints('t', 'u', 's as coefficient', 'k as quantized')} from quantized")
+def k24(spark, d):
+    found = blocks.forward(blocks.blocks(fixtures.frames(spark, d)))
+    both = blocks.quantize(found.withColumn("c", F.col("s")), _STEPS)
+    return both.selectExpr("doc_id", "item_index", "posexplode(arrays_zip(c, s)) as (t, r)").selectExpr("doc_id", "item_index", "t", "posexplode(arrays_zip(r.c, r.s)) as (u, z)").selectExpr("doc_id", "item_index", "t", "u", "cast(z.c as int) as coefficient", "cast(z.s as int) as quantized")
+
+
+@query(
+    "k23_inverse_transform",
+    f"""with {_COEFFICIENTS}, dn as (
+      select doc_id, item_index, m.x as y, q.u, (cast(sum(q.k * q.q * c) as bigint) + 1024) >> 11 as s from quantized q join m on m.u = q.t group by doc_id, item_index, m.x, q.u
+    ), fin as (select doc_id, item_index, y, m.x as x, (cast(sum(s * c) as bigint) + 131072) >> 18 as s from dn join m using (u) group by doc_id, item_index, y, m.x)
+    select doc_id, item_index, {ints('x', 'y', 'least(255, greatest(0, s + 128)) as v')} from fin""",
+)
+def k23(spark, d):
+    coded = blocks.quantize(blocks.forward(blocks.blocks(fixtures.frames(spark, d))), _STEPS)
+    return blocks.samples(blocks.inverse(blocks.dequantize(coded, _STEPS))).select("doc_id", "item_index", "x", "y", "v")
+
+
+def _pyramid_sql(levels: int, w: int = 8) -> str:
+    """CTEs ``l0`` to ``l{levels}``, and ``d0`` and so on: what is left of each level."""
+    key = "doc_id, item_index"
+    sql = "l0 as (select doc_id, item_index, x, y, v from src)"
+    for k in range(levels):
+        n = w >> k
+        three = lambda t, c, o: f"select {key}, {c} // 2 as {c}, {o}, (coalesce(lag(v) over p, v) + 2 * v + coalesce(lead(v) over p, v)) // 4 as v, {c} as c from {t} window p as (partition by {key}, {o} order by {c})"
+        two = lambda t, c, o: f"select {key}, {c} * 2 + d as {c}, {o}, case d when 0 then v else (v + n) // 2 end as v from (select *, coalesce(lead(v) over (partition by {key}, {o} order by {c}), v) as n from {t}), (select unnest([0, 1]) as d)"
+        sql += f", h{k} as (select * exclude (c) from ({three(f'l{k}', 'x', 'y')}) where c % 2 = 0), l{k + 1} as (select * exclude (c) from ({three(f'h{k}', 'y', 'x')}) where c % 2 = 0)"
+        sql += f", e{k} as ({two(f'l{k + 1}', 'x', 'y')}), f{k} as ({two(f'e{k}', 'y', 'x')}), d{k} as (select {key}, {k} as level, {n} as w, x, y, l.v - f.v as v from l{k} l join f{k} f using ({key}, x, y))"
+    return sql
+
+
+@query(
+    "k28_pyramid_residuals",
+    f"with {FRAMES}, {_pyramid_sql(2)} select doc_id, item_index, {ints('level', 'w', 'x', 'y', 'v')} from (select * from d0 union all by name select * from d1 union all by name select doc_id, item_index, 2 as level, 2 as w, x, y, v from l2)",
+)
+def k28(spark, d):
+    return pyramid.pyramid(fixtures.frames(spark, d), 2).select("doc_id", "item_index", "level", "w", "x", "y", "v")
+
+
+@query("k28_pyramid_rebuilt", f"with {FRAMES} select doc_id, item_index, {ints('x', 'y', 'v')} from src")
+def k28b(spark, d):
+    return pyramid.rebuilt(pyramid.pyramid(fixtures.frames(spark, d), 2), 2).select("doc_id", "item_index", "x", "y", "v")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CMYK, RGBA
-from ..operators import animation, blocks, codec_steps, color, document, join, palette, pixel, pyramid, resample
+from ..operators import animation, blocks, codec_steps, color, document, join, palette, pixel, pyramid, resample, writeplan
 from ..sources import files, probe
 from ..streaming import frames as streams
 from . import fixtures
@@ -662,6 +662,85 @@ def w11(spark, d):
     return animation.timeline(fixtures.patches(spark, d)).select("doc_id", "item_index", "delay_ms", "start_ms", "end_ms")
 
 
+# Write plans
+
+
+def _write_plan_sql(select: str) -> str:
+    """Frames of whole canvases planned one after the other: a recursive walk over what the screen holds."""
+    inside = "p.x >= {0}.x0 and p.x < {0}.x1 and p.y >= {0}.y0 and p.y < {0}.y1"
+    return f"""with recursive {PATCHES}, cnt as (select doc_id, cast(count(*) as int) as n from frames group by doc_id
+    ), cv as (select doc_id, item_index as k, x, y, r * 65536 + g * 256 + b as rgb from ({SQL["w1_gif_canvases"]}) where a = 255
+    ), pairs as (select doc_id, k, x, y, max(cur) as cur, max(was) as was from (select doc_id, k, x, y, rgb as cur, cast(null as int) as was from cv union all select doc_id, (k + 1) % n, x, y, null, rgb from cv join cnt using (doc_id)) group by all
+    ), er as (select doc_id, (k + n - 1) % n as k, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from pairs join cnt using (doc_id) where cur is null and n > 1 group by doc_id, k, n
+    ), walk as (
+      select c.doc_id, 0 as k, 0 as x0, 0 as y0, 16 as x1, 16 as y1, e.k is not null as clears from cnt c left join er e on e.doc_id = c.doc_id and e.k = 0
+      union all
+      select h.doc_id, h.k, least(h.x0, e.x0), least(h.y0, e.y0), greatest(h.x1, e.x1), greatest(h.y1, e.y1), e.k is not null from (
+        select w.doc_id, w.k + 1 as k, coalesce(min(p.x), 0) as x0, coalesce(min(p.y), 0) as y0, coalesce(max(p.x) + 1, 1) as x1, coalesce(max(p.y) + 1, 1) as y1
+        from walk w join cnt c on c.doc_id = w.doc_id and w.k + 1 < c.n left join pairs p on p.doc_id = w.doc_id and p.k = w.k + 1 and p.cur is distinct from (case when w.clears and {inside.format('w')} then null else p.was end)
+        group by w.doc_id, w.k) h left join er e on e.doc_id = h.doc_id and e.k = h.k
+    ), drawn as (select p.doc_id, p.k, p.x, p.y, p.cur as rgb, p.cur is distinct from (case when p.k = 0 or (b.clears and {inside.format('b')}) then null else p.was end) as painted from pairs p left join walk b on b.doc_id = p.doc_id and b.k = p.k - 1 where p.cur is not null
+    ), col as (select doc_id, k, rgb, min(y * 16 + x) filter (painted) as fresh, min(y * 16 + x) as pos, count(*) filter (painted) as painted from drawn group by all
+    ), shared as (select doc_id, rgb, row_number() over (partition by doc_id order by min(k * 256 + pos)) as idx from col group by doc_id, rgb
+    ), facts as (
+      select c.doc_id, c.n, w.k, w.x0, w.y0, w.x1, w.y1, w.clears, c.n > 1 and coalesce(s.colours, 0) <= 255 as together, coalesce(s.colours, 0) as colours, coalesce(o.fresh, 0) as fresh, coalesce(o.painted, 0) < 256 as masks,
+        case when f.delay_den = 0 then 0 else least(65535, f.delay_num * 100 // f.delay_den) end as delay_cs
+      from cnt c join walk w using (doc_id) join frames f on f.doc_id = w.doc_id and f.item_index = w.k left join (select doc_id, count(*) as colours from shared group by doc_id) s on s.doc_id = c.doc_id
+      left join (select doc_id, k, count(fresh) as fresh, sum(painted) as painted from col group by all) o on o.doc_id = w.doc_id and o.k = w.k
+    ), plan as (select *, case when together then 1 + colours else fresh + cast(masks as int) end as entries, masks or (together and k = 0) as masked, case when n = 1 then 0 when clears then 2 else 1 end as disposal from facts
+    ), own as (select c.doc_id, c.k, c.rgb, row_number() over (partition by c.doc_id, c.k order by c.fresh) - 1 + cast(p.masks as int) as idx from col c join plan p using (doc_id, k) where not p.together and c.fresh is not null)
+    {select}"""
+
+
+def _write_plan(spark, d):
+    f = fixtures.patches(spark, d)
+    shown = animation.canvases_replacing(f, fixtures.patch_pixels(f, True))
+    return writeplan.plan(f, shown)
+
+
+@query(
+    "w12_write_plan",
+    _write_plan_sql(
+        f"""select doc_id, {ints('k as item_index', 'x0 as lft', 'y0 as top', 'x1 - x0 as width', 'y1 - y0 as height', 'disposal', 'delay_cs')}, together as shared_table, {ints('entries', 'greatest(1, length(bin(entries - 1))) - 1 as table_bits', 'greatest(2, length(bin(entries - 1))) as code_size', 'case when masked then 0 end as clear_index')},
+        masked or delay_cs > 0 or disposal > 0 as control from plan"""
+    ),
+)
+def w12(spark, d):
+    return _write_plan(spark, d).frames.drop("background", "error_code")
+
+
+_RGB_OF = "rgb >> 16 as r", "(rgb >> 8) & 255 as g", "rgb & 255 as b"
+
+
+@query(
+    "w12_colour_tables",
+    _write_plan_sql(
+        f"""select doc_id, cast(item_index as int) as item_index, {ints('idx', *_RGB_OF)} from (
+          select doc_id, null as item_index, idx, rgb from shared join (select distinct doc_id from plan where together) using (doc_id) union all select distinct doc_id, null, 0, 0 from plan where together
+          union all select doc_id, k, idx, rgb from own union all select doc_id, k, 0, 0 from plan where not together and masks)"""
+    ),
+)
+def w12_tables(spark, d):
+    return _write_plan(spark, d).tables
+
+
+@query(
+    "w12_patches",
+    _write_plan_sql(
+        f"""select doc_id, {ints('k as item_index', 'x', 'y', 'coalesce(o.idx, s.idx) as idx', *_RGB_OF)} from (select * from drawn where painted) d join plan p using (doc_id, k)
+        left join own o using (doc_id, k, rgb) left join shared s using (doc_id, rgb)"""
+    ),
+)
+def w12_patches(spark, d):
+    return _write_plan(spark, d).patches
+
+
+@query("w12_replayed", f"select * from ({SQL['w1_gif_canvases']}) where a > 0")
+def w12_replayed(spark, d):
+    made = _write_plan(spark, d)
+    return animation.canvases_replacing(made.frames, made.patches.withColumn("a", F.lit(255))).filter("a > 0")
+
+
 # Codec steps
 
 

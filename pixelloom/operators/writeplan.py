@@ -4,11 +4,11 @@ Frames are whole canvases; what is stored is a patch over the screen that the fr
 already is masked by the transparent index. Painting cannot erase: where the next frame is clear and this one is not, this one is
 disposed of by clearing its rectangle, which is grown for that. So a rectangle depends on the one before it, but only where
 that one clears: ``E(k) = drawn(k) + erased(k + 1) + extent of the opaque pixels of k inside E(k - 1)``.
-The first two are aggregates of pixels. The third is settled by rounds: each looks again only at frames whose predecessor's rectangle
-has changed, over rows of packed opaque pixels, and the last one changes nothing. A round fixes at least the next frame of every chain, so
-what is left is exact; there are at most as many rounds as frames clear in a row.
+The first two are aggregates of pixels. The third is a fold over rows of packed opaque pixels for documents of up to ``LOCAL`` of them. Beyond, it
+is settled by rounds: each looks again only at frames whose predecessor's rectangle has changed, and the last one changes nothing. A round
+fixes at least the next frame of every chain, so what is left is exact; there are at most as many rounds as frames clear in a row.
 
-No group of a document's pixels is ever in one task: pixels meet by document, frame and place, and colours are counted before they are shuffled.
+No other group of a document's pixels is ever in one task: pixels meet by document, frame and place, and colours are counted before they are shuffled.
 
 Defined cases: pixels that are not listed, or have a null alpha, are clear, null channels are 0, pixels beyond the canvas or of unknown
 frames are left out, and of repeated ones the largest colour counts. A document is refused with UNSUPPORTED, its frames kept with null
@@ -27,6 +27,10 @@ from .mediancut import settled
 
 #: Entries of a table, and the largest side of a canvas.
 ENTRIES, SIDE = 256, 65535
+#: Stands for the colour of a pixel that is refused; larger than any.
+REFUSED = 1 << 24
+#: Opaque pixels, and 16 for each frame, of a document that one task folds (some MB).
+LOCAL = 1 << 18
 BOX = ["x0", "y0", "x1", "y1"]
 KEY = ["doc_id", "k"]
 
@@ -67,17 +71,35 @@ def numbered(frames: DataFrame) -> DataFrame:
 
 
 def _pairs(frames: DataFrame, pixels: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Pixels of a frame beside those of the frame before it (of the last, before the first), and documents with refused pixels."""
+    """Pixels of a frame beside those of the frame before it (of the last, before the first), and documents with refused pixels, whose colour is ``REFUSED``."""
     px = pixels.select("doc_id", "item_index", "x", "y", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "rgba"])
     px = px.join(frames.filter("not refused").select("doc_id", "item_index", "k", "n", "cw", "ch"), ["doc_id", "item_index"]).filter("x >= 0 and y >= 0 and x < cw and y < ch")
-    refused = px.filter("a > 0 and a < 255").select("doc_id").distinct() if threshold == 0 else px.select("doc_id").limit(0)
-    shown = px.filter(F.expr(f"a = 255 or (a > 0 and a >= {threshold})")).select("doc_id", "k", "n", "x", "y", F.expr("shiftleft(r, 16) + shiftleft(g, 8) + b").alias("rgb"))
+    colour = F.expr(f"if({threshold} = 0 and a < 255, {REFUSED}, shiftleft(r, 16) + shiftleft(g, 8) + b)")
+    shown = px.filter(F.expr(f"a = 255 or (a > 0 and a >= {threshold})")).select("doc_id", "k", "n", "x", "y", colour.alias("rgb"))
     nothing = F.lit(None).cast("int")
     both = shown.select("doc_id", "k", "x", "y", F.col("rgb").alias("cur"), nothing.alias("was")).union(shown.select("doc_id", F.expr("(k + 1) % n").alias("k"), "x", "y", nothing, "rgb"))
-    return both.groupBy("doc_id", "k", "x", "y").agg(F.max("cur").alias("cur"), F.max("was").alias("was")), refused
+    pairs = settled(both.groupBy("doc_id", "k", "x", "y").agg(F.max("cur").alias("cur"), F.max("was").alias("was")))
+    return pairs, pairs.filter(F.col("cur") == REFUSED).select("doc_id").distinct()
 
 
-def rectangles(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+_KIND = f"struct<{','.join(f'{c}:int' for c in BOX)}>"
+_LEAST = "coalesce({}, named_struct('x0', 0, 'y0', 0, 'x1', 1, 'y1', 1))"
+
+
+def _folded(state: DataFrame, opaque: DataFrame) -> DataFrame:
+    """``doc_id, k, e`` of whole documents, frame after frame in one expression."""
+    rows = opaque.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("y", "xs"))).alias("rows"))
+    lists = state.join(rows, KEY, "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "follows", "drawn", "erased", "rows"))).alias("f"))
+    inside = "filter(transform(filter(s.rows, r -> r.y >= acc.p.y0 and r.y < acc.p.y1), r -> named_struct('y', r.y, 'xs', filter(r.xs, x -> x >= acc.p.x0 and x < acc.p.x1))), r -> size(r.xs) > 0)"
+    around = "if(size(q) > 0, named_struct('x0', array_min(transform(q, r -> r.xs[0])), 'y0', q[0].y, 'x1', array_max(transform(q, r -> element_at(r.xs, -1))) + 1, 'y1', element_at(q, -1).y + 1), null)"
+    met = f"cast(if(s.follows and s.rows is not null, transform(array({inside}), q -> {around})[0], null) as {_KIND})"
+    held = _LEAST.format(_joined("s.drawn", "m"))
+    step = f"transform(transform(transform(array({met}), m -> {held}), held -> cast({_joined('held', 's.erased')} as {_KIND})), e -> named_struct('p', e, 'out', concat(acc.out, array(named_struct('k', s.k, 'e', e)))))[0]"
+    fold = f"aggregate(f, named_struct('p', cast(null as {_KIND}), 'out', cast(array() as array<struct<k:int,e:{_KIND}>>)), (acc, s) -> {step}, acc -> acc.out)"
+    return lists.select("doc_id", F.explode(F.expr(fold)).alias("o")).select("doc_id", "o.k", "o.e")
+
+
+def rectangles(frames: DataFrame, pairs: DataFrame, local: int = LOCAL) -> DataFrame:
     """``doc_id, k, follows, clears, e``: each frame's rectangle, whether it clears it, and whether the one before it does."""
     found = pairs.groupBy(*KEY).agg(_extent("cur is null and was is not null", "erased"), _extent("cur is not null and not cur <=> was", "drawn"))
     boxes = frames.select(*KEY, "n", "cw", "ch").join(found, KEY, "left")
@@ -85,31 +107,34 @@ def rectangles(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     boxes = boxes.drop("erased").join(due.select("doc_id", F.expr("(k + n - 1) % n").alias("k"), "erased"), KEY, "left")
     boxes = boxes.join(due.select(*KEY, F.expr("k > 0").alias("follows")), KEY, "left").withColumn("follows", F.coalesce("follows", F.lit(False)))
     boxes = boxes.withColumn("drawn", F.expr("if(k = 0, named_struct('x0', 0, 'y0', 0, 'x1', cast(cw as int), 'y1', cast(ch as int)), drawn)"))
-    least = "coalesce({}, named_struct('x0', 0, 'y0', 0, 'x1', 1, 'y1', 1))"
-    boxes = boxes.withColumn("held", F.expr(least.format("drawn"))).withColumn("e", F.expr(_joined("held", "erased")))
+    boxes = boxes.withColumn("held", F.expr(_LEAST.format("drawn"))).withColumn("e", F.expr(_joined("held", "erased")))
     state = settled(boxes.select(*KEY, "follows", "drawn", "erased", "e", F.lit(True).alias("moved")))
     needed = state.filter("follows").select(*KEY)
     opaque = settled(pairs.filter("cur is not null").join(needed, KEY).groupBy(*KEY, "y").agg(F.array_sort(F.collect_list("x")).alias("xs")))
-    while not state.filter("moved and erased is not null").isEmpty():
+    sized = opaque.groupBy("doc_id").agg(F.sum(F.size("xs")).alias("most")).unionByName(state.groupBy("doc_id").agg((F.count("*") * 16).alias("most")))
+    small = state.filter("follows").select("doc_id").distinct().join(sized.groupBy("doc_id").agg(F.sum("most").alias("most")).filter(F.col("most") <= local), "doc_id").select("doc_id")
+    done = _folded(state.join(small, "doc_id"), opaque.join(small, "doc_id", "left_semi")).withColumnRenamed("e", "f")
+    state = settled(state.join(done, KEY, "left").select(*KEY, "follows", "drawn", "erased", F.coalesce("f", "e").alias("e"), F.col("f").isNull().alias("moved")))
+    needed = state.filter("follows and moved").select(*KEY)
+    while not state.filter("moved and erased is not null").join(needed.select("doc_id", (F.col("k") - 1).alias("k")), KEY, "left_semi").isEmpty():
         before = state.filter("moved and erased is not null").select("doc_id", (F.col("k") + 1).alias("k"), F.col("e").alias("p"))
         again = before.join(needed, KEY)
         inside = opaque.join(again, KEY).filter("y >= p.y0 and y < p.y1").select(*KEY, "y", F.expr("filter(xs, x -> x >= p.x0 and x < p.x1)").alias("xs")).filter("size(xs) > 0")
         met = inside.groupBy(*KEY).agg(F.struct(F.min(F.element_at("xs", 1)).alias("x0"), F.min("y").alias("y0"), (F.max(F.element_at("xs", -1)) + 1).alias("x1"), (F.max("y") + 1).alias("y1")).alias("met"))
         new = state.join(again.select(*KEY, F.lit(True).alias("again")), KEY, "left").join(met, KEY, "left")
-        new = new.withColumn("held", F.expr(least.format(_joined("drawn", "met")))).withColumn("f", F.expr(f"if(again, {_joined('held', 'erased')}, e)"))
+        new = new.withColumn("held", F.expr(_LEAST.format(_joined("drawn", "met")))).withColumn("f", F.expr(f"if(again, {_joined('held', 'erased')}, e)"))
         state = settled(new.select(*KEY, "follows", "drawn", "erased", F.col("f").alias("e"), F.expr("not f <=> e").alias("moved")))
     return state.select(*KEY, "follows", F.col("erased").isNotNull().alias("clears"), "e")
 
 
-def plan(frames: DataFrame, pixels: DataFrame, threshold: int = 0) -> Plan:
+def plan(frames: DataFrame, pixels: DataFrame, threshold: int = 0, local: int = LOCAL) -> Plan:
     """The plan of ``frames (doc_id, item_index, cw, ch, delay_num, delay_den[, background])`` of the canvases ``pixels (doc_id, item_index, x, y, r, g, b, a)``.
 
     ``threshold`` is the alpha from which a pixel counts as opaque; 0 refuses alpha between. ``background`` is a packed colour, null for none.
     """
     frames = settled(numbered(frames))
     pairs, refused = _pairs(frames, pixels, threshold)
-    pairs = settled(pairs)
-    rects = rectangles(frames, pairs)
+    rects = rectangles(frames, pairs, local)
     before = rects.filter("follows").select(*KEY).join(rects.select("doc_id", (F.col("k") + 1).alias("k"), F.col("e").alias("p")), KEY)
     drawn = pairs.filter("cur is not null").join(before, KEY, "left")
     shown = F.expr("if(k = 0 or (p is not null and x >= p.x0 and x < p.x1 and y >= p.y0 and y < p.y1), null, was)")
@@ -124,9 +149,9 @@ def plan(frames: DataFrame, pixels: DataFrame, threshold: int = 0) -> Plan:
     own = colours.groupBy(*KEY).agg(F.count("fresh").cast("int").alias("fresh"), F.count("*").cast("int").alias("all"), F.sum("painted").alias("painted"), F.sum("pixels").alias("pixels"))
     facts = frames.join(rects, KEY, "left").join(own, KEY, "left").join(fits, "doc_id", "left").join(refused.withColumn("bad", F.lit(True)), "doc_id", "left").na.fill(0, ["fresh", "all", "painted", "pixels"])
     cells = "cast(cw as bigint) * ch"
-    facts = facts.withColumn("mode", F.expr(
+    facts = settled(facts.withColumn("mode", F.expr(
         f"case when refused or bad then 'REFUSED' when shared is not null then 'GLOBAL' when fresh + if(painted < {cells}, 1, 0) <= {ENTRIES} then 'LOCAL' when all + if(pixels < {cells}, 1, 0) <= {ENTRIES} then 'WHOLE' else 'REFUSED' end"
-    ))
+    )))
     lost = facts.filter("mode = 'REFUSED'").select("doc_id").distinct().withColumn("lost", F.lit(True))
     facts = facts.join(lost, "doc_id", "left").withColumn("mode", F.expr("if(lost, 'REFUSED', mode)"))
     behind = facts.filter("mode = 'GLOBAL' and k = 0").select("doc_id", F.col("background").alias("rgb"))

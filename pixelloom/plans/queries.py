@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CMYK, RGBA
-from ..operators import animation, blocks, codec_steps, color, document, join, palette, pixel, pyramid, resample, writeplan
+from ..operators import animation, blocks, codec_steps, color, document, join, palette, pixel, prefixcode, pyramid, resample, writeplan
 from ..sources import files, probe
 from ..streaming import frames as streams
 from . import fixtures
@@ -997,3 +997,33 @@ def k28(spark, d):
 @query("k28_pyramid_rebuilt", f"with {FRAMES} select doc_id, item_index, {ints('x', 'y', 'v')} from src")
 def k28b(spark, d):
     return pyramid.rebuilt(pyramid.pyramid(fixtures.frames(spark, d), 2), 2).select("doc_id", "item_index", "x", "y", "v")
+
+
+# Prefix codes
+
+
+def _codes_sql(by: str, symbols: str, limit: int, reserved: bool) -> str:
+    """Packages merged level by level over lists, in DuckDB."""
+    on = " and ".join(f"a.{b} = b.{b}" for b in by.split(", "))
+    return f"""with recursive {symbols}, h as (select {by}, symbol, count(*) as n from symbols group by all
+    ), g as (select {by}, {'list_prepend(0, list(n order by n, symbol))' if reserved else 'list(n order by n, symbol)'} as ws from h group by {by}
+    ), lv as (
+      select {by}, 1 as l, list_transform(ws, lambda w: {{'w': w, 'p': 0}}) as items, list_transform(ws, lambda w: {{'w': w, 'p': 0}}) as leaves from g
+      union all select {by}, l + 1, list_sort(list_concat(leaves, list_transform(range(len(items) // 2), lambda i: {{'w': items[2 * i + 1].w + items[2 * i + 2].w, 'p': 1}}))), leaves from lv where l < {limit}
+    ), paid as (
+      select {by}, l, 2 * len(leaves) - 2 as m, len(list_filter(items[1:2 * len(leaves) - 2], lambda i: i.p = 0)) as c from lv where l = {limit}
+      union all select {', '.join(f'b.{b}' for b in by.split(', '))}, b.l, 2 * (a.m - a.c), len(list_filter(b.items[1:2 * (a.m - a.c)], lambda i: i.p = 0)) from paid a join lv b on {on} and b.l = a.l - 1
+    ), ranked as (select *, row_number() over (partition by {by} order by n, symbol) - {0 if reserved else 1} as rank, count(*) over (partition by {by}) as codes from h
+    ), sized as (select {', '.join(f'a.{b}' for b in by.split(', '))}, a.symbol, a.n, case when a.codes = 1 and not {reserved} then 1 else count(*) filter (b.c > a.rank) end as length from ranked a join paid b on {on} group by {', '.join(f'a.{b}' for b in by.split(', '))}, a.symbol, a.n, a.codes)
+    select {by}, symbol, n, cast(length as int) as length, cast(coalesce(sum(1::bigint << ({limit} - length)) over (partition by {by} order by length, symbol rows between unbounded preceding and 1 preceding), 0) as bigint) >> ({limit} - length) as code from sized"""
+
+
+@query("a13_prefix_codes", _codes_sql("doc_id", f"{FRAMES}, {_NEIGHBOURS}, symbols as (select doc_id, cast(((v - lf) % 256 + 256) % 256 as int) as symbol from nb)", 16, True))
+def a13(spark, d):
+    differences = codec_steps.png_residuals(fixtures.frames(spark, d)).select("doc_id", F.col("f1").cast("int").alias("symbol"))
+    return prefixcode.prefix_codes(prefixcode.counted(differences, ["doc_id"]), ["doc_id"], 16, reserved=True)
+
+
+@query("a13_limited_codes", _codes_sql("doc_id, item_index", f"{FRAMES}, symbols as (select doc_id, item_index, v as symbol from src)", 6, False))
+def a13b(spark, d):
+    return prefixcode.prefix_codes(prefixcode.counted(fixtures.frames(spark, d), ["doc_id", "item_index"], "v"), ["doc_id", "item_index"], 6)

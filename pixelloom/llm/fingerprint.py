@@ -14,8 +14,8 @@ than ``k`` characters are hashed as one run. Minima of windows are found in log2
 A hash and its position are one long, ``hash * 2^31 + (2^31 - 1 - position)``, whose minimum is the
 smallest hash at the rightmost place.
 
-Defined cases: null, empty and wordless texts have an empty fingerprint, and two empty fingerprints
-are alike (1), an empty and another one are not (0); the next document is that of the next larger
+Defined cases: null and empty texts have an empty fingerprint, and two empty fingerprints are alike (1), an empty and
+another one are not (0); white space counts as any other character; the next document is that of the next larger
 (id, text hash), nulls first, and after the last comes the first, so a single document is followed by
 itself; rows that repeat an id and its text have the same neighbours; a very long text is fingerprinted
 whole, in memory in proportion to it; extra columns are ignored.
@@ -63,12 +63,12 @@ def _runs(codes: Column, k: int) -> Column:
 
 
 def grams(text: Column, k: int) -> Column:
-    """Packed (hash, position) of every run of ``k`` code points; of a shorter text one; none of a wordless one."""
+    """Packed (hash, position) of every run of ``k`` code points; of a shorter text one; none of an empty one."""
     codes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(PRIME).cast("long")))  # by code point
     whole = lambda c: F.array(F.aggregate(c, F.lit(0).cast("long"), lambda h, x: _joined(h, x, 1)))
     hashed = let(codes, lambda c: F.when(F.size(c) >= k, _runs(c, k)).otherwise(whole(c)))
     packed = F.transform(hashed, lambda h, i: h * (1 << 31) + (F.lit(HALF).cast("long") - i))
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), packed).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(text) > 0, packed).otherwise(F.array().cast("array<bigint>"))
 
 
 def window(of: Column, w: int) -> Column:

@@ -141,8 +141,7 @@ def test_word_hashes_tell_words_apart():
 
 
 def brute_winnow(text, k=8, w=32, few=4):
-    text = text or ""
-    if not re.search(r"[^\x20\x09-\x0D]", text):
+    if not text:
         return []
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text]
     hashes = []
@@ -191,6 +190,19 @@ def test_fingerprints(spark, rows):
     assert all(got[i].near_edited > 0 for i, t in rows if t and len(t) > 11 and t.strip()) and 0.3 < got[6000].near_edited < 1
 
 
+def test_white_space_is_fingerprinted(spark):
+    rng = random.Random(12)
+    words = prose(rng, 120)
+    rows = [(1, "   "), (2, "\n\n\n\n"), (3, ""), (4, None), (5, " " * 400), (6, "\t" * 400), (7, words + " " * len(words)), (8, " " * 900), (9, "  x")]
+    got = {r.id: r for r in fingerprint.compare_with_edits(frame(spark, rows)).withColumn("p", fingerprint.printed(F.col("packed"))).withColumn("q", fingerprint.printed(F.col("packed_edited"))).collect()}
+    for n, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(n + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert (got[i].p, got[i].q) == (show(brute_winnow(t)), show(brute_winnow(edited))), i
+    assert got[1].near_next == got[2].near_next == got[5].near_next == 0 and got[3].near_next == 1
+    assert got[7].edited[len(words) * 2 - len(words) // 2 :].isspace() and got[7].near_edited > 0.9  # only white space is hashed again
+
+
 def test_fingerprints_of_repeated_rows_and_nothing(spark):
     rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z"), (None, "q")]
     got = Counter((r.id, r.edited) for r in fingerprint.compare_with_edits(frame(spark, rows)).collect())

@@ -38,14 +38,22 @@ HALF = (1 << 31) - 1
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """``use(value)`` with ``value`` computed once: the start of a fold over nothing. Elements that ``F.transform`` makes would be copied, arrays whole."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda start, _: start, use)
 
 
-def _shifted(a: Column, by: Column | int) -> tuple[Column, Column]:
-    """``a`` without its last and without its first ``by`` elements."""
-    n = F.greatest(F.size(a) - by, F.lit(0))
-    return F.slice(a, F.lit(1), n), F.slice(a, F.lit(1) + by, n)
+def _with_earlier(a: Column, by: Column | int, last: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of the element of ``a`` that stands ``by`` earlier, null before the first, and of that of ``last`` at each place.
+
+    Nulls are put in front in one copy of references; slices would go through both arrays element by element. Nothing is cut off either: what
+    comes of the first ``by`` places, and of ``by`` more than there were at the end, counts for nothing, and ``_whole`` leaves it out at last.
+    """
+    return F.zip_with(F.concat(F.array_repeat(F.lit(None).cast("long"), by), a), last, use)
+
+
+def _whole(a: Column, n: Column | int, size: Column) -> Column:
+    """What came of all runs of ``n`` of ``size`` elements; in ``a`` it stands at the last place of each run."""
+    return F.slice(a, F.lit(n) if isinstance(n, int) else n, F.greatest(size - n + 1, F.lit(0)))
 
 
 def _joined(left: Column, right: Column, n: int) -> Column:
@@ -54,20 +62,21 @@ def _joined(left: Column, right: Column, n: int) -> Column:
 
 
 def _runs(codes: Column, k: int) -> Column:
-    """Hashes of all runs of ``k`` characters; empty for shorter texts."""
+    """Hashes of all runs of ``k`` characters at the place of their last one."""
     if k == 1:
         return codes
     if k % 2:
-        return let(_runs(codes, k - 1), lambda h: F.zip_with(_shifted(h, 1)[0], F.slice(codes, k, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, y: _joined(x, y, 1)))
-    return let(_runs(codes, k // 2), lambda h: F.zip_with(*_shifted(h, k // 2), lambda x, y: _joined(x, y, k // 2)))
+        return _with_earlier(_runs(codes, k - 1), 1, codes, lambda x, y: _joined(x, y, 1))
+    return let(_runs(codes, k // 2), lambda h: _with_earlier(h, k // 2, h, lambda x, y: _joined(x, y, k // 2)))
 
 
 def grams(text: Column, k: int) -> Column:
     """Packed (hash, position) of every run of ``k`` code points; of a shorter text one; none of an empty one."""
     codes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(PRIME).cast("long")))  # by code point
     whole = lambda c: F.array(F.aggregate(c, F.lit(0).cast("long"), lambda h, x: _joined(h, x, 1)))
-    hashed = let(codes, lambda c: F.when(F.size(c) >= k, _runs(c, k)).otherwise(whole(c)))
-    packed = F.transform(hashed, lambda h, i: h * (1 << 31) + (F.lit(HALF).cast("long") - i))
+    hashed = let(codes, lambda c: F.when(F.size(c) >= k, _whole(_runs(c, k), k, F.size(c))).otherwise(whole(c)))
+    places = lambda h: F.sequence(F.lit(HALF).cast("long"), F.lit(HALF + 1).cast("long") - F.size(h), F.lit(-1).cast("long"))
+    packed = let(hashed, lambda h: F.zip_with(h, places(h), lambda x, low: F.shiftleft(x, 31).bitwiseOR(low)))
     return F.when(F.length(text) > 0, packed).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -80,7 +89,7 @@ def minima(packed: Column, n: Column, most: int) -> Column:
     """The distinct minima of all windows of ``n`` elements, ``n`` at most ``most`` and the number of elements."""
 
     def twice(size: int) -> Callable[[Column], Column]:
-        return lambda a: F.when(n >= 2 * size, F.zip_with(*_shifted(a, size), lambda x, y: F.least(x, y))).otherwise(a)
+        return lambda a: F.when(n >= 2 * size, _with_earlier(a, size, a, lambda x, y: F.when(x < y, x).otherwise(y))).otherwise(a)
 
     width, least = F.lit(1), packed
     size = 1
@@ -89,8 +98,8 @@ def minima(packed: Column, n: Column, most: int) -> Column:
         size *= 2
         width = F.when(n >= size, F.lit(size)).otherwise(width)
     # Two overlapping windows of a power of two make one of any length.
-    last = lambda a: F.when(n > width, F.zip_with(*_shifted(a, n - width), lambda x, y: F.least(x, y))).otherwise(a)
-    return F.array_distinct(let(least, last))
+    last = lambda a: F.when(n > width, _with_earlier(a, n - width, a, lambda x, y: F.when(x < y, x).otherwise(y))).otherwise(a)
+    return F.array_distinct(_whole(let(least, last), n, F.size(packed)))
 
 
 def winnowed(packed: Column, n: Column, most: int) -> Column:

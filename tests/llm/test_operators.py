@@ -203,6 +203,12 @@ def test_white_space_is_fingerprinted(spark):
     assert got[7].edited[len(words) * 2 - len(words) // 2 :].isspace() and got[7].near_edited > 0.9  # only white space is hashed again
 
 
+def test_passes_of_a_fingerprint_neither_cut_nor_copy_arrays(spark):
+    # One slice where hashes are whole and one where minima are; passes over all places are zips (three of hashes, one of places, six of minima), and what is computed once is no element of an array.
+    shown = str(fingerprint.fingerprint(F.col("text")))
+    assert shown.count("slice(") == 2 and "element_at(" not in shown and shown.count("zip_with(") == 10
+
+
 def test_fingerprints_of_repeated_rows_and_nothing(spark):
     rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z"), (None, "q")]
     got = Counter((r.id, r.edited) for r in fingerprint.compare_with_edits(frame(spark, rows)).collect())

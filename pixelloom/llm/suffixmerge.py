@@ -1,19 +1,21 @@
-"""Substring dedup over bytes: repeated strings found by merging Burrows-Wheeler transforms of shards.
+"""Substring dedup over bytes: repeated strings found by sorting suffixes, and merging Burrows-Wheeler transforms of shards.
 
 A byte goes if a string of ``n`` bytes that covers it also starts earlier, in a row of smaller id or earlier in the same row.
 
 1. The anchor of a string of ``n`` bytes is the smallest hash of its ``m``-byte substrings. Equal strings have equal anchors, and
    neighbouring strings mostly share one, so a document falls into runs of strings of one anchor. Anchors are counted in
    the merged count-min sketch of ``substring``; runs of anchors that occur once are left out, which loses no repeat.
-2. A shard is what a few documents have. It sorts the suffixes of its runs once, by doubling. Strings that it has twice
-   show as neighbours there and are settled at once, as are whole runs that its task has met before; of runs that have a first occurrence left it hands on the Burrows-Wheeler
-   transform, one for each bucket of anchors. So a passage that very many documents share leaves a shard about once.
-3. A bucket merges the transforms of its shards. It starts from all suffixes in one block and refines the interleaving ``STEP``
-   characters at a time: a row goes to the place of the suffix that is so much longer (LF mapping), in the order of
-   the characters put in front (numbered once for all rows) and then of the rows before, so each shard's own order is kept and no suffix is sorted again.
-   Rows stay in a block while their suffixes have equal prefixes; the round in which neighbours part is their
-   common prefix. Blocks with rows of one shard only never find a partner and are dropped. What is left at ``n`` are the repeated
-   intervals, byte for byte; all but the first of each are repeated.
+2. A task keeps the runs that it has met. Whole runs that it meets again are settled at once, byte by byte; the others are handed
+   on as they are, to buckets by their anchor. So a passage that very many documents share leaves a task about once.
+3. A bucket settles whole runs in the same way. What is left to compare are runs of one anchor that differ, as at the edges
+   of a passage or next to an edit, and runs that have their anchor twice. Only their suffixes are sorted, by doubling, ``SHARD`` bytes at
+   a time with the runs of an anchor together; strings of ``n`` bytes that repeat are neighbours there.
+4. Runs of one anchor that are more than a few shards are sorted in several, and the Burrows-Wheeler transforms of these are merged. That starts
+   from all suffixes in one block and refines the interleaving ``STEP`` characters at a time: a row goes to the place of the suffix that is
+   so much longer (LF mapping), in the order of the characters put in front (numbered once for all rows) and then of the rows before, so each
+   shard's own order is kept and no suffix is sorted again. Rows stay in a block while their suffixes have equal prefixes; the
+   round in which neighbours part is their common prefix. Blocks with rows of one shard only never find a partner and are dropped. What
+   is left at ``n`` are the repeated intervals, byte for byte; all but the first of each are repeated.
 
 Buckets of more than ``most`` bytes, as when one anchor is in a third of all documents next to ever different text, are
 taken apart: their strings are dealt out one by one to buckets by a hash of the whole string.
@@ -40,8 +42,10 @@ from .common import cut, sized
 from .substring import MAX_BITS, NULL_ID, Hasher, cells, chunks, keyed, merged_runs, sketch, whole_copies
 
 U = np.uint64
-#: Bytes of texts looked at together, of strings a shard, of text a bucket, and of transforms of a bucket that is taken apart.
-CHUNK, SHARD, BUCKET, MOST = 1 << 20, 3 << 18, 1 << 20, 24 << 20
+#: Bytes of texts looked at together, of strings a shard, of text a bucket, and of strings of a bucket that is taken apart.
+CHUNK, SHARD, BUCKET, MOST = 1 << 20, 1 << 18, 1 << 21, 24 << 20
+#: Strings of a bucket taken apart that are dealt out together.
+DEALT = 1 << 16
 #: Bytes and strings that a task remembers.
 POOL, SEEN = 32 << 20, 1 << 19
 #: Characters by which the interleaving is refined at a time, at most.
@@ -73,6 +77,15 @@ def hashes(data: np.ndarray, m: int) -> np.ndarray:
     return h
 
 
+def whole_hashes(h: np.ndarray, start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each string ``start``, ``length`` (``n`` bytes at least, those of a run at most) from the ``hashes`` of pieces that cover it."""
+    m = anchor_bytes(n)
+    own = length.astype(U)
+    for k in range(0, int(length.max(initial=0)), m):
+        own = np.where(k < length, Hasher.mix(own, k) + h[start + np.minimum(k, length - m)], own)
+    return own
+
+
 def sliding(x: np.ndarray, w: int, of: Callable) -> np.ndarray:
     """Minima or maxima of each ``w`` values in a row."""
     span = 1
@@ -95,6 +108,23 @@ def anchors(data: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np
     return h, least, np.cumsum(ends[: len(least)]) == 0
 
 
+def runs(data: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all places; first place, count of strings of ``n`` bytes and anchor of each run of strings of one anchor in one text,
+    none longer than a window of places."""
+    h, least, whole = anchors(data, begin, n)
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+    new[begin[begin < len(least)]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(least)))
+    some = whole[start]
+    start, count, anchor = start[some], count[some], least[start[some]]
+    w = n - anchor_bytes(n) + 1
+    pieces = -(-count // w)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return h, np.repeat(start, pieces) + nth * w, np.minimum(np.repeat(count, pieces) - nth * w, w), np.repeat(anchor, pieces)
+
+
 def anchor_places(n: int) -> Callable:
     """Two hashes of each place whose hash is the anchor of a string over it, as ``sketch`` counts them."""
 
@@ -191,78 +221,143 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
 
 
+def same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``a[at:at + length]`` and ``b[bt:bt + length]`` are equal, eight bytes at a time."""
+    out = np.ones(len(at), bool)
+    if not len(at):
+        return out
+    x, y = eights(a), eights(b)
+    for k in range(0, int(length.max()), 8):
+        k = np.minimum(k, length - 8)
+        out &= x[at + k] == y[bt + k]
+    return out
+
+
+def joined(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> bytes:
+    """Strings one after the other."""
+    view = memoryview(data)
+    return b"".join([view[a:b] for a, b in zip(begin.tolist(), (begin + length).tolist())])
+
+
+def repeated(data: np.ndarray, hashed: np.ndarray, begin: np.ndarray, length: np.ndarray, key: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings those that are equal to the first with their hash, apart from that one; and whether they stand elsewhere."""
+    by = np.argsort(hashed)
+    equal = hashed[by][1:] == hashed[by][:-1]
+    some = by[np.append(equal, False) | np.append(False, equal)] if len(by) else by
+    some = some[np.lexsort((first[some], text[some], key[some], hashed[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = hashed[some][1:] != hashed[some][:-1]
+    head = some[new][np.cumsum(new) - 1]
+    pair = ~new & (length[some] == length[head])
+    some, head = some[pair], head[pair]
+    equal = same(data, begin[some], data, begin[head], length[some])
+    some, head = some[equal], head[equal]
+    return some, (key[some] != key[head]) | (text[some] != text[head]) | (first[some] != first[head])
+
+
 class Strings:
-    """Strings that a task has seen, so that whole copies of them are settled without sorting; compared byte by byte.
+    """Strings that a task has seen, so that whole copies of them are settled at once; compared byte by byte.
 
-    They are held in a pool of bytes, which is also what shards are made from; a full pool is emptied.
+    They are held in a pool of bytes, from which they are handed on; a full pool is emptied.
     """
 
     def __init__(self) -> None:
         self.pool = np.zeros(POOL, np.uint8)
         self.table = np.zeros((6, SEEN), np.int64)  # hash, place in the pool, length, key, text hash, place in the text
-        self.used, self.pending, self.size = 0, [], 0
-
-    @staticmethod
-    def same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: np.ndarray) -> np.ndarray:
-        out = np.ones(len(at), bool)
-        x, y = eights(a), eights(b)
-        for k in range(0, int(length.max(initial=0)), 8):
-            k = np.minimum(k, length - 8)
-            out &= x[at + k] == y[bt + k]
-        return out
+        self.used, self.pending = 0, []
 
     def add(self, data: np.ndarray, hashed: np.ndarray, strings: np.ndarray) -> np.ndarray:
-        """``strings`` has rows of place in ``data``, length, bucket, key, text hash and place in the text; which repeat as a whole.
+        """``strings`` has rows of place in ``data``, length, anchor, key, text hash and place in the text; which repeat as a whole.
 
-        The others, all those that are earlier than what they equal among them, are kept for the next shard. ``hashed`` has a hash of each.
+        The others, all those that are earlier than what they equal among them, are kept to be handed on. ``hashed`` has a hash of each.
         """
         at, length, _, key, text, first = strings
-        by = np.lexsort((first, text, key, hashed))
-        new = np.ones(len(by), bool)
-        new[1:] = hashed[by][1:] != hashed[by][:-1]
-        head = np.empty(len(by), np.int64)
-        head[by] = by[new][np.cumsum(new) - 1]
-        again = (length == length[head]) & ((key != key[head]) | (text != text[head]) | (first != first[head]))
-        some = np.flatnonzero(again)
-        again[some] = self.same(data, at[some], data, at[head[some]], length[some])
+        fresh = np.ones(len(at), bool)
+        again = np.zeros(len(at), bool)
+        some, elsewhere = repeated(data, hashed, at, length, key, text, first)
+        fresh[some] = False
+        again[some] = elsewhere
         slot = hashed & (SEEN - 1)
-        h, place, size, k, t, f = self.table[:, slot]
-        earlier = (k < key) | (k == key) & ((t < text) | (t == text) & (f < first))
-        some = np.flatnonzero(~again & (h == hashed) & (size == length) & earlier)
-        again[some] = self.same(data, at[some], self.pool, place[some], length[some])
-        fresh = np.flatnonzero(~again)
-        total = int(length[fresh].sum())
-        if self.used + total + 8 > len(self.pool):
+        some = np.flatnonzero(fresh & (self.table[0][slot] == hashed))
+        _, place, size, k, t, f = self.table[:, slot[some]]
+        earlier = (k < key[some]) | (k == key[some]) & ((t < text[some]) | (t == text[some]) & (f < first[some]))
+        earlier &= size == length[some]
+        some, place = some[earlier], place[earlier]
+        some = some[same(data, at[some], self.pool, place, length[some])]
+        fresh[some] = False
+        again[some] = True
+        fresh = np.flatnonzero(fresh)
+        own = np.frombuffer(joined(data, at[fresh], length[fresh]), np.uint8)
+        if self.used + len(own) + 8 > len(self.pool):
             self.table[:] = 0
             self.used = 0
-            if total + 8 > len(self.pool):
-                self.pool = np.zeros(total + 8, np.uint8)
-        place = self.used + np.cumsum(length[fresh]) - length[fresh]
-        string = np.repeat(np.arange(len(fresh)), length[fresh])
-        self.pool[self.used : self.used + total] = data[at[fresh][string] + (np.arange(total) + self.used - place[string])]
-        self.used += total
+            if len(own) + 8 > len(self.pool):
+                self.pool = np.zeros(len(own) + 8, np.uint8)
+        self.pool[self.used : self.used + len(own)] = own
         mine = strings[:, fresh]
-        mine[0] = place
-        self.table[:, slot[fresh]] = np.stack((hashed[fresh], place, *mine[[1, 3, 4, 5]]))
+        mine[0] = self.used + np.cumsum(length[fresh]) - length[fresh]
+        self.table[:, slot[fresh]] = np.stack((hashed[fresh], *mine[[0, 1, 3, 4, 5]]))
         self.pending.append(mine)
-        self.size += total
+        self.used += len(own)
         return again
 
     def full(self, more: int) -> bool:
-        """Whether a shard is due before ``more`` bytes come."""
-        return self.size > SHARD or self.size > 0 and self.used + more + 8 > len(self.pool)
+        """Whether strings are to be handed on before ``more`` bytes come."""
+        return self.used + more + 8 > len(self.pool)
 
-    def shard(self, n: int) -> Iterator[pa.RecordBatch]:
-        """What ``transforms`` makes of the strings kept since the last one."""
+    def handed_on(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The strings kept since the last time, one row a bucket."""
         if self.pending:
-            at, length, bucket, key, text, first = np.concatenate(self.pending, axis=1)
-            self.pending, self.size = [], 0
-            yield from transforms(self.pool, at, length, bucket, key, text, first, n)
+            at, length, anchor, key, text, first = np.concatenate(self.pending, axis=1)
+            self.pending = []
+            anchor = anchor.view(U)
+            yield from packed(self.pool, at, length, (Hasher.mix(anchor, 11) % U(buckets)).astype(np.int64), anchor, key, text, first)
+
+
+def rows_of(bucket: np.ndarray, size: np.ndarray, payload: list[bytes]) -> pa.RecordBatch:
+    """Rows of ``ROW`` for what goes to buckets."""
+    k = len(payload)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket), pa.array(size.astype(np.int32)), pa.array(payload, pa.binary()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+        ["bucket", "bytes", "payload", "key", "text_hash", "first", "words"],
+    )
 
 
-def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket: np.ndarray, key: np.ndarray, hashed: np.ndarray, first: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+def packed(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket: np.ndarray, like: np.ndarray, key: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row of strings a bucket; those of equal ``like`` stand together, as they compress."""
+    by = np.lexsort((like, bucket))
+    begin, length, bucket, key, hashed, first = (x[by] for x in (begin, length, bucket, key, hashed, first))
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+    if not len(edge):
+        return
+    first, size = first.astype(np.int32), length.astype(np.int32)
+    z = zstandard.ZstdCompressor(level=1)
+    payload = []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+        numbers = (np.array([b - a]), key[a:b], hashed[a:b], first[a:b], size[a:b])
+        payload.append(z.compress(b"".join((*(x.tobytes() for x in numbers), joined(data, begin[a:b], length[a:b])))))
+    yield rows_of(bucket[edge], np.add.reduceat(length, edge), payload)
+
+
+def strings_of(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Bytes of the strings in rows of ``packed``, one after the other; place, length, key, hash and first of each."""
+    z = zstandard.ZstdDecompressor()
+    data, columns = [], ([], [], [], [])
+    for payload in payloads:
+        raw = z.decompress(payload)
+        count, place = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        for column, kind in zip(columns, (np.int64, np.int64, np.int32, np.int32)):
+            column.append(np.frombuffer(raw, kind, count, place))
+            place += count * np.dtype(kind).itemsize
+        data.append(np.frombuffer(raw, np.uint8, offset=place))
+    key, hashed, first, length = map(np.concatenate, columns)
+    length = length.astype(np.int64)
+    return np.concatenate(data), np.cumsum(length) - length, length, key, hashed, first
+
+
+def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket: np.ndarray, key: np.ndarray, hashed: np.ndarray, first: np.ndarray, n: int, alone: bool = False) -> Iterator[pa.RecordBatch]:
     """The shard of strings ``data[begin:begin + length]``, which stand at ``first`` of the text ``(key, hashed)``: what repeats in it,
-    and a transform for each bucket of the strings that have a first occurrence of ``n`` bytes."""
+    and, unless it is ``alone``, a transform for each bucket of the strings that have a first occurrence of ``n`` bytes."""
     if not len(begin):
         return
     by = np.lexsort((begin, bucket))
@@ -296,6 +391,8 @@ def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket:
         at = np.flatnonzero(again)
         if len(at):
             yield spans_of(string[at], offset[at], key, hashed, first, n)
+    if alone:
+        return
     fresh = np.bincount(string[(left >= n) & ~again], minlength=len(begin)) > 0
     rows = order[fresh[string[order]]]
     dense = np.cumsum(np.diff(bucket, prepend=bucket[:1]) > 0)
@@ -320,11 +417,7 @@ def transforms(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bucket:
         s = kept[a:b]
         numbers = [np.array([t - r, b - a], np.int64), key[s], hashed[s], first[s].astype(np.int32), length[s].astype(np.int32), (heads[c:d] - r).astype(np.int32), symbols[r:t]]
         payload.append(z.compress(b"".join(x.tobytes() for x in numbers)))
-    k = len(edge)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[kept[edge]]), pa.array((row_end - row_edge).astype(np.int32)), pa.array(payload, pa.binary()), *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-        ["bucket", "bytes", "payload", "key", "text_hash", "first", "words"],
-    )
+    yield rows_of(bucket[kept[edge]], row_end - row_edge, payload)
 
 
 def unpacked(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -419,30 +512,82 @@ def merged(payloads: list[bytes], n: int) -> Iterator[pa.RecordBatch]:
         yield spans_of(string[again], offset[again], key, hashed, first, n)
 
 
+def differing(data: np.ndarray, begin: np.ndarray, length: np.ndarray, key: np.ndarray, hashed: np.ndarray, first: np.ndarray, group: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """What repeats among strings in order of ``group``, of which only those of one group can share ``n`` bytes."""
+    before = np.cumsum(length) - length
+    edge = np.flatnonzero(np.diff(group, prepend=-1))
+    shard = np.repeat(before[edge] // SHARD, np.diff(np.append(edge, len(group))))  # a shard ends with a group
+    edge = np.flatnonzero(np.diff(shard, prepend=-1))
+    for a, b in zip(edge, np.append(edge[1:], len(shard))):
+        size = before[b - 1] + length[b - 1] - before[a]
+        parts = [slice(a, b)]
+        if size > 4 * SHARD:  # a group that is more than that
+            cuts = a + np.flatnonzero(np.diff((before[a:b] - before[a]) // SHARD, prepend=-1))
+            parts = [slice(c, d) for c, d in zip(cuts, np.append(cuts[1:], b))]
+        payloads = []
+        for part in parts:
+            own = (x[part] for x in (begin, length, np.zeros_like(key), key, hashed, first))
+            for batch in transforms(data, *own, n, alone=len(parts) == 1):
+                if batch.column("payload").null_count:
+                    yield batch
+                else:
+                    payloads += batch.column("payload").to_pylist()
+        yield from merged(payloads, n)
+
+
+def settled(payloads: list[bytes], n: int) -> Iterator[pa.RecordBatch]:
+    """What repeats among the strings of a bucket."""
+    data, begin, length, key, hashed, first = strings_of(payloads)
+    m = anchor_bytes(n)
+    own, anchor, twice = np.empty(len(begin), U), np.empty(len(begin), U), np.empty(len(begin), bool)
+    edge = np.searchsorted(begin, np.arange(0, len(data), CHUNK)).tolist()
+    for a, b in zip(edge, [*edge[1:], len(begin)]):
+        if a < b:
+            h = hashes(data[begin[a] : begin[b - 1] + length[b - 1]], m)
+            at = begin[a:b] - begin[a]
+            own[a:b] = whole_hashes(h, at, length[a:b], n)
+            anchor[a:b] = np.minimum.reduceat(h, np.stack((at, at + n - m + 1), 1).ravel())[::2]
+            twice[a:b] = np.add.reduceat(h == np.repeat(anchor[a:b], length[a:b]), at, dtype=np.int64) > 1
+    some, elsewhere = repeated(data, own, begin, length, key, hashed, first)
+    fresh = np.ones(len(begin), bool)
+    fresh[some] = False
+    some = some[elsewhere]
+    if len(some):
+        yield found_again(key[some], hashed[some], first[some], length[some])
+    # Only strings of one anchor can share n bytes, and those of n bytes do not, since they differ.
+    by = np.flatnonzero(fresh)
+    by = by[np.argsort(anchor[by])]
+    new = np.ones(len(by), bool)
+    new[1:] = anchor[by][1:] != anchor[by][:-1]
+    edge, group = np.flatnonzero(new), np.cumsum(new) - 1
+    open_ = (np.maximum.reduceat(length[by], edge) > n) & (np.bincount(group) > 1) | np.logical_or.reduceat(twice[by], edge)
+    some = open_[group]
+    by, group = by[some], group[some]
+    if len(by):
+        yield from differing(data, *(x[by] for x in (begin, length, key, hashed, first)), group, n)
+
+
 def single(payload: bytes, buckets: int, base: int, n: int) -> Iterator[pa.RecordBatch]:
-    """The strings of a transform one by one, ``n`` bytes each, in buckets by a hash of all of them."""
-    symbols, _, before, key, hashed, first, length, ends = unpacked([payload])
-    begin = np.cumsum(length) - length
-    data = np.empty(int(length.sum()), np.uint8)
-    for step, (at, of) in enumerate(walked(before, length, ends)):
-        some = length[of] > step
-        data[begin[of[some]] + length[of[some]] - 1 - step] = (symbols[at[some]] - 1).astype(np.uint8)
-    count = length.astype(np.int64) - n + 1
-    string = np.repeat(np.arange(len(length)), count)
-    offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[string] + offset
-    total = np.zeros(len(data) + 1, U)
-    up = np.full(max(len(data), 1), FACTORS[0], U)
-    up[0] = 1
-    up = np.cumprod(up, dtype=U)
-    down = np.full(max(len(data), 1), pow(FACTORS[0], -1, 1 << 64), U)
-    down[0] = 1
-    down = np.cumprod(down, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-    bucket = base + (Hasher.mix((total[at + n] - total[at]) * down[at], 9) % U(buckets)).astype(np.int64)
-    for a in range(0, len(at), 20_000):
-        b = slice(a, a + 20_000)
-        yield from transforms(data, at[b], np.full(len(at[b]), n), bucket[b], key[string[b]], hashed[string[b]], first[string[b]] + offset[b].astype(np.int32), n)
+    """The strings of a row one by one, ``n`` bytes each, in buckets by a hash of all of them."""
+    data, begin, length, key, hashed, first = strings_of([payload])
+    total = np.cumsum(length - n + 1)
+    edge = np.searchsorted(total, np.arange(0, total[-1], DEALT), side="right").tolist()
+    for a, b in zip(edge, [*edge[1:], len(begin)]):
+        if a == b:
+            continue
+        count = length[a:b] - n + 1
+        string = np.repeat(np.arange(a, b), count)
+        offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+        at, size = begin[string] + offset, np.full(len(string), n)
+        own = whole_hashes(hashes(data[begin[a] : begin[b - 1] + length[b - 1]], anchor_bytes(n)), at - begin[a], size, n)
+        k, t, f = key[string], hashed[string], first[string] + offset
+        some, elsewhere = repeated(data, own, at, size, k, t, f)
+        fresh = np.ones(len(at), bool)
+        fresh[some] = False
+        some = some[elsewhere]
+        if len(some):
+            yield spans_of(string[some], offset[some], key, hashed, first, n)
+        yield from packed(data, *(x[fresh] for x in (at, size, base + (Hasher.mix(own, 9) % U(buckets)).astype(np.int64), own, k, t, f)))
 
 
 def repeats(docs: DataFrame, n: int = 100, max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:
@@ -454,51 +599,35 @@ def repeats(docs: DataFrame, n: int = 100, max_bits: int = MAX_BITS, most: int =
     planes = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits, lambda: anchor_places(n)))
     buckets = max(16, size // BUCKET)
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many, m = planes.value, anchor_bytes(n)
-        w, held = n - m + 1, Strings()
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, held = planes.value, Strings()
         for batch in batches:
             keys, hashed = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for a, b, data, begin in chunks(batch.column(2), CHUNK):
-                h, least, whole = anchors(data, begin, n)
-                if not len(least):
-                    continue
-                # Runs of strings of one anchor in one text, none longer than a window of places.
-                new = np.ones(len(least), bool)
-                new[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
-                new[begin[begin < len(least)]] = True
-                start = np.flatnonzero(new)
-                count = np.diff(np.append(start, len(least)))
-                some = whole[start]
-                start, count, anchor = start[some], count[some], least[start[some]]
+                h, start, count, anchor = runs(data, begin, n)
                 keep = np.ones(len(start), bool)
                 for plane, cell in zip(many, cells(anchor, Hasher.mix(anchor, 3), bits)):
                     keep &= (plane[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 start, count, anchor = start[keep], count[keep], anchor[keep]
                 if not len(start):
                     continue
-                pieces = -(-count // w)
-                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start, count, anchor = np.repeat(start, pieces) + nth * w, np.minimum(np.repeat(count, pieces) - nth * w, w), np.repeat(anchor, pieces)
                 length = count + n - 1
-                own = length.astype(U)
-                for k in range(0, n + w - 1, m):  # pieces that cover the string
-                    own = Hasher.mix(own, k) + h[start + np.minimum(k, length - m)]
+                own = whole_hashes(h, start, length, n)
                 text = np.searchsorted(begin, start, side="right") - 1
-                strings = np.stack((start, length, (Hasher.mix(anchor, 11) % U(buckets)).astype(np.int64), keys[a:b][text], hashed[a:b][text], start - begin[text]))
+                strings = np.stack((start, length, anchor.view(np.int64), keys[a:b][text], hashed[a:b][text], start - begin[text]))
                 if held.full(int(length.sum())):
-                    yield from held.shard(n)
+                    yield from held.handed_on(buckets)
                 again = held.add(data, own.view(np.int64), strings)
                 if again.any():
                     _, length, _, key, text, first = strings[:, again]
                     yield found_again(key, text, first, length)
-        yield from held.shard(n)
+        yield from held.handed_on(buckets)
 
-    found = cut(docs.select("key", "text_hash", "text").mapInArrow(shards, ROW))
+    found = cut(docs.select("key", "text_hash", "text").mapInArrow(runs_of, ROW))
     known = found.filter("bucket < 0")
     held = found.filter("bucket >= 0")
     sizes = held.groupBy("bucket").agg(F.sum("bytes").alias("total"))
-    large = sized(sizes.filter(F.col("total") > most).withColumn("buckets", F.ceil(F.col("total") * 4 / BUCKET).cast("long")), 100_000)
+    large = sized(sizes.filter(F.col("total") > most).withColumn("buckets", F.ceil(F.col("total") * 16 / BUCKET).cast("long")), 100_000)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,7 +635,7 @@ def repeats(docs: DataFrame, n: int = 100, max_bits: int = MAX_BITS, most: int =
                 yield from single(payload, k, (bucket + 1) << 31, n)
 
     def met(table: pa.Table) -> pa.Table:
-        batches = list(merged(table.column("payload").to_pylist(), n))
+        batches = list(settled(table.column("payload").to_pylist(), n))
         return pa.Table.from_batches(batches, schema) if batches else schema.empty_table()
 
     schema = pa.schema([("bucket", pa.int64()), ("bytes", pa.int32()), ("payload", pa.binary()), ("key", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32()), ("words", pa.int32())])
@@ -517,8 +646,7 @@ def repeats(docs: DataFrame, n: int = 100, max_bits: int = MAX_BITS, most: int =
         dealt = cut(held.join(large, "bucket").repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(apart, ROW))
         known = known.unionByName(dealt.filter("bucket < 0"))
         between = held.join(large, "bucket", "left_anti").unionByName(dealt.filter("bucket >= 0")).groupBy("bucket").applyInArrow(met, ROW)
-    runs = known.unionByName(between).select("key", "text_hash", "first", "words")
-    return merged_runs(runs, copies)
+    return merged_runs(known.unionByName(between).select("key", "text_hash", "first", "words"), copies)
 
 
 def remove_repeats(docs: DataFrame, n: int = 100, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, most: int = MOST) -> DataFrame:

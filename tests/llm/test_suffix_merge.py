@@ -117,3 +117,82 @@ def test_merged_transforms_give_the_repeated_intervals(seed, n):
         shards.setdefault(x, set()).add(s)
     shared = Counter(x for s, x in suffixes if len(shards[x]) > 1)
     assert sorted(Counter(block.tolist()).values()) == sorted(shared.values())
+
+
+def handed_on(texts, n, tasks):
+    """Rows that ``tasks`` tasks hand on of texts, all to one bucket, and what they have settled."""
+    rows = []
+    for task in range(tasks):
+        held = suffixmerge.Strings()
+        for k in range(task, len(texts), tasks):
+            data = np.frombuffer(texts[k], np.uint8)
+            h, start, count, anchor = suffixmerge.runs(data, np.array([0, len(data)]), n)
+            length = count + n - 1
+            same = np.zeros_like(start)
+            found = np.stack((start, length, anchor.view(np.int64), same + k, same, start))
+            again = held.add(data, suffixmerge.whole_hashes(h, start, length, n).view(np.int64), found)
+            rows.append(suffixmerge.found_again(*found[[3, 4, 5, 1]][:, again]))
+        rows += held.handed_on(1)
+    return [r for b in rows for r in b.to_pylist()]
+
+
+def places(rows, n):
+    return {(r["key"], r["first"] + p) for r in rows if r["bucket"] < 0 for p in range(r["words"] - n + 1)}
+
+
+def brute_places(texts, n):
+    seen, out = set(), set()
+    for k, t in enumerate(texts):
+        for p in range(len(t) - n + 1):
+            if t[p : p + n] in seen:
+                out.add((k, p))
+            seen.add(t[p : p + n])
+    return out
+
+
+@pytest.mark.parametrize("seed, n, shard", [(s, n, k) for s in range(3) for n, k in ((16, 1 << 18), (40, 300), (100, 1000), (100, 1))])
+def test_runs_of_a_bucket(seed, n, shard, monkeypatch):
+    """Shards of all sizes: with small ones the runs of an anchor are sorted in several and their transforms merged."""
+    rng = np.random.default_rng(seed)
+    piece = [rng.integers(97, 123, int(k)).astype(np.uint8).tobytes() for k in rng.integers(n // 4, 3 * n, 12)]
+    texts = [b"".join(piece[i] for i in rng.integers(0, 12, 6)) for _ in range(25)] + [b"a" * 3 * n, b"ab" * 2 * n, b"b" + b"a" * 2 * n]
+    texts += [bytes([65 + k % 26]) * 7 + piece[0] + b"%d" % k * n for k in range(40)]
+    merges = []
+    merged = suffixmerge.merged
+    monkeypatch.setattr(suffixmerge, "merged", lambda payloads, n: (merges.append(len(payloads)), merged(payloads, n))[1])
+    monkeypatch.setattr(suffixmerge, "SHARD", shard)
+    rows = handed_on(texts, n, 4)
+    for batch in suffixmerge.settled([r["payload"] for r in rows if r["payload"]], n):
+        rows += batch.to_pylist()
+    assert places(rows, n) == brute_places(texts, n)
+    assert (max(merges) > 1) == (shard == 1 or shard == 300) or shard == 1000
+
+
+def test_of_a_passage_in_several_tasks_only_the_edges_are_sorted(monkeypatch):
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 123, 20_000).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 500).astype(np.uint8).tobytes() + passage for _ in range(8)]
+    sizes = []
+    sort = suffixmerge.sorted_suffixes
+    monkeypatch.setattr(suffixmerge, "sorted_suffixes", lambda text, left, n: (sizes.append(len(text)), sort(text, left, n))[1])
+    rows = handed_on(texts, 100, 8)
+    for batch in suffixmerge.settled([r["payload"] for r in rows if r["payload"]], 100):
+        rows += batch.to_pylist()
+    assert places(rows, 100) == brute_places(texts, 100)
+    # All eight tasks sorted the passage before, nearly four bytes of strings for each of its bytes.
+    assert 0 < sum(sizes) < len(passage)
+
+
+def test_strings_of_a_common_anchor_one_by_one():
+    rng = np.random.default_rng(2)
+    line = rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 90).astype(np.uint8).tobytes() + line + rng.integers(97, 123, 90).astype(np.uint8).tobytes() for _ in range(30)]
+    texts += [texts[3][20:], texts[5][:170], texts[5][10:]]
+    rows = handed_on(texts, 100, 3)
+    dealt = [r for x in rows if x["payload"] for b in suffixmerge.single(x["payload"], 5, 1 << 31, 100) for r in b.to_pylist()]
+    assert {r["bucket"] for r in dealt if r["payload"]} == set(range(1 << 31, (1 << 31) + 5))
+    found = [r for r in (*rows, *dealt) if r["bucket"] < 0]
+    for bucket in range(1 << 31, (1 << 31) + 5):
+        for batch in suffixmerge.settled([r["payload"] for r in dealt if r["bucket"] == bucket], 100):
+            found += batch.to_pylist()
+    assert places(found, 100) == brute_places(texts, 100)

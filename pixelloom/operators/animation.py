@@ -2,7 +2,8 @@
 
 Frames are patches: pixel rows with the frame's ``item_index``, in canvas coordinates, next to a table of
 frames with each one's rectangle and operations. Where the fold only replaces, it is a window over paint and
-clear events of a pixel; where it blends with rounding, the pixel's events are folded in order.
+clear events of a pixel; where it blends with rounding, the pixel's events are folded in order. Either gives steps, at which a
+pixel changes; only the rows that are returned are spread over the frames, behind the last shuffle, join and sort.
 """
 
 from __future__ import annotations
@@ -12,28 +13,72 @@ from pyspark.sql import functions as F
 
 from ..model import RGBA
 
+_VALUE = "struct<r:int,g:int,b:int,a:int>"
+NOTHING = f"cast(null as {_VALUE})"
 
-def canvases_replacing(frames: DataFrame, patches: DataFrame) -> DataFrame:
+
+def _listed(rows: DataFrame, frames: DataFrame, dealt: bool) -> DataFrame:
+    """``rows`` with ``ks``, the frames of their document in order. ``dealt``: both are dealt out by document, so a merge join needs no shuffle."""
+    lists = frames.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_index")).alias("ks"))
+    return rows.join(lists.hint("merge") if dealt else lists, "doc_id")
+
+
+def placed(steps: DataFrame) -> DataFrame:
+    """``steps`` with ``lo, hi``: the first of the frames (from 1) that show the value, and the first that does not any more.
+
+    A step ``(doc_id, x, y, ks, seq, until, ..)`` holds from ``seq`` on, to before ``until`` (null: to the end), where frame k is
+    at 2k and what follows it at 2k + 1.
+    """
+    place = "cast(array_position(ks, cast(shiftright({0}, 1) as int)) as int) + ({0} & 1)"
+    return steps.withColumns({"lo": F.expr(place.format("seq")), "hi": F.expr(f"if(until is null, size(ks) + 1, {place.format('until')})")})
+
+
+def _shown(steps: DataFrame) -> DataFrame:
+    """The canvases of ``steps (doc_id, x, y, ks, seq, until, first, v)``: every step spread over its frames, and nothing over those before a pixel's ``first``."""
+    own = "named_struct('lo', lo, 'hi', hi, 'v', v)"
+    spans = placed(steps).select("doc_id", "x", "y", "ks", F.expr(f"inline(if(first, array(named_struct('lo', 1, 'hi', lo, 'v', {NOTHING}), {own}), array({own})))"))
+    rows = spans.filter("lo < hi").select("doc_id", F.explode(F.expr("slice(ks, lo, hi - lo)")).alias("item_index"), "x", "y", "v")
+    return rows.select("doc_id", "item_index", "x", "y", *[F.coalesce(F.col(f"v.{c}"), F.lit(0)).alias(c) for c in RGBA])
+
+
+def _rectangles(frames: DataFrame, *names: str) -> DataFrame:
+    """Every pixel of the frames' rectangles, with the columns named."""
+    rect = frames.select("doc_id", "item_index", *names, F.explode(F.expr("sequence(lft, lft + width - 1)")).alias("x"), "top", "height")
+    return rect.select("doc_id", "item_index", *names, "x", F.explode(F.expr("sequence(top, top + height - 1)")).alias("y"))
+
+
+def steps_replacing(frames: DataFrame, patches: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, x, y, ks, seq, until, first, v``: what a pixel of an animation that paints over shows, and from where to where (see ``placed``).
+
+    Arguments as in ``canvases_replacing``.
+    """
+    rgba = F.struct(*[F.col(c).cast("int").alias(c) for c in RGBA]).alias("v")
+    clears = "named_struct('seq', item_index * 2 + 1, 'v', named_struct('r', 0, 'g', 0, 'b', 0, 'a', 0), 'lasts', true)"
+    paints = "named_struct('seq', item_index * 2, 'v', v, 'lasts', disposal <> 3)"
+    # What is brought back after a brief frame is the last value that lasts, so it comes as an event without one.
+    back = f"named_struct('seq', item_index * 2 + 1, 'v', {NOTHING}, 'lasts', false)"
+    painted = f"if(disposal = 3, array({paints}, {back}), array({paints}))"
+    if whole:
+        px = patches.filter("a > 0 or disposal = 2").select("doc_id", "x", "y", "item_index", "disposal", rgba)
+        events = px.select("doc_id", "x", "y", F.expr(f"inline(case when disposal <> 2 then {painted} when v.a > 0 then array({paints}, {clears}) else array({clears}) end)"))
+    else:
+        paint = patches.join(frames.select("doc_id", "item_index", "disposal"), ["doc_id", "item_index"]).select("doc_id", "x", "y", "item_index", "disposal", rgba)
+        events = paint.select("doc_id", "x", "y", F.expr(f"inline({painted})")).unionByName(_rectangles(frames.filter("disposal = 2")).select("doc_id", "x", "y", F.expr(f"inline(array({clears}))")))
+    w = Window.partitionBy("doc_id", "x", "y").orderBy("seq")
+    last = F.last(F.when(F.col("lasts"), F.col("v")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = events.select("doc_id", "x", "y", "seq", F.lead("seq").over(w).alias("until"), (F.row_number().over(w) == 1).alias("first"), F.coalesce("v", last).alias("v"))
+    return _listed(steps, frames, whole)
+
+
+def canvases_replacing(frames: DataFrame, patches: DataFrame, whole: bool = False) -> DataFrame:
     """Every canvas of animations that paint over: ``doc_id, item_index, x, y, r, g, b, a`` for pixels ever touched.
 
     ``frames (doc_id, item_index, lft, top, width, height, disposal)``; ``patches`` only has opaque pixels.
     Disposal 2 clears the frame's rectangle after it, 3 brings back what was there before it.
+    ``whole``: patches were exploded from ``frames`` and have their ``disposal`` and every pixel of their rectangles, with an alpha of 0 where nothing
+    is painted, so that nothing is joined. Frames that are dealt out by document (``repartition``) are not shuffled again then, neither are their pixels.
     """
-    paint = patches.join(frames.select("doc_id", "item_index", "disposal"), ["doc_id", "item_index"])
-    paint = paint.select("doc_id", "x", "y", "item_index", (F.col("item_index") * 2).alias("seq"), F.struct(*RGBA).alias("v"), (F.col("disposal") == 3).alias("brief"))
-    rect = frames.filter("disposal = 2").select("doc_id", "item_index", F.explode(F.expr("sequence(lft, lft + width - 1)")).alias("x"), "top", "height")
-    rect = rect.select("doc_id", "item_index", "x", F.explode(F.expr("sequence(top, top + height - 1)")).alias("y"))
-    clear = rect.select("doc_id", "x", "y", "item_index", (F.col("item_index") * 2 + 1).alias("seq"), F.struct(*[F.lit(0).alias(c) for c in RGBA]).alias("v"), F.lit(False).alias("brief"))
-    touched = paint.select("doc_id", "x", "y").union(clear.select("doc_id", "x", "y")).distinct()
-    looks = touched.join(frames.select("doc_id", "item_index"), "doc_id").select("doc_id", "x", "y", "item_index", (F.col("item_index") * 2).alias("seq"))
-    lasting = paint.filter("not brief").unionByName(clear).select("doc_id", "x", "y", "item_index", "seq", "v")
-    events = lasting.withColumn("look", F.lit(False)).unionByName(looks.withColumn("v", F.lit(None).cast("struct<r:int,g:int,b:int,a:int>")).withColumn("look", F.lit(True)))
-    before = Window.partitionBy("doc_id", "x", "y").orderBy("seq", "look").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.withColumn("last", F.last("v", ignorenulls=True).over(before)).filter("look")
-    brief = paint.filter("brief").select("doc_id", "item_index", "x", "y", F.col("v").alias("own"))
-    seen = seen.join(brief, ["doc_id", "item_index", "x", "y"], "left")
-    v = F.coalesce("own", "last")
-    return seen.select("doc_id", "item_index", "x", "y", *[F.coalesce(v[c], F.lit(0)).alias(c) for c in RGBA])
+    return _shown(steps_replacing(frames, patches, whole))
 
 
 # The value of a pixel after frame pixel `s` is drawn on canvas pixel `d`, in the rounding of each format.
@@ -50,16 +95,12 @@ WEBP_OVER = (
 ).format(", ".join(f"'{c}', shiftright(pmod((s.{c} * s.a + d.{c} * {_F}) * (16777216 div greatest(1, {_BA})), 4294967296), 24)" for c in "rgb"))
 
 
-def canvases_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER) -> DataFrame:
-    """Every canvas of animations that blend: ``doc_id, item_index, x, y, r, g, b, a`` for pixels ever touched.
-
-    ``frames`` has ``blend`` (0 source, 1 over) and ``dispose`` (0 none, 1 clear, 2 previous), which acts on
-    the frame's rectangle before the next one is drawn. The fold of a pixel goes through its own events only and keeps its
-    value, and the one to go back to; a window carries what is left after an event to the frames that follow.
-    """
-    rect = frames.select("doc_id", "item_index", "dispose", "blend", F.explode(F.expr("sequence(lft, lft + width - 1)")).alias("x"), "top", "height")
-    rect = rect.select("doc_id", "item_index", "dispose", "blend", "x", F.explode(F.expr("sequence(top, top + height - 1)")).alias("y"))
-    drawn = rect.join(patches, ["doc_id", "item_index", "x", "y"], "left")
+def _folded(frames: DataFrame, patches: DataFrame, over: str, whole: bool) -> DataFrame:
+    """``doc_id, x, y, seen``: a pixel's frames in order, each with what it shows and what it leaves."""
+    if whole:
+        drawn = patches.filter("x >= lft and x < lft + width and y >= top and y < top + height")
+    else:
+        drawn = _rectangles(frames, "dispose", "blend").join(patches.select("doc_id", "item_index", "x", "y", *RGBA), ["doc_id", "item_index", "x", "y"], "left")
     one = F.struct("item_index", "dispose", (F.col("blend") == 0).alias("source"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in RGBA])
     events = drawn.groupBy("doc_id", "x", "y").agg(F.array_sort(F.collect_list(one)).alias("events"))
     nothing = "named_struct('r', 0L, 'g', 0L, 'b', 0L, 'a', 0L)"
@@ -72,17 +113,29 @@ def canvases_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OV
         f"transform(array(named_struct('v', cast({draw} as {kind}), 'back', {after('acc')})), n -> named_struct('v', n.v, 'back', n.back, 'due', s.dispose, 'seen', "
         f"concat(acc.seen, array(named_struct('item_index', s.item_index, 'shown', n.v, 'rest', case s.dispose when 1 then {nothing} when 2 then n.back else n.v end)))))[0], acc -> acc.seen)"
     )
-    seen = events.select("doc_id", "x", "y", F.explode(F.expr(fold)).alias("e")).select("doc_id", "x", "y", "e.item_index", "e.shown", "e.rest")
-    looks = events.select("doc_id", "x", "y").join(frames.select("doc_id", "item_index"), "doc_id")
-    before = Window.partitionBy("doc_id", "x", "y").orderBy("item_index").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = looks.join(seen, ["doc_id", "x", "y", "item_index"], "left").withColumn("v", F.coalesce("shown", F.last("rest", ignorenulls=True).over(before)))
-    return all_.select("doc_id", "item_index", "x", "y", *[F.coalesce(F.col(f"v.{c}"), F.lit(0)).cast("int").alias(c) for c in RGBA])
+    return events.select("doc_id", "x", "y", F.expr(fold).cast(f"array<struct<item_index:int,shown:{_VALUE},rest:{_VALUE}>>").alias("seen"))
+
+
+def canvases_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER, whole: bool = False) -> DataFrame:
+    """Every canvas of animations that blend: ``doc_id, item_index, x, y, r, g, b, a`` for pixels ever touched.
+
+    ``frames`` has ``blend`` (0 source, 1 over) and ``dispose`` (0 none, 1 clear, 2 previous), which acts on
+    the frame's rectangle before the next one is drawn. The fold of a pixel goes through its own events only and keeps its
+    value, and the one to go back to; what is left after an event is spread over the frames up to the next one.
+    ``whole``: patches were exploded from ``frames``, have their columns and every pixel of their rectangles, so that nothing is joined.
+    Frames that are dealt out by document (``repartition``) are not shuffled again then, neither are their pixels.
+    """
+    seen = _listed(_folded(frames, patches, over, whole), frames, whole).select("doc_id", "x", "y", "ks", "seen", F.posexplode("seen").alias("at", "e"))
+    both = "inline(array(named_struct('seq', e.item_index * 2, 'until', e.item_index * 2 + 1, 'first', at = 0, 'v', e.shown), named_struct('seq', e.item_index * 2 + 1, 'until', get(seen, at + 1).item_index * 2, 'first', false, 'v', e.rest)))"
+    return _shown(seen.select("doc_id", "x", "y", "ks", F.expr(both)))
 
 
-def canvas_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER) -> DataFrame:
+def canvas_blending(frames: DataFrame, patches: DataFrame, over: str = APNG_OVER, whole: bool = False) -> DataFrame:
     """The last canvas of each: ``doc_id, x, y, r, g, b, a``."""
-    final = frames.groupBy("doc_id").agg(F.max("item_index").alias("item_index"))
-    return canvases_blending(frames, patches, over).join(final, ["doc_id", "item_index"]).select("doc_id", "x", "y", *RGBA)
+    final = frames.groupBy("doc_id").agg(F.max("item_index").alias("final"))
+    final = final.hint("merge") if whole else final
+    last = _folded(frames, patches, over, whole).select("doc_id", "x", "y", F.element_at("seen", -1).alias("e")).join(final, "doc_id")
+    return last.select("doc_id", "x", "y", F.expr("if(e.item_index = final, e.shown, e.rest)").alias("v")).select("doc_id", "x", "y", *[F.col(f"v.{c}") for c in RGBA])
 
 
 def key_frames(frames: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
+#: Frames of animations in a task, which become some hundred times as many pixels, and the most tasks.
+FRAMES_A_TASK, TASKS = 10_000, 20_000
 GRID = "select x, y from (select explode(sequence(0, 63)) as x), lateral (select explode(sequence(0, 47)) as y)"
 
 
@@ -48,23 +50,29 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of an animation a user on a 16x16 canvas: rectangle, operations and one colour each."""
+    """Frames of an animation a user on a 16x16 canvas: rectangle, operations and one colour each; dealt out by document, before they become pixels."""
+    events = table(spark, sf_dir, "events")
+    tasks = min(TASKS, 1 + events.count() // FRAMES_A_TASK)
     return spark.sql(
-        """select cast(user_id as int) as doc_id, cast(rn - 1 as int) as item_index, 16 as cw, 16 as ch, cast(event_id % 8 as int) as lft, cast((event_id div 8) % 8 as int) as top,
+        """select doc_id, cast(rn - 1 as int) as item_index, 16 as cw, 16 as ch, cast(event_id % 8 as int) as lft, cast((event_id div 8) % 8 as int) as top,
           cast(1 + event_id % 5 as int) as width, cast(1 + (event_id div 5) % 5 as int) as height, cast(event_id % 4 as int) as disposal, cast(event_id % 3 as int) as dispose, cast((event_id div 3) % 2 as int) as blend,
-          cast(pmod(cast(floor(value * 100.0D) as bigint), 256) as int) as r, cast(event_id * 53 % 256 as int) as g, cast(user_id * 29 % 256 as int) as b, cast(event_id * 17 % 256 as int) as a,
+          cast(pmod(cast(floor(value * 100.0D) as bigint), 256) as int) as r, cast(event_id * 53 % 256 as int) as g, cast(doc_id * 29L % 256 as int) as b, cast(event_id * 17 % 256 as int) as a,
           cast(event_id % 50 as int) as delay_num, cast(event_id % 4 * 50 as int) as delay_den
-        from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from {events})""",
-        events=table(spark, sf_dir, "events"),
+        from (select *, row_number() over (partition by doc_id order by ts, event_id) as rn from {events})""",
+        events=events.selectExpr("cast(user_id as int) as doc_id", "ts", "event_id", "value").repartition(tasks, "doc_id"),
     )
 
 
-def patch_pixels(frames: DataFrame, opaque: bool) -> DataFrame:
-    """The pixels of ``patches``: those of (x + y + item) % 3 = 0 are clear, and left out where ``opaque``."""
+def patch_pixels(frames: DataFrame, opaque: bool, whole: bool = False) -> DataFrame:
+    """The pixels of ``patches``: those of (x + y + item) % 3 = 0 are clear, the others have alpha ``a``, or 255 where ``opaque``.
+
+    Clear ones are left out where ``opaque``, unless ``whole``, which keeps the frame's rectangle and operations beside its pixels too.
+    """
     px = frames.selectExpr("*", "explode(sequence(lft, lft + width - 1)) as x").selectExpr("*", "explode(sequence(top, top + height - 1)) as y")
-    if opaque:
-        return px.filter("(x + y + item_index) % 3 <> 0").selectExpr("doc_id", "item_index", "x", "y", "r", "g", "b", "255 as a")
-    return px.selectExpr("doc_id", "item_index", "x", "y", "r", "g", "b", "if((x + y + item_index) % 3 = 0, 0, a) as a")
+    more = ["lft", "top", "width", "height", "disposal", "dispose", "blend"] if whole else []
+    if opaque and not whole:
+        px = px.filter("(x + y + item_index) % 3 <> 0")
+    return px.selectExpr("doc_id", "item_index", "x", "y", "r", "g", "b", f"if((x + y + item_index) % 3 = 0, 0, {255 if opaque else 'a'}) as a", *more)
 
 
 def palette16(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def shuffles(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "REPARTITION_BY_NUM" not in line]
 
 
-@pytest.mark.parametrize("name", ["w3_webp_canvases", "w2_apng_canvases", "w2_apng_canvas", "w3_webp_canvas"])
+@pytest.mark.parametrize("name", ["w3_webp_canvases", "w2_apng_canvases", "w2_apng_canvas", "w3_webp_canvas", "w1_gif_canvases"])
 def test_only_frames_are_shuffled(spark, name):
     assert shuffles(QUERIES[name](spark, DATA)) == []
 

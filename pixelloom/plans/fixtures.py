@@ -52,7 +52,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of an animation a user on a 16x16 canvas: rectangle, operations and one colour each; dealt out by document, before they become pixels."""
     events = table(spark, sf_dir, "events")
-    tasks = min(TASKS, 1 + events.count() // FRAMES_A_TASK)
+    tasks = min(TASKS, 2 + events.count() // FRAMES_A_TASK)
     return spark.sql(
         """select doc_id, cast(rn - 1 as int) as item_index, 16 as cw, 16 as ch, cast(event_id % 8 as int) as lft, cast((event_id div 8) % 8 as int) as top,
           cast(1 + event_id % 5 as int) as width, cast(1 + (event_id div 5) % 5 as int) as height, cast(event_id % 4 as int) as disposal, cast(event_id % 3 as int) as dispose, cast((event_id div 3) % 2 as int) as blend,
